@@ -8,7 +8,7 @@ from ..functions import scalars as S
 from ..operators import folds as V
 from ..operators import models as M
 from ..operators import sequence as Q
-from ..sources.shared import checkpointed
+from ..sources.shared import checkpointed, fresh
 from .grading import rounded, subgroups
 from .registry import query
 
@@ -183,11 +183,9 @@ def ml_23(t):
 
 @query("ml_24_model_registry")
 def ml_24(t):
-    import uuid
-
     old, new = _split(t)
     model = M.fit_ensemble(M.Config(FEATURES, members={"logistic": {"C": 0.1}}), old)
-    path = f"{t.spark.sparkContext.getCheckpointDir()}/models-{uuid.uuid4().hex}"
+    path = fresh(t.spark, "models")
     M.save(model, path, "v1.0", {"rows": old.count()})
     return rounded(M.load(path, "v1.0").score(new).select("game_id", "p_home"), 4)
 

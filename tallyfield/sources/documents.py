@@ -33,8 +33,8 @@ def read_contests(spark: SparkSession, path: str, schema: str, cutoff: Column |
 def scoreboard(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(schedule, results, entities) of scoreboard documents. Events without a competition or without one of the sides are left out;
     a result needs a finished, completed event and two numeric scores."""
-    e = docs.select(F.explode("events").alias("e")).select("e.*").withColumn("c", F.col("competitions")[0])
-    side = lambda s: F.filter("c.competitors", lambda x: x["homeAway"] == s)[0]
+    e = docs.select(F.explode("events").alias("e")).select("e.*").withColumn("c", F.get("competitions", F.lit(0)))
+    side = lambda s: F.get(F.filter("c.competitors", lambda x: x["homeAway"] == s), F.lit(0))
     e = e.withColumn("h", side("home")).withColumn("a", side("away")).where("c IS NOT NULL AND h IS NOT NULL AND a IS NOT NULL")
     name = lambda x: F.coalesce(f"{x}.team.name", f"{x}.team.shortName", f"{x}.team.abbreviation", F.concat(F.lit("team "), F.col(f"{x}.team.id")))
     at = F.col("date").try_cast("timestamp").alias("kickoff")
@@ -80,7 +80,7 @@ def starters(docs: DataFrame, group: str = "passing", label: str = "C/ATT") -> D
 
 def summary_results(docs: DataFrame) -> DataFrame:
     """Results of completed summaries with two numeric scores."""
-    score = lambda s: lenient_number(F.filter("sides", lambda x: x["homeAway"] == s)[0]["score"])
+    score = lambda s: lenient_number(F.get(F.filter("sides", lambda x: x["homeAway"] == s), F.lit(0))["score"])
     done = docs.where((F.col("state") == "post") & F.col("completed"))
     return done.select(F.col("id").alias("game_id"), score("home").alias("home_score"), score("away").alias("away_score")).where("home_score IS NOT NULL AND away_score IS NOT NULL")
 
@@ -88,7 +88,7 @@ def summary_results(docs: DataFrame) -> DataFrame:
 def slate_rows(docs: DataFrame) -> DataFrame:
     """Wide rows of a slate: the overall record, the first line offered, all broadcasts."""
     c = F.col("context")
-    record = F.filter("context.records", lambda r: r["type"] == "total")[0]["summary"]
+    record = F.get(F.filter("context.records", lambda r: r["type"] == "total"), F.lit(0))["summary"]
     return docs.where(c.isNotNull()).select(F.col("id").alias("game_id"), c["venue"].alias("venue"), c["temperature"].alias("temperature"), record.alias("record"), F.get(c["odds"], F.lit(0))["details"].alias("line"), F.array_join(F.flatten(F.transform("context.broadcasts", lambda b: b["names"])), "/").alias("broadcast"))
 
 
