@@ -32,6 +32,8 @@ from .store import bounded_batches, table
 
 WIDTH = 1 << 18
 MAX_ROWS = 10_000
+#: A text is selected if its chance of the highest grade reaches this.
+MINIMUM = 0.8
 ADDED = (T.StructField("expected_grade", T.DoubleType()), T.StructField("tail", T.DoubleType()), T.StructField("selected", T.BooleanType()))
 
 
@@ -79,7 +81,43 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.thresholds[None] - score[:, None], -500, 500)))
 
 
-def fit_rows(rows: list[np.ndarray], grades: np.ndarray, grade_count: int, rounds: int = 120, ridge: float = 2e-4, least: int = 5, rate: float = 0.1) -> Model:
+def minimise(f, x: np.ndarray, rounds: int, memory: int = 10) -> np.ndarray:
+    """L-BFGS with backtracking; ``f`` gives the value and the gradient."""
+    value, g = f(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        d, stack = -g, []
+        for s, y in reversed(past):
+            a = (s @ d) / (s @ y)
+            stack.append(a)
+            d = d - a * y
+        if past:
+            s, y = past[-1]
+            d = d * ((s @ y) / (y @ y))
+        for (s, y), a in zip(past, reversed(stack)):
+            d = d + (a - (y @ d) / (s @ y)) * s
+        slope = g @ d
+        step = 1.0 if past else min(1.0, 1.0 / max(np.abs(g).sum(), 1e-12))
+        for _ in range(25):
+            at = x + step * d
+            new, grad = f(at)
+            if new <= value + 1e-4 * step * slope:
+                break
+            step /= 2
+        else:
+            return x
+        if (at - x) @ (grad - g) > 1e-12:
+            past = [*past[1 - memory :], (at - x, grad - g)]
+        done = value - new < 1e-7 * max(1.0, abs(value))
+        x, value, g = at, new, grad
+        if done:
+            return x
+    return x
+
+
+def fit_rows(rows: list[np.ndarray], grades: np.ndarray, grade_count: int, rounds: int = 100, ridge: float = 1e-4, least: int = 5) -> Model:
+    """Least mean negative log-likelihood with a quadratic penalty on the weights. Steps between thresholds are exponentials, so they
+    stay in order."""
     size = np.array([len(r) for r in rows])
     index = np.concatenate(rows)
     seen = np.bincount(index, minlength=WIDTH) >= least
@@ -88,31 +126,26 @@ def fit_rows(rows: list[np.ndarray], grades: np.ndarray, grade_count: int, round
     cuts = grade_count - 1
     share = np.array([(grades <= g).mean() for g in range(cuts)]).clip(1e-3, 1 - 1e-3)
     theta0 = np.log(share / (1 - share))
+    row = np.arange(len(rows))
 
     def split(p):
-        steps = np.exp(p[WIDTH + 1 :])
-        return p[:WIDTH], p[WIDTH] + np.concatenate([[0], np.cumsum(steps)])
+        return p[:WIDTH], p[WIDTH] + np.concatenate([[0], np.cumsum(np.exp(p[WIDTH + 1 :]))])
 
-    p = np.concatenate([np.zeros(WIDTH), theta0[:1], np.log(np.maximum(np.diff(theta0), 1e-3))])
-    m, v = np.zeros_like(p), np.zeros_like(p)
-    row = np.arange(len(rows))
-    for t in range(1, rounds + 1):  # Adam on the mean negative log-likelihood
+    def loss(p):
         w, theta = split(p)
         score = np.bincount(owner, weights=w[index], minlength=len(rows))
         f = 1 / (1 + np.exp(-np.clip(theta[None] - score[:, None], -500, 500)))
         f = np.hstack([np.zeros((len(rows), 1)), f, np.ones((len(rows), 1))])
         d = f * (1 - f)
         prob = np.maximum(f[row, grades + 1] - f[row, grades], 1e-12)
-        up, down = d[row, grades + 1] / prob, d[row, grades] / prob
-        by_score = (up - down) / len(rows)
-        by_theta = np.zeros(cuts + 1)
-        np.add.at(by_theta, np.minimum(grades, cuts), np.where(grades < cuts, -up, 0) / len(rows))
-        np.add.at(by_theta, np.maximum(grades - 1, 0), np.where(grades > 0, down, 0) / len(rows))
-        by_theta = by_theta[:cuts]
-        g = np.concatenate([np.bincount(index, weights=by_score[owner], minlength=WIDTH) + ridge * w, [by_theta.sum()], np.exp(p[WIDTH + 1 :]) * np.cumsum(by_theta[::-1])[::-1][1:]])
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        p = p - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    w, theta = split(p)
+        up, down = d[row, grades + 1] / prob / len(rows), d[row, grades] / prob / len(rows)
+        by_theta = np.array([down[grades == g + 1].sum() - up[grades == g].sum() for g in range(cuts)])
+        by_weight = np.bincount(index, weights=(up - down)[owner], minlength=WIDTH) + ridge * w
+        steps = np.exp(p[WIDTH + 1 :]) * np.cumsum(by_theta[::-1])[::-1][1:]
+        return -np.log(prob).mean() + ridge / 2 * (w @ w), np.concatenate([by_weight, [by_theta.sum()], steps])
+
+    start = np.concatenate([np.zeros(WIDTH), theta0[:1], np.log(np.maximum(np.diff(theta0), 1e-3))])
+    w, theta = split(minimise(loss, start, rounds))
     return Model(w.astype(np.float32), theta)
 
 
@@ -140,7 +173,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: Column, max_rows: int = MAX_
     return fit_rows([rows[i] for i in order], grades[order], int(grades.max()) + 1)
 
 
-def rate(docs: DataFrame, model: Model, at_least: int | None = None, minimum: float = 0.5, text: str = "text") -> DataFrame:
+def rate(docs: DataFrame, model: Model, at_least: int | None = None, minimum: float = MINIMUM, text: str = "text") -> DataFrame:
     """``docs`` with the expected grade, P(grade >= ``at_least``) (the highest, if none) and whether that reaches ``minimum``."""
     rest = [f for f in docs.schema.fields if f.name.lower() not in {a.name for a in ADDED}]
     place, names = [f.name for f in rest].index(text), [*(f.name for f in rest), *(a.name for a in ADDED)]
