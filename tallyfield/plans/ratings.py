@@ -66,7 +66,7 @@ def rat_5(t):
 
 @query("rat_5_ridge_sweeps")
 def rat_5_sweeps(t):
-    return rounded(R.ridge_by_sweeps(t["obs"], ["season"], 8.0, sweeps=4, cut_every=1), 3)
+    return rounded(R.ridge_by_sweeps(t["obs"], ["season"], 8.0, sweeps=4), 3)
 
 
 @query("rat_6_priors_by_season")
