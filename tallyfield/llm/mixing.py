@@ -5,8 +5,10 @@ finish time is the number of words its queue has given with it, divided by the s
 the start of the range of all copies by finish time, cut where its words would pass the total budget.
 
 Nothing is sorted in one task. Running sums are split: a source's shuffle keys fall into ranges of about a
-thousand documents, whose sums are added up first, and windows run inside ranges only. The cut is found in two
-steps: a histogram of finish times of fixed size shows the bin where the budget ends, and only that bin is sorted.
+thousand documents, the ranges into coarse ones of about the square root of their number, and windows run inside
+either only. The global order is a range sort in two levels: bins of finish time, of fixed number, whose sums
+show the bin where the budget ends; and that bin's copies, sorted over as many range partitions as a shuffle has,
+whose sums show the one partition where the order is cut.
 
 Targets: weights 5, 2, 1 repeat over the sources by code point, null last, and share the sum of all sizes; a
 target stops at three times its source's size and the excess is shared again by weight. The level at which
@@ -19,7 +21,7 @@ gives an empty mix. Columns beyond ``doc_id``, ``source`` and the text are not r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,6 +60,29 @@ def _bin(finish: Column) -> Column:
     return F.when(finish < 2, F.floor(finish * 2048)).otherwise(4096 + F.floor(F.log2(finish) * 64)).cast("long")
 
 
+def _sums_before(sums: DataFrame) -> DataFrame:
+    """rank, range and ``_before``, the sum of the source's ranges before."""
+    inside, above = W.partitionBy("rank", "coarse").orderBy("range"), W.partitionBy("rank").orderBy("coarse")
+    so_far = [F.sum("_sum").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("_sum") for w in (inside, above)]
+    coarse = sums.groupBy("rank", "coarse").agg(F.sum("_sum").alias("_sum")).select("rank", "coarse", so_far[1].alias("_above"))
+    fine = sums.select("rank", "coarse", "range", so_far[0].alias("_within"))
+    return fine.join(coarse, ["rank", "coarse"]).select("rank", "range", (F.col("_above") + F.col("_within")).alias("_before"))
+
+
+def _last_within(edge: DataFrame, order: tuple[str, ...], room: int) -> Row | None:
+    """The last row of ``edge`` in ``order`` up to which sizes sum to at most ``room``."""
+    parts = int(edge.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = land(edge.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "edge")
+    upto = ranged.groupBy("part").agg(F.sum("size").alias("s")).withColumn("upto", F.sum("s").over(W.orderBy("part")))
+    cut = upto.where(F.col("upto") > room).orderBy("part").select("part", (F.col("upto") - F.col("s")).alias("before")).first()
+    down = [F.col(c).desc() for c in order]
+    if cut is None:
+        return ranged.orderBy(*down).select(*order).first()
+    mine = ranged.where(F.col("part") == cut["part"]).withColumn("s", F.sum("size").over(W.orderBy(*order)))
+    last = mine.where(F.col("s") + F.lit(cut["before"]) <= room).orderBy(*down).select(*order).first()
+    return last or ranged.where(F.col("part") < cut["part"]).orderBy(*down).select(*order).first()
+
+
 def mix(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken of every document."""
     key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
@@ -66,8 +91,7 @@ def mix(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t.source_size", "t.n", "t.rank", "t.target")
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / RANGE_ROWS))).cast("int")
     rows = rows.withColumn("range", F.call_function("shiftright", F.col("key"), 60 - bits))
-    sums = rows.groupBy("rank", "range").agg(F.sum("size").alias("_sum"))
-    sums = sums.withColumn("_before", F.sum("_sum").over(W.partitionBy("rank").orderBy("range").rowsBetween(W.unboundedPreceding, 0)) - F.col("_sum")).drop("_sum")
+    sums = _sums_before(rows.groupBy("rank", "range", F.call_function("shiftright", F.col("range"), F.ceil(bits / 2).cast("int")).alias("coarse")).agg(F.sum("size").alias("_sum")))
     inside = F.sum("size").over(W.partitionBy("rank", "range").orderBy("key", "doc_id", "size"))
     rows = rows.withColumn("_inside", inside).join(sums, ["rank", "range"]).withColumn("done", F.col("_before") + F.col("_inside"))
     queued = land(rows.select("doc_id", "source", "size", "source_size", "target", "rank", "key", "done"), "queued")
@@ -82,8 +106,7 @@ def mix(docs: DataFrame, text: str = "text") -> DataFrame:
         taken = F.lit(ROUNDS)
     else:
         order = ("finish", "rank", "key", "doc_id", "size", "k")
-        edge = copies.where(F.col("bin") == cut["bin"]).select(*order, F.sum("size").over(W.orderBy(*order)).alias("s"))
-        last = edge.where(F.col("s") + F.lit(cut["before"]) <= budget).orderBy(*(F.col(c).desc() for c in order)).select(*order).first()
+        last = _last_within(copies.where(F.col("bin") == cut["bin"]).select(*order), order, budget - cut["before"])
         for k in range(ROUNDS):
             finish = _finish(k)
             whole = _bin(finish) < cut["bin"]

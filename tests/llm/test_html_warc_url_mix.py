@@ -91,3 +91,17 @@ def test_mix_of_odd_rows(spark):
     targets = {r["source"]: (r["source_size"], r["target"]) for r in got}
     assert targets["x"] == (6, 18.0) and targets["y"] == (2, 6.0) and targets["z"] == (0, 0.0) and targets[None] == (1000, 984.0)
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_small_ranges_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 3)
+    assert differences(spark, QUERIES["op10_fair_queue_mix"], ORACLE["op10_fair_queue_mix"], SF) is None
+
+
+def test_last_of_the_order_within_the_room(spark):
+    rows = [(i * 7 % 50, i % 5) for i in range(200)]
+    edge = spark.createDataFrame(rows, "key int, size int").select("key", "size")
+    for room in (0, 1, 57, 200, 399, 400, 1000):
+        got = mixing._last_within(edge, ("key", "size"), room)
+        fit = [x for x in sorted(set(rows)) if sum(y[1] for y in rows if y <= x) <= room]
+        assert (tuple(got) if got else None) == (fit[-1] if fit else None)
