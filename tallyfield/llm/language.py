@@ -9,7 +9,7 @@ Chains run over ``CHAIN`` words of a text at a time. A text's score for a langua
 All work on letters is done for a batch of whole texts at once in numpy arrays.
 
 The fit reads a bounded sample: at most ``per_language`` texts of each language (``PER_LANGUAGE`` by default),
-chosen by a hash of their ids, whole. Only text and language are learned from; prediction reads the text alone.
+chosen by a hash of text and language, each text once, whole. The table is read twice for it, once to count. Only text and language are learned from; prediction reads the text alone.
 
 Cases: null texts and texts without a letter are ``und`` with score 0. Null languages aren't learned from. With one
 language learned every text of letters is of that language; with none, ``und``. Ties go to the first by code point.
@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,15 +155,15 @@ class Model:
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Learn from ``docs``. Each language gives as many texts as ``per_language`` allows, chosen by a hash of text and language."""
-    rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null and t <> ''").withColumn("h", F.pmod(F.xxhash64("t", "l"), F.lit(1 << 30)))
-    shares = {r["l"]: min(1.0, 1.5 * per_language / r["n"]) for r in docs.groupBy(F.col(lang).alias("l")).agg(F.count(text).alias("n")).where("l is not null and n > 0").collect()}
-    if not shares:
+    rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null and t <> ''")
+    counts = rows.groupBy("l").agg(F.count("*").alias("n"))
+    share = F.least(F.lit(1.0), F.lit(3.0 * per_language) / F.col("n"))
+    some = rows.join(F.broadcast(counts), "l").withColumn("h", F.pmod(F.xxhash64("t", "l"), F.lit(1 << 30)))  # a row for each language
+    some = some.where(F.col("h") < share * (1 << 30)).select("l", "h", "t").distinct()
+    rank = F.row_number().over(W.partitionBy("l").orderBy("h", "t"))
+    got = sorted((r["l"], r["t"]) for r in some.withColumn("rank", rank).where(F.col("rank") <= per_language).select("l", "t").collect())
+    if not got:
         return Model((), np.zeros((WIDTH, 0), dtype=np.float32), np.zeros((0, 0)))
-    picked = None
-    for name, share in sorted(shares.items()):
-        part = rows.where((F.col("l") == name) & (F.col("h") < int(share * (1 << 30)))).orderBy("h", "t").limit(per_language)
-        picked = part if picked is None else picked.unionByName(part)
-    got = sorted((r["l"], r["t"]) for r in picked.select("l", "t").collect())
     names = tuple(sorted({r[0] for r in got}))
     weights, trans = fit_texts([r[1] for r in got], np.array([names.index(r[0]) for r in got]), len(names))
     return Model(names, weights, trans)
