@@ -41,41 +41,41 @@ def words(text: str | None) -> list[str]:
 
 
 class Tests:
-    """The suffixes of a block of items, as keys: the words' numbers, 16 bits each, big end first."""
+    """The suffixes of a block of items, as keys: the words' numbers, big end first, 16 bits each, or 32 where those don't hold them."""
 
     def __init__(self, items: list[tuple[str | None, str]], window: int):
         self.window, self.number = window, {}
         starts: dict[bytes, list[tuple[int, int]]] = {}
         self.ids = [i for i, _ in items]
-        for k, (_, text) in enumerate(items):
-            coded = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
+        every = [[self.number.setdefault(w, len(self.number) + 1) for w in words(text)] for _, text in items]
+        self.kind = np.dtype(">u2" if len(self.number) < 1 << 16 else ">u4")
+        self.shift = 8 * self.kind.itemsize
+        for k, coded in enumerate(every):
             if coded:
-                if len(self.number) > 65_000:
-                    raise ValueError("a block of the benchmark has too many distinct words")
-                array = np.array(coded, dtype=">u2")
+                array = np.array(coded, dtype=self.kind)
                 for j in range(max(1, len(coded) - window + 1)):
                     starts.setdefault(array[j : j + window].tobytes(), []).append((k, j))
         self.keys = sorted(starts)
-        self.length = np.array([len(k) // 2 for k in self.keys], dtype=np.int64)
+        self.length = np.array([len(k) // self.kind.itemsize for k in self.keys], dtype=np.int64)
         flat = [x for k in self.keys for x in starts[k]]
         self.item, self.at = np.array([x[0] for x in flat], dtype=np.int64), np.array([x[1] for x in flat], dtype=np.int64)
         self.first = np.concatenate([[0], np.cumsum([len(starts[k]) for k in self.keys])]).astype(np.int64)
-        wide = 2 * window
+        wide = self.kind.itemsize * window
         self.low = np.array([k.ljust(wide, b"\0") for k in self.keys], dtype=f"S{wide}")
         self.high = np.array([k.ljust(wide, b"\xff") for k in self.keys], dtype=f"S{wide}")
         self.short = int(self.length.min()) if self.keys else 0
-        self.pair = np.array(sorted({int.from_bytes(k[:4], "big") for k in self.keys}), dtype=np.int64)
+        self.pair = np.array(sorted({int.from_bytes(k[: 2 * self.kind.itemsize], "big") for k in self.keys}), dtype=np.int64)
 
     def search(self, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions of the shard, numbers of the test suffixes) of all matches. ``coded`` ends with ``window`` zeros."""
         n = len(coded) - self.window
         some = np.nonzero(coded[:n])[0]
         if self.short >= 2:
-            some = some[np.isin(coded[some].astype(np.int64) << 16 | coded[some + 1], self.pair)]
+            some = some[np.isin(coded[some].astype(np.int64) << self.shift | coded[some + 1], self.pair)]
         if not len(some):
             return some, some
-        big = coded.astype(">u2")
-        keys = np.ascontiguousarray(big[some[:, None] + np.arange(self.window)]).view(f"S{2 * self.window}").ravel()
+        big = coded.astype(self.kind)
+        keys = np.ascontiguousarray(big[some[:, None] + np.arange(self.window)]).view(f"S{self.kind.itemsize * self.window}").ravel()
         order = np.argsort(keys, kind="stable")  # the suffix array of the shard
         array, keys = some[order], keys[order]
         low, high = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
@@ -98,7 +98,7 @@ def shard_matches(texts: list[str | None], tests: Tests):
     hits, matches = [[] for _ in texts], [[] for _ in texts]
     if not tests.keys:
         return sizes, hits, matches
-    at, which = tests.search(np.array(coded, dtype=np.uint16))
+    at, which = tests.search(np.array(coded, dtype=tests.kind.newbyteorder("=")))
     doc = np.searchsorted(start, at, "right") - 1
     order = np.lexsort((tests.length[which], at))
     last = -1
@@ -144,7 +144,7 @@ def blocks(benchmark: DataFrame, block_chars: int):
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 120_000, text: str = "text") -> DataFrame:
     """``docs`` with ``n_words``, ``hits`` (ranges of hit words, in order, not touching) and ``matches`` (the longest
-    for each item with its place). A block of 120,000 characters has fewer than 65,000 distinct words."""
+    for each item with its place)."""
     added = [T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(RANGE)), T.StructField("matches", T.ArrayType(MATCH))]
     rest = [f for f in docs.schema.fields if f.name.lower() not in {"n_words", "hits", "matches"}]
     schema, place, width = T.StructType(rest + added), [f.name for f in rest].index(text), len(rest)

@@ -9,7 +9,9 @@ Chains run over ``CHAIN`` words of a text at a time. A text's score for a langua
 All work on letters is done for a batch of whole texts at once in numpy arrays.
 
 The fit reads a bounded sample: at most ``per_language`` texts of each language (``PER_LANGUAGE`` by default),
-chosen by a hash of text and language, each text once, whole. The table is read twice for it, once to count. Only text and language are learned from; prediction reads the text alone.
+chosen by a hash of text and language, each text once, whole. The table is read twice for it, once to count. The
+counts are broadcast: a row for each language, as the model has a column. Only text and language are learned from;
+prediction reads the text alone.
 
 Cases: null texts and texts without a letter are ``und`` with score 0. Null languages aren't learned from. With one
 language learned every text of letters is of that language; with none, ``und``. Ties go to the first by code point.

@@ -85,3 +85,11 @@ def test_decontamination_of_odd_rows(spark, chars):
     assert sorted(r[0] for r in decontaminate.decontaminate(docs_df, items_df).collect()) == [1, 2, 5]
     assert decontaminate.find_matches(docs_df, items_df.limit(0)).where(F.size("matches") > 0).count() == 0
     assert decontaminate.find_matches(docs_df.limit(0), items_df).count() == 0
+
+
+def test_an_item_of_very_many_distinct_words(spark):
+    item = " ".join(f"v{i}" for i in range(70_000))
+    part = " ".join(f"v{i}" for i in range(69_000, 69_040))
+    docs = spark.createDataFrame([(1, "so " + part), (2, "v1 v2 v3"), (3, "v0 v69999 " * 9)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in decontaminate.find_matches(docs, spark.createDataFrame([("a", item)], "item_id string, text string")).collect()}
+    assert [tuple(m) for m in found[1]["matches"]] == [("a", 1, 69_000, 40)] and not found[2]["hits"] and not found[3]["hits"]
