@@ -43,6 +43,10 @@ SKIP = re.compile(
     r"login|search|searchbox|form|skip-link|hidden|sr-only|copyright|disclaimer|legal|tags|byline-ads)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Beginnings of names that tell what is beside a block, not what it is.
+LAYOUT = re.compile(r"(?:has|with|no|without)[-_]", re.I)
+#: Names of headers, which inside an article hold its title.
+HEADER = re.compile(r"(?:^|[_-])header$", re.I)
 #: Words that mark the article in spite of those above.
 KEEP = re.compile(r"(?:^|[\s_-])(?:article|articlebody|article-body|content|main|post|story|entry|body|text)(?:$|[\s_-])", re.I)
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -78,7 +82,7 @@ def _cut(tag: str, attributes: str, inside_article: bool) -> bool:
         return True
     if tag in ("body", "html", "article", "main"):
         return False
-    names = f"{a.get('class', '')} {a.get('id', '')}"
+    names = " ".join(n for n in f"{a.get('class', '')} {a.get('id', '')}".split() if not LAYOUT.match(n) and not (inside_article and HEADER.search(n)))
     return bool(SKIP.search(names)) and not KEEP.fullmatch(a.get("class", "") or a.get("id", ""))
 
 

@@ -23,6 +23,8 @@ def test_query_equals_its_sql(spark, name):
         ("<main><section><p>A one.</p></section><section><p>B two.</p><ul><li>i<li>j</ul></section></main><footer>f</footer>", "A one.\nB two.\ni\nj"),
         ("<article><p>a\n\t b&nbsp;c</p><script>var t='</p>';</script><style>p{}</style><form><p>mail, us, now</p></form><p>d &lt;e&gt; &#233;</p></article>", "a b c\nd <e> é"),
         ("<article><p>cut off</p><p class='x", "cut off"),
+        ("<div class='content with-sidebar'><p>Long, long text, here</p></div><div class=sidebar><p>side, side</p></div>", "Long, long text, here"),
+        ("<div class='page-header'><p>Site, name</p></div><article><div class='entry-header'><h1>T</h1></div><p>a, b</p></article>", "T\na, b"),
         ("", ""),
         (None, ""),
     ],
