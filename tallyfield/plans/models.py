@@ -195,3 +195,15 @@ def ml_25(t):
     old, new = _split(t)
     scored = M.fit_ensemble(M.Config(FEATURES), old).score(new)
     return rounded(M.log_predictions(scored, "v1.0", F.lit("2000-06-01").cast("timestamp_ntz")), 4)
+
+
+@query("udf_4_member_types")
+def udf_4(t):
+    """Each registered type of member, fitted on the older contests: whether it gives margins, and its loss on the newest."""
+    old, new = (checkpointed(rows) for rows in _split(t))
+    scored, margins = new, {}
+    for name, build in sorted(M.MEMBERS.items()):
+        member = build(old, ("elo_diff",) if name == "elo" else FEATURES, name=name)
+        scored, margins[name] = member.score(scored), member.sigma is not None
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("member"), F.lit(m).alias("has_margin"), S.log_loss(F.col(f"p_{n}"), F.col("home_win")).alias("loss")) for n, m in margins.items())))
+    return rounded(scored.select(each.alias("r")).select("r.*").groupBy("member", "has_margin").agg(F.count("loss").alias("n"), F.avg("loss").alias("log_loss")), 4)

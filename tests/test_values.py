@@ -158,3 +158,12 @@ def test_walk_forward_and_decision(spark, t):
     out = M.walk_forward(M.Config(FEATURES, calibration="isotonic"), rows, M.Policy(n_folds=2, eval_window=200))
     assert out.count() == 200 and out.where("p_home BETWEEN 0.005 AND 0.995").count() == 200
     assert [M.decide(g, n, M.Policy()) for g, n in (({"a": True}, 0), ({"a": False}, 200), ({}, 3))] == ["structural", "refit", "no change"]
+
+
+def test_member_types_and_an_added_one(spark, t, monkeypatch):
+    from tallyfield.plans.models import udf_4
+
+    monkeypatch.setattr(M, "MEMBERS", {k: M.MEMBERS[k] for k in ("elo", "margin_ridge")} | {"form": lambda rows, features, name: M.logistic(rows, ("form3",), name)})
+    got = {r["member"]: r for r in udf_4(t).collect()}
+    assert set(got) == {"elo", "margin_ridge", "form"} and len({r["n"] for r in got.values()}) == 1 and got["elo"]["n"] > 0
+    assert got["margin_ridge"]["has_margin"] and not got["form"]["has_margin"] and all(0 < r["log_loss"] < 1 for r in got.values())
