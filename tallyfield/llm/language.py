@@ -9,8 +9,8 @@ Chains run over ``CHAIN`` words of a text at a time. A text's score for a langua
 All work on letters is done for a batch of whole texts at once in numpy arrays.
 
 The fit reads a bounded sample: at most ``per_language`` texts of each language (``PER_LANGUAGE`` by default),
-chosen by a hash of text and language, each text once, whole. The table is read twice for it, once to count. The
-counts are broadcast: a row for each language, as the model has a column. Only text and language are learned from;
+chosen by a hash of text and language, each text once, whole. The table is read twice for it, once to count the different
+texts of each language by their hashes, so copies change neither how many nor which texts are chosen. The counts are broadcast: a row for each language, as the model has a column. Only text and language are learned from;
 prediction reads the text alone.
 
 Cases: null texts and texts without a letter are ``und`` with score 0. Null languages aren't learned from. With one
@@ -158,9 +158,10 @@ class Model:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Learn from ``docs``. Each language gives as many texts as ``per_language`` allows, chosen by a hash of text and language."""
     rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null and t <> ''")
-    counts = rows.groupBy("l").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("h", F.xxhash64("t", "l"))
+    counts = rows.select("l", "h").distinct().groupBy("l").agg(F.count("*").alias("n"))  # of texts, not of their copies
     share = F.least(F.lit(1.0), F.lit(3.0 * per_language) / F.col("n"))
-    some = rows.join(F.broadcast(counts), "l").withColumn("h", F.pmod(F.xxhash64("t", "l"), F.lit(1 << 30)))  # a row for each language
+    some = rows.join(F.broadcast(counts), "l").withColumn("h", F.pmod("h", F.lit(1 << 30)))  # a row for each language
     some = some.where(F.col("h") < share * (1 << 30)).select("l", "h", "t").distinct()
     rank = F.row_number().over(W.partitionBy("l").orderBy("h", "t"))
     got = sorted((r["l"], r["t"]) for r in some.withColumn("rank", rank).where(F.col("rank") <= per_language).select("l", "t").collect())
