@@ -3,16 +3,15 @@
 A fingerprint has eight positional bytes. Two that differ in at most four bits differ in at most four bytes, so
 they share at least four: that is the guaranteed minimum. Lists of single (position, byte) pairs would hold a
 256th of all fingerprints each, so pairs would grow with the square of the input. The index therefore lists
-three positions at a time: of the 56 triples, the 20 of ``TRIPLES`` meet every set of four positions, so a
-linked pair stands in at least one common list, and a list has but a 2**24th of unrelated fingerprints.
-Within a list, the shared positional bytes of a pair are tallied, pairs with fewer than four go, and the rest
-are verified by counting bits.
+three positions at a time, all 56 triples: a list has but a 2**24th of unrelated fingerprints, and a pair that shares
+the positions of a set S meets in the lists of all triples within S, which together name S. So the positions of the lists where a
+pair meets, tallied over the whole index, are the positions it shares. Pairs with a tally under four go, and the rest are verified by counting bits.
 
-Only distinct fingerprints are indexed: exact copies cost nothing. A list isn't spelled out in pairs: it is
-searched breadth-first, each fingerprint meeting only those not reached yet, and gives one link less than it
-has members at most. Lists of over ``LONG`` members are dealt out in chunks by hash, each pair of chunks a list
-of its own, so no task holds a long list. The links' components are found by contraction: each node joins the
-smallest of its neighbours, pointers are shortened, and edges are renamed, until none is left.
+Only distinct fingerprints are indexed: exact copies cost nothing. Lists of over ``SHORT`` members come from dense groups and aren't
+spelled out in pairs: such a list is searched breadth-first, each fingerprint meeting only those not reached yet, with the same tally
+and check, and gives one link less than it has members at most. Lists of over ``LONG`` members are dealt out in chunks by hash, each
+pair of chunks a list of its own, so no task holds a long list. A pair that meets in a long list is tallied there in full, so it isn't lost
+if it meets in short ones too.
 
 Cases: a null or empty text has fingerprint zero and is linked like any other. A null id takes no part in
 the smallest id of its component; if all ids of a component are null, so is its component id. Repeated rows are
@@ -28,22 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, land, table
+from .groups import components, grouped, keep_heads, row_keys, units
+from .store import SMALL_TABLE, bounded_batches, join_hot, land, table
 
 SHINGLE = 4
 BITS = 4
+SHORT = 32
 LONG = 4096
 
-_GROUP = (0, 0, 0, 1, 1, 1, 2, 2)
-
-
-def _listed(three: tuple[int, ...]) -> bool:
-    """All of one group, or two of one group and one of the next: then any four positions have such a triple."""
-    count = [sum(_GROUP[p] == g for p in three) for g in range(3)]
-    return 3 in count or any(count[g] == 2 and count[(g + 1) % 3] == 1 for g in range(3))
-
-
-TRIPLES = tuple(t for t in combinations(range(8), 3) if _listed(t))
+TRIPLES = tuple(combinations(range(8), 3))
 
 
 def fingerprints_of(texts: list[bytes | None]) -> np.ndarray:
@@ -66,14 +58,15 @@ def fingerprints_of(texts: list[bytes | None]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a long."""
+    """doc_id, k1, k2 (row keys) and unit, the fingerprint as a long."""
 
     def run(batches):
-        for batch in bounded_batches(batches):
-            fp = fingerprints_of(batch.column(1).cast(pa.binary()).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        for batch in bounded_batches(batches, column=3):
+            fp = fingerprints_of(batch.column(3).cast(pa.binary()).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fp.view(np.int64))], names=["doc_id", "k1", "k2", "unit"])
 
-    return docs.select("doc_id", text).mapInArrow(run, docs.select("doc_id").schema.add("fp", "long"))
+    rows = docs.select("doc_id", *row_keys(text), F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(run, rows.drop("text").schema.add("unit", "long"))
 
 
 def forest(fps: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
@@ -120,67 +113,53 @@ def _links_of_lists(batches, bits: int):
         yield flush()
 
 
-def links(fps: DataFrame, bits: int = BITS, long: int = LONG) -> DataFrame:
+def _tallied(lists: DataFrame, bits: int) -> DataFrame:
+    """Links of the pairs of short lists (positions, members): their tally over all lists, its least value, then the bits."""
+    pair = lists.select("positions", F.posexplode("members").alias("i", "a"), "members").select("positions", "a", F.explode(F.expr("slice(members, i + 2, size(members))")).alias("b"))
+    tally = pair.groupBy("a", "b").agg(F.bit_or("positions").alias("shared"))
+    return tally.where((F.bit_count("shared") >= 8 - bits) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).select("a", "b")
+
+
+def links(fps: DataFrame, bits: int = BITS, short: int = SHORT, long: int = LONG) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of ``fps`` (fp long), enough to join all that are joined."""
     if bits > 4:
-        raise ValueError("the triples guarantee a common list for at most four differing bits")
+        raise ValueError("four shared positions, which name themselves by triples, are sure for at most four differing bits")
     byte = lambda p: F.call_function("shiftrightunsigned", F.col("fp"), F.lit(8 * p)).bitwiseAND(F.lit(255))
     keys = [F.lit(i << 24).cast("long") + byte(t[0]) * 65536 + byte(t[1]) * 256 + byte(t[2]) for i, t in enumerate(TRIPLES)]
     postings = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    size = land(postings.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > long), "long-lists")
+    size = land(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "lists")
+    held = land(postings.join(F.broadcast(size) if size.count() <= SMALL_TABLE else size, "key"), "postings")
+    number = F.call_function("shiftright", F.col("key"), F.lit(24))
+    positions = F.element_at(F.array(*(F.lit(sum(1 << p for p in t)) for t in TRIPLES)), (number + 1).cast("int"))
+    each = held.where(F.col("n") <= short).groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("members"))  # at most ``short`` of each
+    few = _tallied(each.select(positions.alias("positions"), "members"), bits)
+
     zero = F.lit(0).cast("long")
-    n = size.count()
-    if n:
-        chunks = F.ceil(F.col("n") / (long // 2)).cast("long")
-        mine = F.pmod(F.xxhash64("fp"), chunks)
-        other = F.explode(F.when(F.col("n").isNull(), F.array(zero)).otherwise(F.sequence(zero, chunks - 1)))
-        spread = postings.join(F.broadcast(size) if n <= 100_000 else size, "key", "left").select("fp", "key", F.coalesce(mine, zero).alias("mine"), other.alias("other"))
-        postings = spread.select("key", F.least("mine", "other").alias("c"), F.greatest("mine", "other").alias("d"), "fp")
-    else:
-        postings = postings.select("key", zero.alias("c"), zero.alias("d"), "fp")
+    chunks = F.ceil(F.col("n") / (long // 2)).cast("long")
+    mine, whole = F.pmod(F.xxhash64("fp"), chunks), F.col("n") <= long
+    other = F.explode(F.when(whole, F.array(zero)).otherwise(F.sequence(zero, chunks - 1)))
+    spread = held.where(F.col("n") > short).select("fp", "key", F.when(whole, zero).otherwise(mine).alias("mine"), other.alias("other"))
+    dense = spread.select("key", F.least("mine", "other").alias("c"), F.greatest("mine", "other").alias("d"), "fp")
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return postings.repartition(parts, "key", "c", "d").sortWithinPartitions("key", "c", "d").mapInArrow(lambda it: _links_of_lists(it, bits), "a long, b long")
+    many = dense.repartition(parts, "key", "c", "d").sortWithinPartitions("key", "c", "d").mapInArrow(lambda it: _links_of_lists(it, bits), "a long, b long")
+    return few.unionByName(many)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and root of every node that has an edge (a, b): equal roots are joined."""
+def _known(docs: DataFrame, text: str, bits: int, short: int, long: int) -> tuple[DataFrame, DataFrame]:
+    marked = land(fingerprints(docs, text), "fingerprints")
+    one = units(marked)
+    return marked, grouped(one, links(one.select(F.col("unit").alias("fp")), bits, short, long))
 
-    def tidy(e):
-        return land(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
 
-    e, labels = tidy(edges), None
-    while not e.isEmpty():
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = land(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")), "parents")
-        for _ in range(3):
-            nxt = up.select(F.col("node").alias("up"), F.col("up").alias("next"))
-            up = land(up.join(nxt, "up").select("node", F.col("next").alias("up")), "parents")
-        if labels is None:
-            labels = up.select("node", F.col("up").alias("root"))
-        else:
-            labels = land(labels.join(up.select(F.col("node").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root")), "roots")
-        a, b = up.select(F.col("node").alias("a"), F.col("up").alias("x")), up.select(F.col("node").alias("b"), F.col("up").alias("y"))
-        e = tidy(e.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    return labels if labels is not None else e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+def near_groups(docs: DataFrame, text: str = "text", bits: int = BITS, short: int = SHORT, long: int = LONG) -> DataFrame:
+    """doc_id, fp and component_id, the smallest id that links lead to."""
+    marked, known = _known(docs, text, bits, short, long)
+    return join_hot(marked.select("doc_id", "unit"), known, "unit").select("doc_id", F.col("unit").alias("fp"), F.col("head.doc_id").alias("component_id"))
 
 
-def near_groups(docs: DataFrame, text: str = "text", bits: int = BITS, long: int = LONG) -> DataFrame:
-    """doc_id, fp and component_id, the smallest id that links lead to."""
-    marked = land(fingerprints(docs, text), "fingerprints")
-    first = land(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = components(links(first.select("fp"), bits, long)).select(F.col("node").alias("fp"), "root")
-    joined = first.join(roots, "fp")
-    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = land(joined.join(least, "root").select("fp", "component_id"), "linked")
-    known = first.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return marked.join(known, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_first(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one document of each group, that of the smallest id. Rows of null id are kept, exact repeats once."""
-    groups = near_groups(docs, text)
-    drop = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", text])
+def keep_first(docs: DataFrame, text: str = "text", bits: int = BITS) -> DataFrame:
+    """``docs`` with one row of each group, that of the smallest id, null last; of equal ids that of the smallest hash."""
+    return keep_heads(docs, *_known(docs, text, bits, SHORT, LONG), text)
 
 
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

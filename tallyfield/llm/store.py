@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -29,6 +30,27 @@ def land(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with over this share of all rows is hot; so fewer than its inverse are.
+HOT = 1 / 2000
+#: Landed tables of at most so many short rows are broadcast.
+SMALL_TABLE = 100_000
+
+
+def join_hot(rows: DataFrame, values: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """``rows`` joined to ``values``, a landed table of one row for each key with ``n``, the number of its rows in ``rows``.
+
+    A small table is broadcast. Of others the hot keys are broadcast, which fewer than 2,000 rows of ``values`` are, and the rest
+    are joined by a shuffle, which has no hot key then.
+    """
+    total, number = values.agg(F.sum(n), F.count("*")).first()
+    if number <= SMALL_TABLE:
+        return rows.join(F.broadcast(values), key)
+    least = (total or 0) * HOT
+    hot = F.broadcast(values.where(F.col(n) > least))
+    cold = rows.join(F.broadcast(values.where(F.col(n) > least).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(cold.join(values.where(F.col(n) <= least), key))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

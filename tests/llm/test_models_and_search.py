@@ -34,9 +34,10 @@ def plain_components(pairs):
     return out
 
 
-def test_every_four_positions_hold_a_listed_triple():
-    assert len(simhash.TRIPLES) == 20
-    assert all(any(set(t) <= set(four) for t in simhash.TRIPLES) for four in combinations(range(8), 4))
+def test_shared_positions_name_themselves_by_triples():
+    for n in range(4, 9):
+        for some in combinations(range(8), n):
+            assert set().union(*(t for t in simhash.TRIPLES if set(t) <= set(some))) == set(some)
 
 
 def test_groups_equal_brute_force(spark):
@@ -47,8 +48,8 @@ def test_groups_equal_brute_force(spark):
     assert got == {i: (f"{fp:016x}", least[i]) for i, fp in prints}
 
 
-@pytest.mark.parametrize("long", [4096, 8])
-def test_links_join_all_that_brute_force_joins(spark, long):
+@pytest.mark.parametrize("short, long", [(32, 4096), (10_000, 20_000), (1, 4096), (4, 8)])
+def test_links_join_all_that_brute_force_joins(spark, short, long):
     rng = random.Random(5)
     fps = {0, (1 << 64) - 1}
     for _ in range(12):  # chains and dense groups
@@ -61,7 +62,7 @@ def test_links_join_all_that_brute_force_joins(spark, long):
     fps = sorted(fps)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
-    roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, long=long)).collect()}
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, short=short, long=long)).collect()}
     least, group = plain_components(list(enumerate(fps))), {}
     for i, x in enumerate(fps):
         group.setdefault(least[i], set()).add(roots.get(signed(x), signed(x)))
@@ -74,7 +75,11 @@ def test_near_groups_of_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp int")
     got = sorted((r["doc_id"] or -1, r["component_id"]) for r in simhash.near_groups(docs).collect())
     assert got == [(-1, 3), (2, 2), (3, 3), (3, 3), (5, 3), (6, 6), (7, 6), (8, 8), (9, 8)]
-    assert sorted((r["doc_id"] or -1) for r in simhash.keep_first(docs).collect()) == [-1, 2, 3, 6, 8]
+    assert sorted((r["doc_id"] or -1) for r in simhash.keep_first(docs).collect()) == [2, 3, 6, 8]
+    other = " ".join(f"v{i}" for i in range(200))
+    twice = spark.createDataFrame([(3, text), (5, text), (5, other), (9, other + " x"), (3, text + " y"), (None, text), (None, text + " z"), (None, "alone"), (None, "alone")], "doc_id long, text string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_first(twice).collect()), key=str)
+    assert len(kept) == 3 and (5, other) in kept and (None, "alone") in kept and kept[0][0] == 3
     assert simhash.near_groups(docs.limit(0)).count() == 0
 
 
