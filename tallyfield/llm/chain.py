@@ -36,25 +36,66 @@ def forward_backward(emit: np.ndarray, trans: np.ndarray, length: np.ndarray):
     return log_z, post, pairs
 
 
-def marginals(scores: np.ndarray, trans: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Label marginals (T, N, L) by forward-backward in probability space, scaled at each step:
-    no logarithm in the loop. Steps past the end of a sequence hold zeros."""
-    steps = len(scores)
-    live = np.arange(steps)[:, None] < length[None]
-    e = np.exp(scores - scores.max(axis=2, keepdims=True))
-    move = np.exp(trans)
+def whole_marginals(emit: np.ndarray, text: np.ndarray, trans: np.ndarray, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Label marginals (words, L) and expected transition counts (L, L) of whole sequences, exactly, by scaled forward-backward.
+
+    ``emit`` (words, L) has the words of all sequences one after the other, ``text`` (words,) the number of each word's sequence. Sequences are
+    dealt out in blocks. All blocks are walked at once: first for the product of their transfer matrices, which carry the messages from block to
+    block, then for the messages inside. So a sequence isn't cut anywhere, and the steps are those of one block and the number of blocks of the longest.
+    """
+    n, k = emit.shape
+    if not n:
+        return np.zeros((0, k)), np.zeros((k, k))
+    new = np.ones(n, dtype=bool)
+    new[1:] = text[1:] != text[:-1]
+    begin = np.nonzero(new)[0]
+    inside = np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n)))
+    step, number = inside % block, np.cumsum(inside % block == 0) - 1
+    length = np.bincount(number)
+    steps, count = int(length.max()), len(length)
+    first = inside[step == 0] == 0  # of each block: whether it starts a sequence
+    move, tiny = np.exp(trans - trans.max()), 1e-300
+    e = np.ones((steps, count, k))
+    e[step, number] = np.exp(emit - emit.max(axis=1, keepdims=True))
+
+    last = np.append(first[1:], True)
+    many = np.nonzero(~(first & last))[0]  # blocks of sequences that have more than one
+    incoming, outgoing = np.ones((count, k)), np.ones((count, k))
+    if len(many):
+        p = np.where(first[many][:, None, None], np.eye(k), move) * e[0, many][:, None, :]
+        for t in range(1, steps):
+            q = (p @ move) * e[t, many][:, None, :]
+            q /= np.maximum(q.max(axis=(1, 2), keepdims=True), tiny)
+            p = np.where((t < length[many])[:, None, None], q, p)
+        place = np.full(count, -1)
+        place[many] = np.arange(len(many))
+        heads = np.nonzero(first)[0]
+        blocks = np.diff(np.append(heads, count))
+        for j in range(1, int(blocks.max())):
+            at = heads[blocks > j] + j
+            x = np.einsum("ni,nij->nj", incoming[at - 1], p[place[at - 1]])
+            incoming[at] = x / np.maximum(x.sum(1, keepdims=True), tiny)
+        for j in range(int(blocks.max()) - 1, 0, -1):
+            at = heads[blocks > j] + j
+            x = np.einsum("nij,nj->ni", p[place[at]], outgoing[at])
+            outgoing[at - 1] = x / np.maximum(x.max(1, keepdims=True), tiny)
+
     a, b = np.empty_like(e), np.empty_like(e)
-    a[0] = e[0] / e[0].sum(1, keepdims=True)
-    for t in range(1, steps):
-        x = (a[t - 1] @ move) * e[t]
-        a[t] = x / np.maximum(x.sum(1, keepdims=True), 1e-300)
-    b[-1] = 1.0
+    before = np.where(first[:, None], 1.0, incoming @ move)  # what each block's first word is told
+    for t in range(steps):
+        x = (a[t - 1] @ move if t else before) * e[t]
+        a[t] = x / np.maximum(x.sum(1, keepdims=True), tiny)
+    b[steps - 1] = outgoing
     for t in range(steps - 2, -1, -1):
         x = (e[t + 1] * b[t + 1]) @ move.T
-        b[t] = np.where(live[t + 1][:, None], x / np.maximum(x.sum(1, keepdims=True), 1e-300), 1.0)
-    post = a * b
-    post /= np.maximum(post.sum(2, keepdims=True), 1e-300)
-    return post * live[:, :, None]
+        b[t] = np.where((t + 1 < length)[:, None], x / np.maximum(x.max(1, keepdims=True), tiny), outgoing)
+    alpha, beta, e = a[step, number], b[step, number], e[step, number]
+    post = alpha * beta
+    post /= np.maximum(post.sum(1, keepdims=True), tiny)
+    on = np.nonzero(~new)[0]
+    left, right = alpha[on - 1], e[on] * beta[on]
+    pairs = move * ((left / np.maximum(((left @ move) * right).sum(1, keepdims=True), tiny)).T @ right)
+    return post, pairs
 
 
 def viterbi(emit: np.ndarray, trans: np.ndarray, length: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:

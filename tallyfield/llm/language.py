@@ -3,15 +3,17 @@
 A word is a run of letters, in lower case. Its features are hashed: all letter trigrams with marks for the word's
 ends (which cover affixes of two), its first and last three letters, and the word itself (the lexicon). Emissions
 are sums of their weights, transitions between the languages of neighbouring words are learned with them, and
-forward-backward gives each word's distribution, so the words of a code-switched text get labels of their own.
-Chains run over ``CHAIN`` words of a text at a time. A text's score for a language is the mean over its words.
+forward-backward over the whole text gives each word's distribution, so the words of a code-switched text get labels of their own.
+A text's score for a language is the mean over its words.
 
 All work on letters is done for a batch of whole texts at once in numpy arrays.
 
-The fit reads a bounded sample: at most ``per_language`` texts of each language (``PER_LANGUAGE`` by default),
-chosen by a hash of text and language, each text once, whole. The table is read twice for it, once to count the different
-texts of each language by their hashes, so copies change neither how many nor which texts are chosen. The counts are broadcast: a row for each language, as the model has a column. Only text and language are learned from;
-prediction reads the text alone.
+The fit reads a bounded sample: at most ``per_language`` texts (``PER_LANGUAGE`` by default) of each of at most ``languages`` languages
+(``LANGUAGES``: those of most different texts, ties by code point), chosen by a hash of text and language, each text once, whole, until the sample has
+``MAX_CHARS`` characters. The table is read twice for it, once to count the different texts of each language by their hashes, so copies change
+neither how many nor which texts are chosen. Only text and language are learned from; prediction reads the text alone. A text has one
+label, so by themselves the chosen texts would teach that languages never change: the chains learned from are the texts, and besides them
+chains of ``SWITCH`` words of one text after as many of the next, dealt round the sample, which teach the changes.
 
 Cases: null texts and texts without a letter are ``und`` with score 0. Null languages aren't learned from. With one
 language learned every text of letters is of that language; with none, ``und``. Ties go to the first by code point.
@@ -33,8 +35,10 @@ from . import chain
 from .store import bounded_batches, table
 
 WIDTH = 1 << 16
-CHAIN = 64
 PER_LANGUAGE = 300
+LANGUAGES = 200
+MAX_CHARS = 200_000_000
+SWITCH = 12
 UNKNOWN = "und"
 
 _letter: np.ndarray | None = None
@@ -49,12 +53,13 @@ def letters() -> np.ndarray:
 
 @dataclass
 class Words:
-    """The words of several texts: hashed trigrams (``tri``, sliced by ``start``), three more features each, and the text of each."""
+    """The words of several texts: hashed trigrams (``tri``, sliced by ``start``), three more features each, the text of each, and its hash."""
 
     tri: np.ndarray
     start: np.ndarray
     more: np.ndarray
     text: np.ndarray
+    whole: np.ndarray
 
 
 def _slot(x: np.ndarray) -> np.ndarray:
@@ -68,7 +73,7 @@ def words_of(texts: list[str | None]) -> Words:
     on = letters()[code]
     at = np.nonzero(on)[0]
     if not len(at):
-        return Words(at, at, np.zeros((0, 3), dtype=np.int64), at)
+        return Words(at, at, np.zeros((0, 3), dtype=np.int64), at, at)
     first = np.ones(len(at), dtype=bool)
     first[1:] = np.diff(at) > 1
     last = np.append(first[1:], True)
@@ -86,66 +91,81 @@ def words_of(texts: list[str | None]) -> Words:
     tail = _slot(np.uint64(3) << np.uint64(62) ^ (pick(stop, size > 0) << np.uint64(42) | pick(stop - 1, size > 1) << np.uint64(21) | pick(stop - 2, size > 2)))
     power = (np.arange(n) - np.repeat(start, size)).astype(np.uint64)
     whole = np.add.reduceat((c + np.uint64(7)) * (power * np.uint64(0x632BE59BD9B4E019) + np.uint64(0x8CB92BA72F3D8DD7)), start)
-    return Words(tri, start, np.stack([head, tail, _slot(whole)], 1), np.searchsorted(end, at[start], "right"))
+    return Words(tri, start, np.stack([head, tail, _slot(whole)], 1), np.searchsorted(end, at[start], "right"), whole)
+
+
+def forms(w: Words) -> tuple[Words, np.ndarray]:
+    """The different words, and for each word the number of its form: features are worked out once for each form."""
+    key = w.whole
+    _, one, number = np.unique(key, return_index=True, return_inverse=True)
+    size = np.diff(np.append(w.start, len(w.tri)))
+    start = np.concatenate([[0], np.cumsum(size[one])[:-1]]).astype(np.int64)
+    take = np.repeat(w.start[one] - start, size[one]) + np.arange(int(size[one].sum()))
+    return Words(w.tri[take], start, w.more[one], np.zeros(len(one), dtype=np.int64), key[one]), number
 
 
 def emissions(w: Words, weights: np.ndarray) -> np.ndarray:
     """(words, languages)."""
     if not len(w.start):
-        return np.zeros((0, weights.shape[1]), dtype=np.float32)
-    out = np.empty((len(w.start), weights.shape[1]), dtype=np.float32)
+        return np.zeros((0, weights.shape[1]))
+    few, number = forms(w)
+    out = np.empty((len(few.start), weights.shape[1]))
     for k in range(weights.shape[1]):  # one column at a time keeps the gathers in cache
         column = np.ascontiguousarray(weights[:, k])
-        out[:, k] = np.add.reduceat(column[w.tri], w.start) + column[w.more].sum(1)
-    return out
+        out[:, k] = np.add.reduceat(column[few.tri], few.start) + column[few.more].sum(1)
+    return out[number]
 
 
-def chains(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place of each word as (step, sequence), and the sequences' lengths: a text's words in runs of ``CHAIN``."""
-    n = len(text)
-    new = np.ones(n, dtype=bool)
-    new[1:] = text[1:] != text[:-1]
-    begin = np.nonzero(new)[0]
-    inside = np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n)))
-    step = inside % CHAIN
-    sequence = np.cumsum(step == 0) - 1
-    return step, sequence, np.bincount(sequence)
+def word_marginals(w: Words, weights: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    return chain.whole_marginals(emissions(w, weights), w.text, trans)[0]
 
 
-def word_marginals(w: Words, weights: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    n, k = len(w.start), weights.shape[1]
-    if not n:
-        return np.zeros((0, k))
-    step, sequence, length = chains(w.text)
-    grid = np.zeros((int(length.max()), len(length), k), dtype=np.float32)
-    grid[step, sequence] = emissions(w, weights)
-    return chain.marginals(grid, trans.astype(np.float32), length)[step, sequence]
+def _switched(text: np.ndarray, langs: np.ndarray, switch: int = SWITCH) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers and sequence numbers of chains that change language: ``switch`` words of each text, one after the other, in four chains."""
+    begin = np.nonzero(np.append(True, text[1:] != text[:-1]))[0]
+    size = np.minimum(np.diff(np.append(begin, len(text))), switch)
+    turn = {}
+    order = []
+    for i, lang in enumerate(langs[text[begin]].tolist()):  # one text of each language in turn
+        turn[lang] = turn.get(lang, -1) + 1
+        order.append((turn[lang], lang, i))
+    order = np.array([i for *_, i in sorted(order)])
+    words = np.concatenate([np.arange(begin[i], begin[i] + size[i]) for i in order])
+    return words, np.repeat(np.arange(len(order)) * 4 // max(1, len(order)), size[order])
 
 
 def fit_texts(texts: list[str], langs: np.ndarray, count: int, rounds: int = 25, ridge: float = 0.5, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (WIDTH, languages) and transitions, by Adagrad on the conditional likelihood of the words' labels."""
+    """Weights (WIDTH, languages) and transitions, by Adagrad on the conditional likelihood of the words' labels. Only features that the
+    sample has are worked on."""
     w = words_of(texts)
-    step, sequence, length = chains(w.text)
-    gold = langs[w.text]
-    owner = np.repeat(np.arange(len(w.start)), np.diff(np.append(w.start, len(w.tri))))
-    one = np.eye(count)[gold]
-    same = (np.diff(sequence) == 0) if len(sequence) > 1 else np.zeros(0, dtype=bool)
+    if not len(w.start):
+        return np.zeros((WIDTH, count), dtype=np.float32), np.zeros((count, count))
+    few, number = forms(w)
+    again, sequence = _switched(w.text, langs)
+    words, sequence = np.concatenate([np.arange(len(w.start)), again]), np.concatenate([w.text, sequence + len(texts)])
+    gold, number = langs[w.text][words], number[words]
+    same = np.diff(sequence) == 0
     want = np.zeros((count, count))
     np.add.at(want, (gold[:-1][same], gold[1:][same]), 1)
-    x, trans = np.zeros((WIDTH, count)), np.zeros((count, count))
+    used, slot = np.unique(np.concatenate([few.tri, few.more.ravel()]), return_inverse=True)
+    slot = slot[: len(few.tri)], slot[len(few.tri) :].reshape(few.more.shape)
+    owner = np.repeat(np.arange(len(few.start)), np.diff(np.append(few.start, len(few.tri))))
+    gold_sum = np.stack([np.bincount(number[gold == k], minlength=len(few.start)) for k in range(count)], 1)
+    x, trans = np.zeros((len(used), count)), np.zeros((count, count))
     seen_x, seen_t = np.full_like(x, 1e-6), np.full_like(trans, 1e-6)
     for _ in range(rounds):
-        grid = np.zeros((int(length.max()), len(length), count))
-        grid[step, sequence] = emissions(w, x)
-        _, post, pairs = chain.forward_backward(grid, trans, length)
-        rest = one - post[step, sequence]
-        g = np.stack([np.bincount(w.tri, weights=rest[owner, k], minlength=WIDTH) + sum(np.bincount(w.more[:, j], weights=rest[:, k], minlength=WIDTH) for j in range(3)) for k in range(count)], 1) - ridge * x
+        score = np.stack([np.add.reduceat(x[slot[0], k], few.start) + x[slot[1], k].sum(1) for k in range(count)], 1)
+        post, pairs = chain.whole_marginals(score[number], sequence, trans)
+        rest = gold_sum - np.stack([np.bincount(number, weights=post[:, k], minlength=len(few.start)) for k in range(count)], 1)
+        g = np.stack([np.bincount(slot[0], weights=rest[owner, k], minlength=len(used)) + sum(np.bincount(slot[1][:, j], weights=rest[:, k], minlength=len(used)) for j in range(3)) for k in range(count)], 1) - ridge * x
         seen_x += g * g
         x += rate * g / np.sqrt(seen_x)
         g = want - pairs - ridge * trans
         seen_t += g * g
         trans += rate * g / np.sqrt(seen_t)
-    return x.astype(np.float32), trans
+    weights = np.zeros((WIDTH, count), dtype=np.float32)
+    weights[used] = x
+    return weights, trans
 
 
 @dataclass(frozen=True)
@@ -155,16 +175,18 @@ class Model:
     trans: np.ndarray
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
     """Learn from ``docs``. Each language gives as many texts as ``per_language`` allows, chosen by a hash of text and language."""
     rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null and t <> ''")
     rows = rows.withColumn("h", F.xxhash64("t", "l"))
     counts = rows.select("l", "h").distinct().groupBy("l").agg(F.count("*").alias("n"))  # of texts, not of their copies
+    counts = counts.orderBy(F.col("n").desc(), "l").limit(languages)
     share = F.least(F.lit(1.0), F.lit(3.0 * per_language) / F.col("n"))
     some = rows.join(F.broadcast(counts), "l").withColumn("h", F.pmod("h", F.lit(1 << 30)))  # a row for each language
     some = some.where(F.col("h") < share * (1 << 30)).select("l", "h", "t").distinct()
     rank = F.row_number().over(W.partitionBy("l").orderBy("h", "t"))
-    got = sorted((r["l"], r["t"]) for r in some.withColumn("rank", rank).where(F.col("rank") <= per_language).select("l", "t").collect())
+    chosen = some.withColumn("rank", rank).where(F.col("rank") <= per_language).withColumn("upto", F.sum(F.length("t")).over(W.orderBy("rank", "l")))
+    got = sorted((r["l"], r["t"]) for r in chosen.where((F.col("upto") <= MAX_CHARS) | (F.col("rank") == 1)).select("l", "t").collect())
     if not got:
         return Model((), np.zeros((WIDTH, 0), dtype=np.float32), np.zeros((0, 0)))
     names = tuple(sorted({r[0] for r in got}))
