@@ -1,11 +1,14 @@
 """Personal data: base patterns, and a linear-chain conditional random field over word shapes.
 
 The field learns from the small labelled table of ``pii_examples`` and is decoded by Viterbi in numpy
-batches. Its labels are none and three kinds that the base patterns don't cover: ``tel`` (phone numbers
-without a country code), ``ssn`` (national numbers) and ``mail`` (addresses spelled in words). It adds
-spans; where one overlaps a base span, the base span stays and the other goes.
-
-Decoding is exact. All plain words of letters share one emission, so ``reach`` can be worked out: a plain
+batches. Its labels are none and kinds that the base patterns don't cover: ``tel`` (phone numbers
+without a country code), ``ssn`` (national numbers), ``mail`` (addresses spelled in words), ``name``, ``address``, ``birth`` (dates of
+birth), ``account`` (account, passport and routing numbers) and ``secret`` (passwords, keys and tokens). It adds
+spans; where one overlaps a base span, the base span stays and the other goes. All of what makes a span is learned: the features are shapes
+of words, counts of digits in runs of numbers, classes of the words around (a small lexicon of cues, given names, months, streets),
+and the nearest cue before.
+
+Decoding is exact. All plain words (without digits, of no class, and not near what makes them telling) share one emission, so ``reach`` can be worked out: a plain
 word with so many plain words on both sides is "none" on the best path, whatever lies beyond. Sequences
 are cut there; the pieces around the other words are padded and decoded together, so the work per plain
 word is one test. If no such reach exists, whole texts are decoded.
@@ -27,12 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import chain
-from .pii_examples import EXAMPLES
+from .pii_examples import GIVEN, learn_table
 from .store import bounded_batches, table
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "tel", "ssn", "mail")
-LABELS = ("", "tel", "ssn", "mail")
+LABELS = ("", "tel", "ssn", "mail", "name", "address", "birth", "account", "secret")
+KINDS = (*BASE, *LABELS[1:])
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())]))
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -89,12 +92,50 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 _RUN = re.compile(r"([A-Z]+)|([^\W\d_A-Z]+)|([0-9]+)")
-LEXICON = frozenset(["at", "dot"])
+_EDGE = ".,;:!?\"'()[]{}<>#*&%$|"
+PLAIN, CAPITAL, STATE, NUMBER = 0, 1, 2, 3
+#: Classes of words by their lower-case form; fixed values.
+CUES = {
+    "at": "at", "dot": "dot", "=": "equal", ":=": "equal",
+    "tel": "call phone phones telephone mobile fax text dial ring cell tel reach",
+    "ssn": "ssn social security",
+    "born": "born birth dob birthday",
+    "account": "account acct iban routing passport",
+    "secret": "password passwd pwd secret token api_key apikey key api",
+    "name": "name named contact signed dear patient met ask asked",
+    "street": "street st avenue ave road rd lane ln drive boulevard blvd court terrace square straße strasse",
+    "month": "january february march april may june july august september october november december",
+    "unit": "apt suite unit po box",
+    "title": "mr mrs ms dr prof herr frau",
+}
+CUES["equal"], CUES["at"], CUES["dot"] = "= :=", "at", "dot"
+NAMES = ("at", "dot", "equal", "tel", "ssn", "born", "account", "secret", "name", "street", "month", "unit", "title", "given")
+CODE = {name: 4 + i for i, name in enumerate(NAMES)}
+CLASS = {w: CODE[k] for k in NAMES[:-1] for w in CUES[k].split()}
+ASKED = frozenset(CODE[k] for k in ("tel", "ssn", "born", "account", "secret", "name"))
+#: Given names of the lexicon: two of three of those to learn from, so that the field learns to do without.
+CLASS |= {w.lower(): CODE["given"] for i, w in enumerate(GIVEN[0]) if i % 3 and w.lower() not in CLASS}
+NEAR = frozenset(CODE[k] for k in ("name", "street", "unit", "title", "given"))
+AT, DOT, STREET, TITLE, GIVEN_NAME = (CODE[k] for k in ("at", "dot", "street", "title", "given"))
+_CAPITAL = re.compile(r"[A-ZÀ-Þ][\w'’-]*")
+_HEX = re.compile(r"[0-9a-f]{16,}")
+
+
+def word_class(word: str) -> int:
+    if not word.isalpha():
+        if _DIGIT.search(word) or "@" in word:
+            return NUMBER
+        if word in ("=", ":="):
+            return CODE["equal"]
+        word = word.strip(_EDGE)
+    known = CLASS.get(word.lower(), PLAIN)
+    if (known in (GIVEN_NAME, TITLE) or (known == STREET and len(word) < 5)) and not word.istitle():
+        return PLAIN
+    return known or (STATE if len(word) == 2 and word.isupper() else CAPITAL if _CAPITAL.fullmatch(word) else PLAIN)
 
 
 def plain(word: str) -> bool:
-    core = word.strip(".,;:!?")
-    return core.isalpha() and core.lower() not in LEXICON
+    return word_class(word) < NUMBER
 
 
 def shape(word: str) -> str:
@@ -102,49 +143,109 @@ def shape(word: str) -> str:
     return _RUN.sub(lambda m: "X" if m[1] else "x" if m[2] else "9" * min(5, len(m[3])), word)[:40]
 
 
-def features(word: str) -> list[str]:
-    if plain(word):
-        return ["bias", "plain"]
-    core = word.strip(".,;:!?")
-    s, bare, digits = shape(core), core.strip("()[]").lower(), sum(c.isdigit() for c in core)
-    return ["bias", "s=" + s, "c=" + re.sub("9+", "9", s), f"d={min(digits, 12)}", f"r={bool(digits) and not any(c.isalpha() for c in core)}"] + (["w=" + core.lower(), "b=" + bare] if bare in LEXICON else [])
-
-
-@lru_cache(maxsize=4)
-def learned(rounds: int = 400, ridge: float = 0.02):
-    """(feature -> weights of the labels, transitions) from the labelled table."""
-    rows = []
-    for line in EXAMPLES:
-        words: list[tuple[str, int]] = []
-        for part in re.split(r"(\[(?:[^\[\]|]|\[\w+\])*\|\w+\][.,;:]*)", line):
-            if m := re.fullmatch(r"\[((?:[^\[\]|]|\[\w+\])*)\|(\w+)\]([.,;:]*)", part):
-                words += [(w, LABELS.index(m[2])) for w in (m[1] + m[3]).split()]
-            else:
-                words += [(w, 0) for w in part.split()]
-        rows.append(words)
+def odd_words(classes: list[int]) -> dict[int, str]:
+    """The words that have features of their own, each with its part in a spelled address (or nothing): those of a class, capitals within
+    two words of one that names go with, two capital letters before a number, and the words around an "at" that a "dot" follows."""
+    odd: dict[int, str] = {}
+    n = len(classes)
+    marked = [i for i, c in enumerate(classes) if c >= NUMBER]
+    for i in marked:
+        odd.setdefault(i, "")
+        for j in range(max(0, i - 2), min(n, i + 3)) if classes[i] in NEAR else ():
+            if classes[j] in (CAPITAL, STATE):
+                odd.setdefault(j, "")
+        if classes[i] == NUMBER and i and classes[i - 1] == STATE:
+            odd.setdefault(i - 1, "")
+        if classes[i] == AT:
+            dots = [j for j in range(i + 2, min(n, i + 6)) if classes[j] == DOT]
+            if dots:
+                start = i - 3 if i > 2 and classes[i - 2] == DOT else i - 1
+                for j in range(max(0, start), min(n, dots[-1] + 2)):
+                    odd[j] = f"{'before' if j < i else 'at' if j == i else 'dot' if classes[j] == DOT else 'last' if j > dots[-1] else 'host'}{min(i - j, 3) if j < i else ''}"
+    return odd
+
+
+def features(words: list[str], classes: list[int], i: int, spelled: str) -> tuple[str, ...]:
+    word, c, n = words[i], classes[i], len(words)
+    core = word.strip(_EDGE)
+    at = lambda j: classes[j] if 0 <= j < n else -1
+    p2, p1, n1, n2 = at(i - 2), at(i - 1), at(i + 1), at(i + 2)
+    out = ["bias", f"k={c}", f"p1={p1},{c}", f"n1={n1},{c}", f"p2={p2},{c}", f"n2={n2},{c}", f"b={p1},{c},{n1}", f"a={p2},{p1},{c}", f"e={word[-1] in '.,;:!?'},{c}"]
+    if spelled:
+        out += ["m=" + spelled, f"me={spelled},{word[-1] in '.,;:!?'},{n1 in (AT, DOT)}"]
+    cue = next((classes[j] for j in range(i - 1, max(-1, i - 6), -1) if classes[j] in ASKED), -1)
+    told = next((classes[j] for j in range(i + 1, min(n, i + 5)) if classes[j] in ASKED), -1)
+    street = next((j - i for j in range(i, min(n, i + 4)) if classes[j] == STREET), -1)
+    back = next((i - j for j in range(i, max(-1, i - 7), -1) if classes[j] == STREET), -1)
+    out += [f"q={cue},{c}", f"t={street},{c}", f"u={back},{c},{p1}"]
+    if c == NUMBER:
+        s = shape(core)
+        short = re.sub("9+", "9", s)
+        digits = len(_DIGIT.findall(core))
+        low, high = i, i
+        bare = lambda j: 0 <= j < n and classes[j] == NUMBER and not any(x.isalpha() for x in words[j])
+        if bare(i):
+            while i - low < 6 and bare(low - 1) and words[low - 1][-1] not in ",;":
+                low -= 1
+            while high - i < 6 and bare(high + 1) and words[high][-1] not in ",;":
+                high += 1
+        run = ".".join(str(min(20, len(_DIGIT.findall(words[j])))) for j in range(low, high + 1))
+        value = core.rpartition("=")[2].strip(_EDGE)
+        kind = "hex" if _HEX.fullmatch(value) and digits < len(value) else "long" if len(value) >= 16 and digits < len(value) else ""
+        lead = re.match(r"[A-Za-z_]*", core)[0].lower() if "=" in core else ""
+        out += ["s=" + s, "c=" + short, f"d={digits}", f"R={run}", f"r={run},{low - i}", f"Q={cue},{run}", f"T={told},{run}", f"qs={cue},{s}", f"qc={cue},{short}", f"K={kind}", f"l={len(core) > 5},{any(x.isalpha() for x in core)}", f"cp={p1},{short}", f"cn={n1},{short}"]
+        if CLASS.get(lead) == CODE["secret"]:
+            out.append("g=secret")
+    elif c >= NUMBER or core.isupper():
+        out += [f"w={core.isupper()},{len(core) == 2},{c}"]
+    return tuple(out)
+
+
+def coded(words: list[str]) -> dict[int, tuple[str, ...]]:
+    classes = [word_class(w) for w in words]
+    return {i: features(words, classes, i, spelled) for i, spelled in odd_words(classes).items()}
+
+
+NONE = ("bias", "plain")
+
+
+def fit(rows, rounds: int = 150, ridge: float = 0.05):
+    """(feature -> weights of the labels, transitions) from rows of (word, label)."""
+    rows = [r for r in rows if r]
     names: dict[str, int] = {}
-    coded = [[[names.setdefault(f, len(names)) for f in features(w)] for w, _ in r] for r in rows]
-    steps, n, labels, width = max(map(len, rows)), len(rows), len(LABELS), len(names)
-    x = np.zeros((steps, n, width))
-    gold, length = np.zeros((steps, n), dtype=int), np.array([len(r) for r in rows])
-    for i, r in enumerate(rows):
-        for t, (_, y) in enumerate(r):
-            x[t, i, coded[i][t]], gold[t, i] = 1, y
-    live = np.arange(steps)[:, None] < length
-    one = np.eye(labels)[gold] * live[:, :, None]
-    flat = x.reshape(-1, width)
-    want_x, want_t = flat.T @ one.reshape(-1, labels), sum(one[t - 1].T @ one[t] for t in range(1, steps))
+    slots, owner, gold, text = [], [], [], []
+    for k, r in enumerate(rows):
+        own = coded([w for w, _ in r])
+        for i, (_, y) in enumerate(r):
+            mine = [names.setdefault(f, len(names)) for f in own.get(i, NONE)]
+            slots += mine
+            owner += [len(gold)] * len(mine)
+            gold.append(LABELS.index(y))
+            text.append(k)
+    slots, owner, gold, text = map(np.array, (slots, owner, gold, text))
+    labels, width, n = len(LABELS), len(names), len(gold)
+    one = np.eye(labels)[gold]
+    gather = lambda rest: np.stack([np.bincount(slots, weights=rest[owner, j], minlength=width) for j in range(labels)], 1)
+    same = text[1:] == text[:-1]
+    want = np.zeros((labels, labels))
+    np.add.at(want, (gold[:-1][same], gold[1:][same]), 1)
 
     def gradient(p):
         w, trans = p[: width * labels].reshape(width, labels), p[width * labels :].reshape(labels, labels)
-        _, post, pairs = chain.forward_backward((flat @ w).reshape(steps, n, labels), trans, length)
-        return np.concatenate([(want_x - flat.T @ post.reshape(-1, labels) - ridge * w).ravel(), (want_t - pairs - ridge * trans).ravel()])
+        score = np.stack([np.bincount(owner, weights=w[slots, j], minlength=n) for j in range(labels)], 1)
+        post, pairs = chain.whole_marginals(score, text, trans)
+        return np.concatenate([(gather(one - post) - ridge * w).ravel(), (want - pairs - ridge * trans).ravel()])
 
-    p = chain.ascend(gradient, width * labels + labels * labels, rounds)
+    p = chain.ascend(gradient, width * labels + labels * labels, rounds, 0.2)
     w, trans = p[: width * labels].reshape(width, labels), p[width * labels :].reshape(labels, labels)
     return {f: w[i].tolist() for f, i in names.items()}, trans.tolist()
 
 
+@lru_cache(maxsize=1)
+def learned():
+    return fit(learn_table())
+
+
 def reach(e: np.ndarray, trans: np.ndarray, most: int = 40) -> int | None:
     """The least k for which a plain word (emission ``e``) with k plain words on both sides is none on the best path.
 
@@ -177,42 +278,49 @@ def _powers(gain: np.ndarray, n: int):
 
 
 class Decoder:
-    """Labels the words of texts. Emissions are kept by shape; plain words share one."""
+    """Labels the words of texts. Emissions are kept by features; plain words share one."""
 
     def __init__(self, model, keep: int = 100_000):
         weights, trans = model
         self.weights, self.trans, self.keep = {k: np.array(v) for k, v in weights.items()}, np.array(trans), keep
+        self.classes: dict[str, int] = {}
         self.clear()
         self.reach = reach(self.rows[0], self.trans)
 
     def clear(self) -> None:
         self.seen, self.rows = {}, []
-        self.code("x")
+        self.code(NONE)
 
-    def code(self, word: str) -> int:
-        key = "x" if plain(word) else word
+    def code(self, key: tuple[str, ...]) -> int:
         got = self.seen.get(key)
         if got is None:
             got = self.seen[key] = len(self.rows)
-            self.rows.append(sum((self.weights[f] for f in features(key) if f in self.weights), np.zeros(len(LABELS))))
+            self.rows.append(sum((self.weights[f] for f in key if f in self.weights), np.zeros(len(LABELS))))
         return got
 
+    def odd(self, words: list[str]) -> dict[int, int]:
+        """The emission of each word that isn't plain."""
+        known = self.classes
+        classes = [known.get(w, -1) for w in words]
+        if -1 in classes:
+            if len(known) > 5 * self.keep:
+                known.clear()
+            for i, c in enumerate(classes):
+                if c < 0:
+                    classes[i] = known[words[i]] = word_class(words[i])
+        if not classes or max(classes) < NUMBER:
+            return {}
+        return dict(sorted((i, self.code(features(words, classes, i, spelled))) for i, spelled in odd_words(classes).items()))
+
     def labels(self, texts: list[str]) -> list[list[tuple[int, int]]]:
         """For each text the (word number, label) of all words that aren't none."""
         if len(self.rows) > self.keep:
             self.clear()
-        code, k, seen = self.code, self.reach, {}
+        k = self.reach
         runs, out = [], [[] for _ in texts]
         for number, text in enumerate(texts):
             words = text.split()
-            odd = {}
-            for i, w in enumerate(words):
-                if not w.isalpha() or w.lower() in LEXICON:
-                    c = seen.get(w)
-                    if c is None:
-                        c = seen[w] = code(w)
-                    if c:
-                        odd[i] = c
+            odd = self.odd(words)
             if k is None:
                 pieces = [[0, len(words)]] if words else []
             else:
@@ -263,19 +371,17 @@ def added_spans(text: str, labels: list[tuple[int, int]], base: list[tuple[str,
         last = (i, y)
     out = []
     for kind, a, b in spans:
-        while b > a and text[b - 1] in ".,;:!?":
+        while b > a and text[b - 1] in ".,;:!?\"'":
             b -= 1
-        if b > a and _fits(kind, text[a:b]) and not any(a < y and x < b for _, x, y in base):
+        while a < b and text[a] in "\"'":
+            a += 1
+        if kind == "secret" and "=" in (lead := text[a:b].rstrip("=").rpartition("=")[0] + "=") and lead != "=":
+            a += len(lead)
+        if b > a and not any(a < y and x < b for _, x, y in base):
             out.append((kind, a, b))
     return out
 
 
-def _fits(kind: str, text: str) -> bool:
-    """What a span needs at least: a national number nine digits, a phone number seven to eleven, a spelled address its at and dot."""
-    digits = len(_DIGIT.findall(text))
-    return digits == 9 if kind == "ssn" else 7 <= digits <= 11 if kind == "tel" else bool(re.search(r"\bat\b.+\bdot\b", text, re.I | re.S))
-
-
 def find_pii(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
     """``docs`` with a column of spans: kind, start, end, and whether a base pattern found it."""
     model = learned()

@@ -1,11 +1,15 @@
 import hashlib
 import re
+from collections import Counter
+from itertools import product
 
 import duckdb
+import numpy as np
 import pytest
 from brute import contaminated
 from pyspark.sql import functions as F
-from tallyfield.llm import decontaminate, pii
+from tallyfield.llm import chain, decontaminate, pii
+from tallyfield.llm.pii_examples import held_table
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,6 +50,47 @@ def test_field_adds_spans_and_cuts_are_exact():
     assert kinds == ["tel", "ssn", "mail"]
 
 
+def spans_of(row, labels):
+    out, last = [], None
+    for i, y in enumerate(labels):
+        if y and last == (i - 1, y):
+            out[-1][2] = i
+        elif y:
+            out.append([y, i, i])
+        last = (i, y) if y else None
+    return {tuple(s) for s in out}
+
+
+def test_recall_and_precision_on_the_held_out_table():
+    decoder, rows = pii.Decoder(pii.learned()), held_table()
+    found, wanted, right = Counter(), Counter(), Counter()
+    for row, labels in zip(rows, decoder.labels([" ".join(w for w, _ in r) for r in rows])):
+        got = spans_of(row, [pii.LABELS[dict(labels).get(i, 0)] for i in range(len(row))])
+        want = spans_of(row, [y for _, y in row])
+        for counter, spans in ((found, got), (wanted, want), (right, got & want)):
+            counter.update(s[0] for s in spans)
+    assert set(wanted) == set(pii.LABELS[1:])
+    for kind in wanted:
+        assert right[kind] >= 0.9 * wanted[kind] and right[kind] >= 0.95 * found[kind], (kind, right[kind], wanted[kind], found[kind])
+
+
+def test_plain_cases():
+    decoder = pii.Decoder(pii.learned())
+    cases = {"555 123 4567": "tel:0:12", "Call 2125550142 now": "tel:5:15", "ssn 123 45 6789": "ssn:4:15", "joe at gmail dot com": "mail:0:20", "password=b7db7aa4a5fcc78305 x": "secret:9:27", "we met at noon, dot": "", "version 3.2.1 of 2019": ""}
+    for text, want in cases.items():
+        spans = pii.added_spans(text, decoder.labels([text])[0], pii.base_spans(text))
+        assert ",".join(f"{k}:{a}:{b}" for k, a, b in spans) == want, text
+
+
+def test_viterbi_equals_the_best_of_all_paths():
+    rng = np.random.default_rng(2)
+    emit, trans, zero = rng.normal(size=(5, 20, 3)), rng.normal(size=(3, 3)), np.zeros((20, 3))
+    best = chain.viterbi(emit, trans, np.full(20, 5), zero, zero)
+    for n in range(20):
+        score = lambda p: sum(emit[t, n, y] for t, y in enumerate(p)) + sum(trans[a, b] for a, b in zip(p, p[1:]))  # noqa: E731, B023
+        assert tuple(best[:, n]) == max(product(range(3), repeat=5), key=score)
+
+
 def test_pii_over_whole_table_and_odd_rows(spark):
     got = {r["doc_id"]: r for r in pii.op1_pii_crf(spark, SF).collect()}
     rows = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
