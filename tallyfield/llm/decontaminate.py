@@ -7,8 +7,9 @@ binary-searched in it, so each finds the range of shard suffixes that begin with
 (document position minus item position) join to verbatim matches; the longest for each document and item is
 kept with its place. No row is shuffled: shards are searched where they are read.
 
-The benchmark goes to the shards in blocks of at most ``block_chars`` characters, each a broadcast of
-that bound. Every further block is a further pass over the same rows.
+The benchmark's suffixes are sorted by Spark in blocks of about ``block_chars`` characters, which are written to the shared folder once. There
+is one pass over the documents, whatever the size of the benchmark: a task searches each shard for one block after the other. Blocks stay in
+a task's memory while they have at most ``HELD`` bytes in all, and are read again for each shard beyond.
 
 Cases: a null text or item has no words; an item of fewer words than the window is one window. Items of
 equal id count once in ``items``; a null id is left out. Repeated documents are treated each by itself. An
@@ -18,6 +19,7 @@ columns of those names.
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import bounded_batches, table
+from .store import bounded_batches, files_of, groups_of, land, table
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -55,16 +57,16 @@ class Tests:
                 array = np.array(coded, dtype=self.kind)
                 for j in range(max(1, len(coded) - window + 1)):
                     starts.setdefault(array[j : j + window].tobytes(), []).append((k, j))
-        self.keys = sorted(starts)
-        self.length = np.array([len(k) // self.kind.itemsize for k in self.keys], dtype=np.int64)
-        flat = [x for k in self.keys for x in starts[k]]
+        keys = sorted(starts)
+        self.length = np.array([len(k) // self.kind.itemsize for k in keys], dtype=np.int64)
+        flat = [x for k in keys for x in starts[k]]
         self.item, self.at = np.array([x[0] for x in flat], dtype=np.int64), np.array([x[1] for x in flat], dtype=np.int64)
-        self.first = np.concatenate([[0], np.cumsum([len(starts[k]) for k in self.keys])]).astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum([len(starts[k]) for k in keys])]).astype(np.int64)
         wide = self.kind.itemsize * window
-        self.low = np.array([k.ljust(wide, b"\0") for k in self.keys], dtype=f"S{wide}")
-        self.high = np.array([k.ljust(wide, b"\xff") for k in self.keys], dtype=f"S{wide}")
-        self.short = int(self.length.min()) if self.keys else 0
-        self.pair = np.array(sorted({int.from_bytes(k[: 2 * self.kind.itemsize], "big") for k in self.keys}), dtype=np.int64)
+        self.low = np.array([k.ljust(wide, b"\0") for k in keys], dtype=f"S{wide}")
+        self.high = np.array([k.ljust(wide, b"\xff") for k in keys], dtype=f"S{wide}")
+        self.short = int(self.length.min()) if keys else 0
+        self.pair = np.array(sorted({int.from_bytes(k[: 2 * self.kind.itemsize], "big") for k in keys}), dtype=np.int64)
 
     def search(self, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions of the shard, numbers of the test suffixes) of all matches. ``coded`` ends with ``window`` zeros."""
@@ -84,20 +86,19 @@ class Tests:
         return array[np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(which))], which
 
 
-def shard_matches(texts: list[str | None], tests: Tests):
-    """For each text: number of words, hit ranges of words, and longest match for each item."""
+def shard_matches(texts: list[list[str]], tests: Tests):
+    """For each text, given as its words: hit ranges of words, and longest match for each item."""
     coded, sizes = [], []
     get = tests.number.get
-    for text in texts:
-        ws = words(text)
+    for ws in texts:
         sizes.append(len(ws))
         coded += [get(w, 0) for w in ws]
         coded.append(0)
     coded += [0] * tests.window
     start = np.concatenate([[0], np.cumsum(np.array(sizes, dtype=np.int64) + 1)])
     hits, matches = [[] for _ in texts], [[] for _ in texts]
-    if not tests.keys:
-        return sizes, hits, matches
+    if not len(tests.length):
+        return hits, matches
     at, which = tests.search(np.array(coded, dtype=tests.kind.newbyteorder("=")))
     doc = np.searchsorted(start, at, "right") - 1
     order = np.lexsort((tests.length[which], at))
@@ -126,56 +127,80 @@ def shard_matches(texts: list[str | None], tests: Tests):
                 best[d, i] = (n, p - int(start[d]), o)
         for (d, i), (n, p, o) in best.items():
             matches[d].append((tests.ids[i], p, o, n))
-    return sizes, hits, matches
+    return hits, matches
 
 
-def blocks(benchmark: DataFrame, block_chars: int):
-    """The items in lists of bounded size; one item longer than the bound is a block of its own."""
-    block, size = [], 0
-    for i, text in benchmark.select(F.col("item_id").cast("string"), "text").where("text is not null").toLocalIterator():
-        if block and size + len(text) > block_chars:
-            yield block
-            block, size = [], 0
-        block.append((i, text))
-        size += len(text)
-    if block:
-        yield block
+HELD = 64_000_000
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 120_000, text: str = "text") -> DataFrame:
+def blocks(benchmark: DataFrame, window: int, block_chars: int) -> list[str]:
+    """The files of the test suffixes, a block in each row. One item longer than the bound is a block of its own."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+
+    def build(batches):
+        held, size = [], 0
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held and size + len(text) > block_chars:
+                    yield pack(held)
+                    held, size = [], 0
+                held.append((i, text))
+                size += len(text)
+        if held:
+            yield pack(held)
+
+    def pack(held):
+        return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Tests(held, window))], type=pa.binary())], names=["data"])
+
+    return files_of(land(items.repartition(max(1, -(-chars // block_chars))).mapInArrow(build, "data binary"), "test-suffixes", **{"parquet.block.row.count.limit": "1"}))
+
+
+def _each(files: list[str]):
+    """A function that gives all blocks one after the other, anew for each call."""
+    kept, size = [], 0
+
+    def read():
+        for path in files:
+            for group in groups_of(path):
+                yield from (x.as_py() for x in group("data").column(0))
+
+    for data in read():
+        size += len(data)
+        if size > HELD:
+            return lambda: map(pickle.loads, read())
+        kept.append(data)
+    tests = [pickle.loads(data) for data in kept]
+    return lambda: tests
+
+
+def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 1_000_000, text: str = "text") -> DataFrame:
     """``docs`` with ``n_words``, ``hits`` (ranges of hit words, in order, not touching) and ``matches`` (the longest
     for each item with its place)."""
     added = [T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(RANGE)), T.StructField("matches", T.ArrayType(MATCH))]
     rest = [f for f in docs.schema.fields if f.name.lower() not in {"n_words", "hits", "matches"}]
-    schema, place, width = T.StructType(rest + added), [f.name for f in rest].index(text), len(rest)
+    schema, place = T.StructType(rest + added), [f.name for f in rest].index(text)
     names = [f.name for f in schema.fields]
     kinds = (pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("item_start", pa.int64()), ("words", pa.int64())])))
+    files = blocks(benchmark, window, block_chars)
+
+    def run(batches):
+        every = _each(files)
+        for batch in bounded_batches(batches, rows=4096, chars=4_000_000, column=place):
+            shard = [words(t) for t in batch.column(place).to_pylist()]
+            hits, matches = [[] for _ in shard], [[] for _ in shard]
+            for tests in every():
+                more = shard_matches(shard, tests)
+                hits, matches = ([a + b for a, b in zip(old, new)] for old, new in zip((hits, matches), more))
+            cells = ([len(w) for w in shard], [[{"start": a, "end": b} for a, b in _union(h)] for h in hits], [[dict(zip(("item_id", "start", "item_start", "words"), x)) for x in _longest(m)] for m in matches])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, type=k) for c, k in zip(cells, kinds))], names=names)
+
+    return docs.select(*(F.col(f"`{f.name}`") for f in rest)).mapInArrow(run, schema)
+
 
-    def search(held, more: bool):
-        def run(batches):
-            tests = Tests(held.value, window)
-            for batch in bounded_batches(batches, rows=4096, chars=4_000_000, column=place):
-                sizes, hits, matches = shard_matches(batch.column(place).to_pylist(), tests)
-                if more:
-                    old_hits, old = batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist()
-                    hits = [_union(h, [[r["start"], r["end"]] for r in o]) for h, o in zip(hits, old_hits)]
-                    matches = [_longest(m, [tuple(r.values()) for r in o]) for m, o in zip(matches, old)]
-                else:
-                    matches = [_longest(m, []) for m in matches]
-                cells = (sizes, [[{"start": a, "end": b} for a, b in h] for h in hits], [[dict(zip(("item_id", "start", "item_start", "words"), x)) for x in m] for m in matches])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:width], *(pa.array(c, type=k) for c, k in zip(cells, kinds))], names=names)
-
-        return run
-
-    out, more = docs.select(*(F.col(f"`{f.name}`") for f in rest)), False
-    for block in blocks(benchmark, block_chars) if benchmark is not None else ():
-        out, more = out.mapInArrow(search(docs.sparkSession.sparkContext.broadcast(block), more), schema), True
-    return out if more else out.mapInArrow(search(docs.sparkSession.sparkContext.broadcast([]), False), schema)
-
-
-def _union(a: list, b: list) -> list:
+def _union(ranges: list) -> list:
     out: list = []
-    for x, y in sorted([*a, *b]):
+    for x, y in sorted(ranges):
         if out and x <= out[-1][1]:
             out[-1][1] = max(out[-1][1], y)
         else:
@@ -183,9 +208,9 @@ def _union(a: list, b: list) -> list:
     return out
 
 
-def _longest(a: list, b: list) -> list:
+def _longest(found: list) -> list:
     best: dict = {}
-    for x in [*a, *b]:
+    for x in found:
         if x[0] is not None and (x[0] not in best or (-x[3], x[1]) < (-best[x[0]][3], best[x[0]][1])):
             best[x[0]] = x
     return [best[i] for i in sorted(best)]

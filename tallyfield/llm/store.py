@@ -22,11 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _own.setdefault(context.applicationId, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
-def land(df: DataFrame, name: str) -> DataFrame:
+def land(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as a table of its own in the shared folder and read it back: this cuts lineage,
     and the files outlive any executor."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -70,3 +70,20 @@ def bounded_batches(batches, rows: int = 256, chars: int = 4_000_000, column: in
             end = max(start + 1, min(end, start + rows, batch.num_rows))
             yield batch.slice(start, end - start)
             start = end
+
+
+def files_of(landed: DataFrame) -> list[str]:
+    """The files of a landed table, for tasks that read them one after the other with ``groups_of``."""
+    return landed.inputFiles()
+
+
+def groups_of(path: str):
+    """The row groups of a landed file, as functions from column names to their rows; nothing is read before they are called."""
+    import pyarrow.parquet as pq
+    from pyarrow.fs import FileSystem
+
+    fs, inner = FileSystem.from_uri(path)
+    with fs.open_input_file(inner) as held:
+        file = pq.ParquetFile(held)
+        for k in range(file.num_row_groups):
+            yield lambda *columns, k=k: file.read_row_group(k, columns=list(columns))
