@@ -7,7 +7,8 @@ Joining the two gives back each record byte for byte.
 
 Of records with equal payloads of at least ``least`` bytes, that with the largest id is a response and the
 others revisit it; smaller payloads are all responses. Payloads are reduced within each task before they move,
-so a payload that a third of the records share moves once per task.
+so a payload that a third of the records share moves once per task. The records of a digest that holds over a thousandth of all are dealt out
+by a salt, to so many copies of the payload, in all at most a thousand, that none meets more than a thousandth of the records.
 
 Cases: a null page is an empty payload. Rows repeated under the largest id are all responses. A null id counts
 as the smallest; records whose ids are all null are responses. A null url leaves its header line out. Line
@@ -21,7 +22,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import land, table
+from .store import join_hot, land, table
+
+
+SALT_ROWS = 1000
 
 
 @dataclass(frozen=True)
@@ -44,14 +48,17 @@ def write_archive(pages: DataFrame, least: int = 1000) -> Archive:
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", body.alias("payload")).select("*", F.sha2("payload", 256).alias("sha256"))
     one = rows.select("page_id", "sha256", "payload", F.octet_length("payload").alias("size"), F.xxhash64("payload").alias("second"))
-    one = one.groupBy("sha256").agg(F.first("payload").alias("payload"), F.max("page_id").alias("last_id"), *(f(c).alias(f"{k}_{c}") for c in ("size", "second") for k, f in (("min", F.min), ("max", F.max))))
+    one = one.groupBy("sha256").agg(F.first("payload").alias("payload"), F.max("page_id").alias("last_id"), F.count("*").alias("n"), *(f(c).alias(f"{k}_{c}") for c in ("size", "second") for k, f in (("min", F.min), ("max", F.max))))
     same = (F.col("min_size") == F.col("max_size")) & (F.col("min_second") == F.col("max_second"))
     checked = F.when(same, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("two payloads share the digest "), F.col("sha256"))).cast("binary"))
-    payloads = land(one.select("sha256", checked.alias("payload"), "last_id", F.col("max_size").cast("long").alias("size")), "payloads")
+    payloads = land(one.select("sha256", checked.alias("payload"), "last_id", "n", F.col("max_size").cast("long").alias("size")), "payloads")
+    total = payloads.agg(F.sum("n")).first()[0] or 0
+    salts = F.ceil(F.col("n") / max(SALT_ROWS, total / 1000)).cast("long")
+    payloads = payloads.withColumn("salts", salts)
 
-    known = payloads.select("sha256", "last_id", "size")
+    known = payloads.select("sha256", "last_id", "size", "n", "salts")
     small = rows.select("page_id", "url", "sha256", F.sha1("payload").alias("sha1"))
-    r = small.join(known, "sha256")
+    r = join_hot(small, known, "sha256")
     revisit = (F.col("size") >= least) & F.col("last_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last_id"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -70,12 +77,13 @@ def write_archive(pages: DataFrame, least: int = 1000) -> Archive:
         F.lit("\r\n"),
         http,
     )
-    return Archive(payloads, land(r.select("page_id", "sha256", header.alias("header")), "headers"))
+    return Archive(payloads, land(r.select("page_id", "sha256", F.pmod(F.xxhash64("page_id", "url"), "salts").alias("salt"), header.alias("header")), "headers"))
 
 
 def read_records(archive: Archive) -> DataFrame:
     """Each record: page_id, header, its payload (of a revisit, that of the record it refers to) and ``record``, its exact bytes."""
-    joined = archive.headers.join(archive.payloads.select("sha256", "payload"), "sha256")
+    salted = archive.payloads.select("sha256", "payload", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    joined = archive.headers.join(salted, ["sha256", "salt"])
     kind = F.regexp_extract("header", r"\r\nWARC-Type: (\w+)\r\n", 1)
     to = F.regexp_extract("header", r"\r\nWARC-Refers-To-Page: (-?\d+)\r\n", 1)
     empty = F.lit("").cast("binary")
