@@ -2,11 +2,13 @@
 
 Vectors are quantised to floor(64 x). Each bounded run of rows of a partition is a shard with a ball tree:
 nodes have a centre, a radius and their smallest id. A node's inner products with q are at most
-q.centre + |q| radius. The queries stand in blocks. A block meets one shard after the other and keeps its k best
-so far; the current k-th score, shared by all shards, prunes nodes, which are taken in order of their upper
-bounds. A node whose bound equals the k-th score is only taken if it holds a smaller id than the k-th's.
+q.centre + |q| radius. The queries stand in blocks, a task each. A block reads the shards from the shared folder one after the other, those of
+the greatest root bound first, and keeps its k best so far; the current k-th score, shared by all shards, prunes shards unread and nodes
+unopened. Within a tree the nodes wait in a queue ordered by their upper bounds, and leaves are scored as they come up, so that the k-th score
+rises early. A node whose bound equals the k-th score is only taken if it holds a smaller id than the k-th's.
 
-A block and one shard are all that a task holds. A shard goes once to each block of the stated query set.
+A block and one shard are all that a task holds. Shards aren't shuffled: each is written once and read by each block of the stated query set
+that its bound doesn't rule out.
 
 Cases: vectors that are null or hold a null or a component that isn't finite take no part. Vectors of unequal
 lengths aren't compared. An empty vector scores zero with its like. A query doesn't meet rows of its own id, so
@@ -17,14 +19,16 @@ gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 import io
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import land, table
+from .store import files_of, groups_of, land, table
 
 SHARD_ROWS = 4096
 LEAF = 128
@@ -88,33 +92,37 @@ class Best:
         self.norm = np.sqrt((vectors.astype(np.float64) ** 2).sum(1))
         self.score = np.full((len(ids), k), LOWEST)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.visited = 0
+
+    def bound(self, at: np.ndarray, centre: np.ndarray, radius: float) -> np.ndarray:
+        """Upper bounds of the whole scores in a ball, rounding allowed for."""
+        bound = self.q[at].astype(np.float64) @ centre + self.norm[at] * radius
+        return np.floor(bound + 1e-6 + 1e-9 * np.abs(bound) + 1e-9 * self.norm[at] * (1 + np.abs(centre).max(initial=0)))
 
     def search(self, tree: dict) -> None:
-        q = self.q.astype(np.float64)
-        if tree["x"].shape[1] != q.shape[1]:
+        if tree["x"].shape[1] != self.q.shape[1]:
             return
-        live, nodes = {0: np.arange(len(q))}, [0]
-        leaves: list[tuple[float, int, np.ndarray, np.ndarray]] = []
-        while nodes:  # down the levels; a query goes where its bound reaches its k-th score
-            node = nodes.pop()
-            at = live.pop(node)
-            bound = q[at] @ tree["centre"][node] + self.norm[at] * tree["radius"][node]
-            bound = np.floor(bound + 1e-6 + 1e-9 * np.abs(bound) + 1e-9 * self.norm[at] * (1 + np.abs(tree["centre"][node]).max(initial=0)))
+        queue: list[tuple[float, int, np.ndarray, np.ndarray]] = []
+
+        def wait(node: int, at: np.ndarray) -> None:
+            bound = self.bound(at, tree["centre"][node], tree["radius"][node])
             keep = self.may(at, bound, tree["least"][node])
-            at, bound = at[keep], bound[keep]
+            if keep.any():
+                heapq.heappush(queue, (-float(bound[keep].max()), node, at[keep], bound[keep]))
+
+        wait(0, np.arange(len(self.q)))
+        while queue:
+            _, node, at, bound = heapq.heappop(queue)
+            at = at[self.may(at, bound, tree["least"][node])]  # the k-th scores may have risen
             if not len(at):
                 continue
+            self.visited += 1
             if tree["child"][node] < 0:
-                leaves.append((float(bound.max()), node, at, bound))
-            else:
-                for c in (tree["child"][node], tree["child"][node] + 1):
-                    live[int(c)] = at
-                    nodes.append(int(c))
-        for _, node, at, bound in sorted(leaves, key=lambda x: (-x[0], x[1])):
-            at = at[self.may(at, bound, tree["least"][node])]
-            if len(at):
                 a, b = tree["span"][node]
                 self.take(at, tree["ids"][a:b], _dot(self.q[at], tree["x"][a:b]))
+            else:
+                for child in (int(tree["child"][node]), int(tree["child"][node]) + 1):
+                    wait(child, at)
 
     def may(self, at, bound, least) -> np.ndarray:
         kth = self.score[at, -1]
@@ -167,43 +175,38 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id
         import pyarrow.compute  # noqa: F401
 
         for ids, x in _matrices(batches, shard_rows):
-            yield pa.RecordBatch.from_arrays([pa.array([_pack(**build_tree(ids, x))], type=pa.binary())], names=["data"])
+            t = build_tree(ids, x)
+            cells = ([_pack(centre=t["centre"][0], radius=t["radius"][0], least=t["least"][0])], [_pack(**t)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.binary()) for c in cells], names=["root", "data"])
 
-    def blocked(batches):
+    landed = land(quantised(vectors, id, vector).mapInArrow(trees, "root binary, data binary"), "ball-trees", **{"parquet.block.row.count.limit": "1"})
+    asked = land(quantised(queries, id, vector), "queries")
+    files, blocks = files_of(landed), max(1, -(-asked.count() // block))
+
+    def search(batches):
         import pyarrow.compute  # noqa: F401
-        from pyspark import TaskContext
 
         for ids, x in _matrices(batches, 2 * block):
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], type=pa.int64()), pa.array([_pack(ids=ids, x=x)], type=pa.binary())], names=["block", "data"])
-
-    def search(batches):
-        open_block, best = None, []
-        for batch in batches:
-            for number, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if number != open_block:
-                    yield from map(rows, best)
-                    open_block, best = number, []
-                held = _unpack(data.as_py())
-                if kind == 0:
-                    best.append(Best(held["ids"], held["x"], k))
-                else:
-                    for b in best:
-                        b.search(held)
-        yield from map(rows, best)
+            best, order, every = Best(ids, x, k), [], np.arange(len(ids))
+            for path in files:
+                for number, read in enumerate(groups_of(path)):
+                    roots = [_unpack(r) for r in read("root").column(0).to_pylist()]
+                    bounds = [best.bound(every, r["centre"], float(r["radius"])) for r in roots if len(r["centre"]) == x.shape[1]]
+                    if bounds:
+                        order.append((-float(np.max(bounds)), path, number))
+            for bound, path, number in sorted(order):
+                if (best.may(every, np.full(len(every), -bound), np.iinfo(np.int64).min)).any():
+                    for read in islice(groups_of(path), number, number + 1):
+                        for data in read("data").column(0):
+                            best.search(_unpack(data.as_py()))
+            yield rows(best)
 
     def rows(best):
         full = best.score != LOWEST
         rank = np.broadcast_to(np.arange(1, k + 1), full.shape)[full]
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(best.ids, full.sum(1))), pa.array(rank.astype(np.int32)), pa.array(best.found[full]), pa.array(best.score[full])], names=["query_id", "rank", "vec_id", "score"])
 
-    shards = land(quantised(vectors, id, vector).mapInArrow(trees, "data binary"), "ball-trees")
-    asked = land(quantised(queries, id, vector), "queries")
-    blocks = max(1, -(-asked.count() // block))
-    asked = asked.repartition(blocks).mapInArrow(blocked, "block long, data binary")
-    met = shards.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(1).alias("kind"), "data")
-    pairs = asked.select("block", F.lit(0).alias("kind"), "data").unionByName(met)
-    pairs = pairs.repartition(blocks, "block").sortWithinPartitions("block", "kind")
-    return pairs.mapInArrow(search, "query_id long, rank int, vec_id long, score long")
+    return asked.repartition(blocks).mapInArrow(search, "query_id long, rank int, vec_id long, score long")
 
 
 def op6_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
