@@ -9,7 +9,8 @@ marks at their ends), and, in tenths, the shares of upper-case words, of words w
 one before, and of distinct words.
 
 The fit reads a bounded sample: at most ``max_rows`` rated texts (``MAX_ROWS`` by default), chosen by a hash of
-their ids, with their whole texts, and of those features only that ``least`` of them share. Scoring covers all rows.
+their ids, with their whole texts, and of those features only that ``least`` of them share. Ids that stand on many rows don't widen
+it: of the rows that meet a rating the ``max_rows`` of the smallest hashes of text are learned from. Scoring covers all rows.
 
 Cases: a null text counts as empty; it has no features but its shares. Ratings that are null, or of ids without
 a document, aren't learned from; of repeated ratings each counts. Without two different grades among the ratings
@@ -118,21 +119,34 @@ def minimise(f, x: np.ndarray, rounds: int, memory: int = 10) -> np.ndarray:
 def fit_rows(rows: list[np.ndarray], grades: np.ndarray, grade_count: int, rounds: int = 100, ridge: float = 1e-4, least: int = 5) -> Model:
     """Least mean negative log-likelihood with a quadratic penalty on the weights. Steps between thresholds are exponentials, so they
     stay in order."""
+    start, loss, split = objective(rows, grades, grade_count, ridge, least)
+    w, theta = split(minimise(loss, start, rounds))
+    return Model(w.astype(np.float32), theta)
+
+
+def objective(rows: list[np.ndarray], grades: np.ndarray, grade_count: int, ridge: float, least: int):
+    """The start, the loss with its gradient, and a function that parts parameters into the weights and thresholds. Only columns that are used have parameters."""
     size = np.array([len(r) for r in rows])
     index = np.concatenate(rows)
     seen = np.bincount(index, minlength=WIDTH) >= least
     owner = np.repeat(np.arange(len(rows)), size)[seen[index]]
-    index = index[seen[index]]
+    used, index = np.unique(index[seen[index]], return_inverse=True)
+    n = len(used)
     cuts = grade_count - 1
     share = np.array([(grades <= g).mean() for g in range(cuts)]).clip(1e-3, 1 - 1e-3)
     theta0 = np.log(share / (1 - share))
     row = np.arange(len(rows))
 
+    def thresholds(p):
+        return p[n] + np.concatenate([[0], np.cumsum(np.exp(p[n + 1 :]))])
+
     def split(p):
-        return p[:WIDTH], p[WIDTH] + np.concatenate([[0], np.cumsum(np.exp(p[WIDTH + 1 :]))])
+        weights = np.zeros(WIDTH)
+        weights[used] = p[:n]
+        return weights, thresholds(p)
 
     def loss(p):
-        w, theta = split(p)
+        w, theta = p[:n], thresholds(p)
         score = np.bincount(owner, weights=w[index], minlength=len(rows))
         f = 1 / (1 + np.exp(-np.clip(theta[None] - score[:, None], -500, 500)))
         f = np.hstack([np.zeros((len(rows), 1)), f, np.ones((len(rows), 1))])
@@ -140,13 +154,12 @@ def fit_rows(rows: list[np.ndarray], grades: np.ndarray, grade_count: int, round
         prob = np.maximum(f[row, grades + 1] - f[row, grades], 1e-12)
         up, down = d[row, grades + 1] / prob / len(rows), d[row, grades] / prob / len(rows)
         by_theta = np.array([down[grades == g + 1].sum() - up[grades == g].sum() for g in range(cuts)])
-        by_weight = np.bincount(index, weights=(up - down)[owner], minlength=WIDTH) + ridge * w
-        steps = np.exp(p[WIDTH + 1 :]) * np.cumsum(by_theta[::-1])[::-1][1:]
+        by_weight = np.bincount(index, weights=(up - down)[owner], minlength=n) + ridge * w
+        steps = np.exp(p[n + 1 :]) * np.cumsum(by_theta[::-1])[::-1][1:]
         return -np.log(prob).mean() + ridge / 2 * (w @ w), np.concatenate([by_weight, [by_theta.sum()], steps])
 
-    start = np.concatenate([np.zeros(WIDTH), theta0[:1], np.log(np.maximum(np.diff(theta0), 1e-3))])
-    w, theta = split(minimise(loss, start, rounds))
-    return Model(w.astype(np.float32), theta)
+    start = np.concatenate([np.zeros(n), theta0[:1], np.log(np.maximum(np.diff(theta0), 1e-3))])
+    return start, loss, split
 
 
 def fit(docs: DataFrame, ratings: DataFrame, grade: Column, max_rows: int = MAX_ROWS, text: str = "text") -> Model:
@@ -155,15 +168,16 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: Column, max_rows: int = MAX_
     n = rated.count()
     share = min(1.0, max_rows / max(1, n))
     rated = rated.where(F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64(F.col("_id").cast("string"))).limit(max_rows)
-    picked = docs.select("doc_id", text).join(F.broadcast(rated), F.col("doc_id") == F.col("_id")).select("_grade", text)
+    picked = docs.select("doc_id", F.col(f"`{text}`").alias("text")).join(F.broadcast(rated), F.col("doc_id") == F.col("_id"))
+    picked = picked.select("_grade", "text", F.xxhash64(F.col("_id").cast("string"), "text", "_grade").alias("_order"))
 
     def features(batches):
         make = Features()
         for batch in bounded_batches(batches):
             rows = [make(t).astype(np.int32) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], type=pa.binary())], names=["grade", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], type=pa.binary()), batch.column(2)], names=["grade", "features", "order"])
 
-    got = picked.mapInArrow(features, "grade int, features binary").toArrow()
+    got = picked.mapInArrow(features, "grade int, features binary, order long").orderBy("order").limit(max_rows).toArrow()
     grades = got.column("grade").to_numpy().astype(np.int64) if got.num_rows else np.zeros(0, dtype=np.int64)
     if len(np.unique(grades)) < 2:
         top = int(grades.max(initial=0))
