@@ -5,12 +5,12 @@ the rule's. The last segment of a rule's path may be a part of a segment; it is
 rules that fit, the longest (host and path together) wins, whether it allows or blocks; between rules of one
 length the one with the longer host.
 
-The trie is broadcast, if its rules have at most ``bound`` characters. Longer lists are joined: each url's
+The trie is broadcast, if its rules have at most ``bound`` characters, whether they come as tuples or as a table. Longer lists are joined: each url's
 host suffixes meet the rules' hosts, paths are compared, and the longest is kept by a partial aggregate.
 
 Cases: a null url, or one without ``://``, has an empty host and path and no rule. Repeated urls are judged
 each by itself. A rule given twice counts once; given as allow and block, it blocks. No rule: ``default``. Rules
-with an empty host fit all urls. Other columns pass through; host, path, rule and verdict replace those names.
+with an empty host fit all urls. A rule without host or path (null) has an empty one; a rule without verdict is left out. Other columns pass through; host, path, rule and verdict replace those names.
 """
 
 from __future__ import annotations
@@ -79,13 +79,16 @@ def split_url(url: str | None) -> tuple[str, str]:
 def judge(pages: DataFrame, rules, default: str = "allow", bound: int = 16_000_000, url: str = "url") -> DataFrame:
     """``pages`` with host, path, rule and verdict. ``rules``: (host, path, verdict) tuples, or a DataFrame of those columns."""
     spark = pages.sparkSession
+    if not isinstance(rules, DataFrame) and sum(len(h or "") + len(p or "") + 32 for h, p, _ in rules) > bound:
+        rules = spark.createDataFrame([tuple(r) for r in rules], "host string, path string, verdict string")
     if isinstance(rules, DataFrame):
+        rules = rules.where("verdict is not null").select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("host", "path")), "verdict")
         size = rules.agg(F.sum(F.length("host") + F.length("path") + 32)).first()[0] or 0
         if size > bound:
             return _judge_by_join(pages, rules, default, url)
-        rules = [tuple(r) for r in rules.select("host", "path", "verdict").collect()]
+        rules = [tuple(r) for r in rules.collect()]
     trie = Trie()
-    for host, path, verdict in sorted(set(rules)):
+    for host, path, verdict in sorted({(h or "", p or "", v) for h, p, v in rules if v is not None}):
         trie.add(host.translate(_LOWER), path, verdict)
     held = spark.sparkContext.broadcast(trie)
     rest = [f for f in pages.schema.fields if f.name.lower() not in ADDED]

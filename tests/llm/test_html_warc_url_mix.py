@@ -76,6 +76,10 @@ def test_trie_and_join_agree_with_a_plain_search(spark):
         fit = [(len(h + p), h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         assert got[i] == got[i + len(URLS)] == (host, path, *(max(fit)[1:] if fit and "://" in (u or "") else (None, "allow")))
     assert url_filter.judge(pages.limit(0), url_filter.RULES).count() == 0
+    null = [(None, "/en/7", "block"), ("example.com", None, "block"), ("org", "/es/", None)]
+    ways = [url_filter.judge(pages, null), url_filter.judge(pages, null, bound=1), url_filter.judge(pages, spark.createDataFrame(null, "host string, path string, verdict string"), bound=1)]
+    first, *rest = ({r["page_id"]: tuple(r[c] for c in url_filter.ADDED) for r in way.collect()} for way in ways)
+    assert all(x == first for x in rest) and first[3] == ("example.com", "/en/7", "example.com", "block") and first[13][2:] == (None, "allow")
 
 
 def test_mix_meets_targets(spark):
