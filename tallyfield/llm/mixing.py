@@ -118,7 +118,7 @@ def take(docs: DataFrame, text: str = "text") -> DataFrame:
     names = [c for c in docs.columns if c.lower() not in ("copies", "taken")]
     rows = land(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
     taken = _mixed(rows.select(*_counted("doc.", text), "row"))
-    return rows.join(taken.where("copies > 0").select("row", "copies", "taken"), "row").select(*(F.col(f"doc.`{c}`").alias(c) for c in names), "copies", "taken")
+    return rows.hint("merge").join(taken.where("copies > 0").select("row", "copies", "taken"), "row").select(*(F.col(f"doc.`{c}`").alias(c) for c in names), "copies", "taken")
 
 
 def _mixed(counted: DataFrame) -> DataFrame:
