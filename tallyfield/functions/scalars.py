@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from functools import reduce
 
 from pyspark.sql import Column
@@ -106,14 +108,27 @@ def fraction_part(text: Column, part: int) -> Column:
     return F.when(F.size(parts) == 2, parts[part].try_cast("double"))
 
 
-#: Accented letters and what they fold to.
-ACCENTED, FOLDED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+def _ascii_forms() -> dict[str, str]:
+    """Characters beyond ASCII with the ASCII part of their compatibility decomposition, where they have any."""
+    forms = ((chr(i), unicodedata.normalize("NFKD", chr(i)).encode("ascii", "ignore").decode()) for i in range(128, 0x1FBFA) if not 0xD800 <= i < 0xE000)
+    return {c: to for c, to in forms if to}
+
+
+_FORMS = _ascii_forms()
+#: One to one, for ``translate``; and the ligatures, digraphs, fractions and letter-like signs, of more characters each. Other forms of more
+#: characters (squared and circled words) are dropped.
+ACCENTED, FOLDED = ("".join(x) for x in zip(*((c, to) for c, to in _FORMS.items() if len(to) == 1)))
+LIGATURES = {c: to for c, to in _FORMS.items() if len(to) > 1 and (c < "\u0250" or "\u2100" <= c <= "\u218f" or "\ufb00" <= c <= "\ufb06")}
 
 
 def normal_name(text: Column) -> Column:
-    """Lower case without accents; letters, digits, & and brackets; single spaces."""
-    folded = F.translate(F.lower(text), ACCENTED, FOLDED)
-    return F.trim(F.regexp_replace(F.regexp_replace(folded, "[^a-z0-9&() ]", " "), " +", " "))
+    """Compatibility forms folded to ASCII, what has no ASCII form dropped; lower case; letters, digits, & and brackets; single spaces."""
+    folded = F.translate(text, ACCENTED, FOLDED)
+    for c, to in LIGATURES.items():
+        folded = F.replace(folded, F.lit(c), F.lit(to))
+    plain = F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(folded, r"[^\x00-\x7F]", "")).otherwise(text)
+    return F.trim(F.regexp_replace(F.lower(plain), "[^a-z0-9&()]+", " "))
 
 
 def down_bucket(down: Column) -> Column:

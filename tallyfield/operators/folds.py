@@ -8,12 +8,19 @@ from pyspark.sql import functions as F
 
 
 def newest(rows: DataFrame, share: float, most: int | None, least: int | None = None, at: str = "kickoff", id: str = "game_id") -> DataFrame:
-    """The newest rows: a share of all, at most or at least so many."""
+    """The newest rows: a share of all, at most or at least so many. The day of the cut is found by counts of days, and only its rows are sorted."""
     n = rows.count()
     k = int(n * share)
     k = min(k, most) if most is not None else k
     k = min(n, max(k, least)) if least is not None else k
-    return rows.orderBy(F.desc(at), F.desc(id)).limit(k)
+    day = F.to_date(at)
+    counts = rows.groupBy(day.alias("_day")).agg(F.count("*").alias("_n"))
+    upto = counts.withColumn("_upto", F.sum("_n").over(W.orderBy(F.desc("_day"))))
+    cut = upto.where(F.col("_upto") >= k).orderBy(F.desc("_day")).select("_day", (F.col("_upto") - F.col("_n")).alias("_before")).first()
+    if k <= 0 or cut is None:
+        return rows.limit(0) if k <= 0 else rows
+    last = rows.where(day == F.lit(cut["_day"])).orderBy(F.desc(at), F.desc(id)).limit(k - cut["_before"])
+    return rows.where(day > F.lit(cut["_day"])).unionByName(last)
 
 
 def folds(rows: DataFrame, n: int, share: float = 0.45, most: int = 3000, at: str = "kickoff", id: str = "game_id") -> DataFrame:

@@ -25,9 +25,13 @@ class Rules:
     explosive_rush: int = 12
 
 
-def scores(plays: DataFrame, event: str = "event_key", order: str = "seq", home: str = "hs", away: str = "as") -> DataFrame:
-    """``prev_h``, ``prev_a`` (the last known score before; 0 at the start) and ``score_value``: the change read as 7, 3, 2 or 1 by its
-    size, positive for home. Missing scores are filled from before."""
+#: Kinds of plays whose points belong to the score before them (a fixed pattern).
+POINT_AFTER = "Extra|Two|2pt|Conversion"
+
+
+def scores(plays: DataFrame, event: str = "event_key", order: str = "seq", home: str = "hs", away: str = "as", kind: str = "type", point_after: str = POINT_AFTER) -> DataFrame:
+    """``prev_h``, ``prev_a`` (the last known score before; 0 at the start) and ``score_value``: the change read as 7 (from 6 on), 3 (from 3 on), 2 or 1 by its
+    size, positive for home. One of at most 2 on a play whose ``kind`` matches ``point_after`` counts 0. Missing scores are filled from before."""
     w = W.partitionBy(event).orderBy(order)
     upto, before = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, -1)
     out = plays
@@ -35,7 +39,8 @@ def scores(plays: DataFrame, event: str = "event_key", order: str = "seq", home:
         out = out.withColumn(f"now_{name}", F.coalesce(F.last(c, ignorenulls=True).over(upto), F.lit(0))).withColumn(f"prev_{name}", F.coalesce(F.last(c, ignorenulls=True).over(before), F.lit(0)))
     change = (F.col("now_h") - F.col("prev_h")) - (F.col("now_a") - F.col("prev_a"))
     size = F.abs(change)
-    return out.withColumn("score_value", F.signum(change).cast("int") * F.when(size >= 6, 7).when(size == 3, 3).when(size == 2, 2).when(size == 1, 1).otherwise(size))
+    after = F.coalesce(F.col(kind).rlike(point_after), F.lit(False)) if kind in plays.columns else F.lit(False)
+    return out.withColumn("score_value", F.signum(change).cast("int") * F.when(after & (size <= 2), 0).when(size >= 6, 7).when(size >= 3, 3).otherwise(size).cast("int"))
 
 
 def next_score(plays: DataFrame, value: str = "score_value", event: str = "event_key", order: str = "seq", period: str = "period") -> DataFrame:

@@ -84,14 +84,15 @@ def next_version(versions: DataFrame, structural: bool) -> DataFrame:
 
 
 def content_hash(columns: dict[str, str], digits: int = 8) -> Column:
-    """SHA-256 of name=value pairs sorted by name: doubles rounded, nulls and what isn't finite as null."""
+    """SHA-256 of a JSON object of the columns, sorted by name: doubles rounded and written as text, nulls and what isn't finite as null."""
+
     def cell(name, kind):
         c = F.col(name)
         if kind in ("double", "float"):
             c = F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(F.format_number(F.round(c, digits), digits))
-        return F.concat(F.lit(f"{name}="), F.coalesce(c.cast("string"), F.lit("null")))
+        return c.alias(name)
 
-    return F.sha2(F.concat_ws(";", *(cell(n, k) for n, k in sorted(columns.items()))), 256)
+    return F.sha2(F.to_json(F.struct(*(cell(n, k) for n, k in sorted(columns.items()))), {"ignoreNullFields": "false"}), 256)
 
 
 def difference(was: DataFrame, now: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def fil_10(t):
     return t["nation"].where(~F.col("n_name").isin("NATION_1", "NATION_7")).select("n_nationkey", "n_name")
 
 
-_ASK = "SELECT game_id AS query_id, away_id AS a, home_id AS b, kickoff - INTERVAL '2' DAY AS at FROM contest WHERE game_id % 7 = 0"
+_ASK = "SELECT game_id AS query_id, away_id AS a, home_id AS b, kickoff - INTERVAL '2' DAY AS at FROM contest"
 
 
 @query("fil_11_find_contest", f"""WITH q AS ({_ASK}), m AS (SELECT q.query_id, c.game_id, c.kickoff, c.home_id, row_number() OVER (PARTITION BY q.query_id ORDER BY c.kickoff, c.game_id) AS k FROM q JOIN contest c
@@ -114,9 +114,9 @@ def join_5(t):
     return out.select("game_id", "n", F.round("margin", 4).alias("margin"))
 
 
-@query("join_5_asof_rows", "SELECT c.game_id, o.game_id AS fact, o.y FROM contest c JOIN obs o ON o.off_id = c.home_id AND o.season = c.season AND o.avail <= c.kickoff WHERE c.game_id % 10 = 3")
+@query("join_5_asof_rows", "SELECT c.game_id, o.game_id AS fact, o.y FROM contest c JOIN obs o ON o.off_id = c.home_id AND o.season = c.season AND o.avail <= c.kickoff")
 def join_5_rows(t):
-    targets = t["contest"].where("game_id % 10 = 3").select("game_id", "season", F.col("home_id").alias("off_id"), F.col("kickoff").alias("cutoff"))
+    targets = t["contest"].select("game_id", "season", F.col("home_id").alias("off_id"), F.col("kickoff").alias("cutoff"))
     facts = t["obs"].select(F.col("game_id").alias("fact"), "season", "off_id", "avail", "y")
     return A.assert_no_leaks(A.range_asof(targets, facts, ["off_id", "season"])).select("game_id", "fact", "y")
 
@@ -380,7 +380,7 @@ def ups_13(t):
     return U.next_version(v, False).withColumnRenamed("version", "minor").join(F.broadcast(U.next_version(v, True).withColumnRenamed("version", "major")))
 
 
-@query("ups_14_content_hash", "SELECT game_id, sha256('away_score=' || format('{:,.8f}', away_score) || ';game_id=' || game_id || ';home_score=' || format('{:,.8f}', home_score)) AS h FROM contest")
+@query("ups_14_content_hash", "SELECT game_id, sha256('{\"away_score\":\"' || format('{:,.8f}', away_score) || '\",\"game_id\":' || game_id || ',\"home_score\":\"' || format('{:,.8f}', home_score) || '\"}') AS h FROM contest")
 def ups_14(t):
     return t["contest"].select("game_id", U.content_hash({"game_id": "bigint", "home_score": "double", "away_score": "double"}).alias("h"))
 

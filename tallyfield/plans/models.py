@@ -13,7 +13,7 @@ from .grading import rounded, subgroups
 from .registry import query
 
 FEATURES = ("elo_diff", "form3", "points", "rest", "neutral", "conf_game")
-FAST = M.Policy(n_folds=2, eval_window=1000)
+POLICY = M.Policy()
 
 
 def table(t):
@@ -129,7 +129,7 @@ def ml_14(t):
 
 @query("ml_15_walk_forward")
 def ml_15(t):
-    return rounded(M.walk_forward(M.Config(FEATURES), checkpointed(table(t)), FAST).select("game_id", "fold", "p_home", "pred_margin"), 4)
+    return rounded(M.walk_forward(M.Config(FEATURES), checkpointed(table(t)), POLICY).select("game_id", "fold", "p_home", "pred_margin"), 4)
 
 
 @query("ml_16_permutation_importance")
@@ -156,18 +156,20 @@ def ml_20(t):
 
 @query("ml_22_learning_cycle")
 def ml_22(t):
-    """Champion and one challenger on the same folds; the last fold confirms; one run record."""
+    """Champion and one challenger on the same folds; the last folds confirm; one run record. New are the contests that became available after
+    the champion's last training row."""
     rows = checkpointed(table(t))
     loss = S.log_loss(F.col("p_home"), F.col("home_win"))
     both = None
     for name, config in (("champion", M.Config(FEATURES)), ("challenger", M.Config(FEATURES, calibration="platt"))):
-        o = M.walk_forward(config, rows, FAST).select("game_id", "kickoff", "fold", loss.alias(name))
+        o = M.walk_forward(config, rows, POLICY).select("game_id", "kickoff", "fold", loss.alias(name))
         both = o if both is None else both.join(o.drop("kickoff", "fold"), "game_id")
     both = checkpointed(both)
-    d = both.where("fold = 1").select(S.iso_week(F.col("kickoff")).alias("week"), (F.col("champion") - F.col("challenger")).alias("gain"))
-    test = V.block_bootstrap(d, 200)
-    gates = test.select((F.col("p_value") < FAST.alpha).alias("significant"), (F.col("low") > FAST.min_gain).alias("effect"))
-    decision = M.decide(gates.first().asDict(), rows.count(), FAST)
+    d = both.where(F.col("fold") >= POLICY.n_folds - POLICY.confirm_folds).select(S.iso_week(F.col("kickoff")).alias("week"), (F.col("champion") - F.col("challenger")).alias("gain"))
+    test = V.block_bootstrap(d, 2000)
+    gates = test.select((F.col("p_value") < POLICY.alpha).alias("significant"), (F.col("low") > POLICY.min_gain).alias("effect"))
+    cutoff = both.where(F.col("fold") == POLICY.n_folds - 1).agg(F.min("kickoff")).first()[0]
+    decision = M.decide(gates.first().asDict(), rows.where(F.col("avail") > F.lit(cutoff)).count(), POLICY)
     return rounded(test.withColumn("decision", F.lit(decision)), 4)
 
 
@@ -175,7 +177,7 @@ def ml_22(t):
 def ml_23(t):
     from ..operators import grading as G
 
-    o = M.walk_forward(M.Config(FEATURES), checkpointed(table(t)), FAST)
+    o = M.walk_forward(M.Config(FEATURES), checkpointed(table(t)), POLICY)
     e, s = F.col("pred_margin") - F.col("margin"), F.col("pred_total") - F.col("total")
     measures = G.summary(F.col("p_home"), F.col("home_win"), e, s)
     return rounded(o.rollup("fold").agg(*measures), 4)

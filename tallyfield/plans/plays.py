@@ -12,16 +12,16 @@ from .registry import query
 
 RULES = P.Rules()
 _LIVE = "type IN ('click', 'view', 'signup') AND down BETWEEN 1 AND 4 AND dist BETWEEN 1 AND 99 AND ytez BETWEEN 1 AND 99"
-_RAW = "SELECT event_key, seq, CASE WHEN seq % 5 = 0 THEN NULL ELSE (seq // 7) * 7 END AS hs, CASE WHEN seq % 3 = 0 THEN NULL ELSE (seq // 11) * 3 END AS a_s FROM play"
+_RAW = "SELECT event_key, seq, type, CASE WHEN seq % 5 = 0 THEN NULL ELSE (seq // 7) * 7 END AS hs, CASE WHEN seq % 3 = 0 THEN NULL ELSE (seq // 11) * (1 + seq % 4) END AS a_s FROM play"
 _RAW_SPARK = _RAW.replace("(seq // 7)", "(seq div 7)").replace("(seq // 11)", "(seq div 11)")
 
 
 @query("win_1_score_values", f"""WITH r AS ({_RAW}), f AS (SELECT *, coalesce(last_value(hs IGNORE NULLS) OVER w, 0) AS nh, coalesce(last_value(a_s IGNORE NULLS) OVER w, 0) AS na,
 coalesce(last_value(hs IGNORE NULLS) OVER b, 0) AS ph, coalesce(last_value(a_s IGNORE NULLS) OVER b, 0) AS pa FROM r WINDOW w AS (PARTITION BY event_key ORDER BY seq ROWS UNBOUNDED PRECEDING),
 b AS (PARTITION BY event_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), c AS (SELECT *, (nh - ph) - (na - pa) AS d FROM f)
-SELECT event_key, seq, ph AS prev_h, pa AS prev_a, CAST(sign(d) * CASE WHEN abs(d) >= 6 THEN 7 ELSE abs(d) END AS BIGINT) AS score_value FROM c""")
+SELECT event_key, seq, ph AS prev_h, pa AS prev_a, CAST(sign(d) * CASE WHEN abs(d) <= 2 AND type LIKE '%sign%' THEN 0 WHEN abs(d) >= 6 THEN 7 WHEN abs(d) >= 3 THEN 3 ELSE abs(d) END AS BIGINT) AS score_value FROM c""")
 def win_1(t):
-    return P.scores(t.sql(_RAW_SPARK), away="a_s").select("event_key", "seq", "prev_h", "prev_a", F.col("score_value").cast("long").alias("score_value"))
+    return P.scores(t.sql(_RAW_SPARK), away="a_s", point_after="sign|Two").select("event_key", "seq", "prev_h", "prev_a", F.col("score_value").cast("long").alias("score_value"))
 
 
 @query("win_2_drive_ids", "WITH n AS (SELECT *, CASE WHEN off_side IS DISTINCT FROM lag(off_side) OVER w OR lag(1) OVER w IS NULL THEN 1 ELSE 0 END AS c FROM play WINDOW w AS (PARTITION BY event_key ORDER BY seq)) SELECT event_key, seq, CAST(sum(c) OVER (PARTITION BY event_key ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS drive FROM n")

@@ -23,9 +23,9 @@ def _grid(t, points):
 
 
 def _pooled(t):
-    """Contests in four pools, with the divisions of both sides."""
+    """Contests with their pools, which are the connected groups of sides, and the divisions of both sides."""
     known = A.divisions(t["contest"])
-    c = t["contest_avail"].withColumn("pool", F.concat(F.lit("p"), (F.col("game_id") % 4).cast("string")))
+    c = R.pools(t["contest_avail"])
     for side in ("home", "away"):
         c = A.division_of(c.withColumn("team", F.col(f"{side}_id")), known).withColumnRenamed("division", f"{side}_division").drop("team")
     return c
@@ -66,7 +66,7 @@ def rat_5(t):
 
 @query("rat_5_ridge_sweeps")
 def rat_5_sweeps(t):
-    return rounded(R.ridge_by_sweeps(t["obs"], ["season"], 8.0, sweeps=4), 3)
+    return rounded(R.ridge_by_sweeps(t["obs"], ["season"], 8.0), 3)
 
 
 @query("rat_6_priors_by_season")
@@ -83,20 +83,23 @@ def rat_6(t):
     return rounded(out)
 
 
+def _metrics(t):
+    """Observations of each metric: the points, and four statistics of the entity."""
+    stats = t["entity_stats"].unpivot(["game_id", "team_id"], ["price_pp", "disc_rate", "return_rate", "tax_f"], "metric", "y").where("y IS NOT NULL")
+    return t["obs"].select("season", "kickoff", "game_id", "off_id", "def_id", "loc").join(stats.withColumnRenamed("team_id", "off_id"), ["game_id", "off_id"])
+
+
 @query("rat_7_metrics")
 def rat_7(t):
-    stats = t["entity_stats"].unpivot(["game_id", "team_id"], ["price_pp", "disc_rate", "return_rate", "tax_f"], "metric", "y").where("y IS NOT NULL")
-    obs = t["obs"].select("season", "game_id", "off_id", "def_id", "loc").join(stats.withColumnRenamed("team_id", "off_id"), ["game_id", "off_id"])
-    return rounded(R.ridge_per_group(obs, ["metric", "season"], 8.0))
+    return rounded(R.ridge_per_group(_metrics(t), ["metric", "season"], 8.0))
 
 
 @query("rat_8_weekly_table")
 def rat_8(t):
-    """Ratings before each tenth of a season, from what was played in earlier tenths."""
-    wk = F.floor((F.dayofyear("kickoff") - 1) / 37).cast("int")
-    obs = t["obs"].select("season", wk.alias("wk"), "off_id", "def_id", "loc", "y")
-    cutoffs = obs.select("season", F.col("wk").alias("week")).distinct()
-    return rounded(R.ridge_per_group(obs.join(cutoffs, "season").where("wk < week").drop("wk"), ["season", "week"], 8.0))
+    """Ratings of each metric before each week of a season, from what was played in its earlier weeks."""
+    y = t["obs"].select("season", "kickoff", "off_id", "def_id", "loc", F.lit("points").alias("metric"), "y")
+    every = y.unionByName(_metrics(t).select(*y.columns)).withColumn("week", F.floor((F.dayofyear("kickoff") - 1) / 7).cast("int"))
+    return rounded(R.ridge_before(every, ["metric", "season"], "week", 8.0))
 
 
 # --- features

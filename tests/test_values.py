@@ -56,14 +56,47 @@ def test_confidence_stays_in_range(spark):
 
 
 def test_elo_by_hand():
-    e = R.EloState(36.0, 45.0, 0.25, R.ELO_START)
-    division = lambda s, team: "FBS" if team != "c" else "FCS"
-    h, a, gain = e.play(2000, "a", "b", 7, False, division)
+    e = R.EloPool(36.0, 45.0, 0.25, R.ELO_START)
+    h, a, gain = e.meet(2000, 1, 2, 7, False, ("FBS", "FBS"))
     want = 36 * math.log(8) * 2.2 / (45 * 0.001 + 2.2) * (1 - 1 / (1 + 10 ** (-45 / 400)))
     assert (h, a) == (1500, 1500) and abs(gain - want) < 1e-12
-    assert e.play(2000, "a", "c", 0, True, division)[2] == 0
-    before = e.rating["a"]
-    assert abs(e.play(2002, "a", "c", 3, True, division)[0] - (1500 + 0.75 * (before - 1500))) < 1e-9 and e.rating["c"] < 1200
+    assert e.meet(2000, 1, 3, 0, True, ("FBS", "FCS"))[2] == 0
+    before = 1500 + want
+    assert abs(e.meet(2002, 1, 3, 3, True, ("FBS", "FCS"))[0] - (1500 + 0.75 * (before - 1500))) < 1e-9 and e.sides[3][0] < 1200
+    e.meet(2003, 8, 9, 1, True, ("FBS", "FBS"))
+    e.meet(2004, 8, 9, 1, True, ("FBS", "FBS"))
+    now = 1500 + 0.75 ** 3 * (before - 1500)
+    assert abs(e.before(2, "FBS") - (1500 - 0.75 ** 3 * want)) < 1e-9 and abs(e.before(1, "FBS") - now) < abs(want)
+
+
+def test_elo_equals_a_plain_chronological_pass(spark, t):
+    """All sides regress when a season begins, ratings in a dict: over the whole table."""
+    from tallyfield.plans.ratings import POINT, _grid, _pooled
+
+    k, home, revert = POINT
+    rows = sorted(_pooled(t).collect(), key=lambda r: (r["pool"], r["avail"], r["kickoff"], r["game_id"]))
+    want, pool = {}, None
+    for r in rows:
+        if r["pool"] != pool:
+            pool, rating, known, season = r["pool"], {}, {}, None
+        if season is not None and r["season"] > season:
+            rating = {x: R.ELO_START[known[x]] + (1 - revert) * (v - R.ELO_START[known[x]]) for x, v in rating.items()}
+        season = r["season"] if season is None else max(season, r["season"])
+        for s in ("home", "away"):
+            known[r[f"{s}_id"]] = r[f"{s}_division"]
+            rating.setdefault(r[f"{s}_id"], R.ELO_START[r[f"{s}_division"]])
+        h, a = rating[r["home_id"]], rating[r["away_id"]]
+        gain = R.elo_shift(h - a + (0 if r["neutral"] == 1 else home), r["home_score"] - r["away_score"], k)
+        rating[r["home_id"]], rating[r["away_id"]] = h + gain, a - gain
+        want[r["game_id"]] = (h, a, gain)
+    got = {r["game_id"]: (r["elo_home"], r["elo_away"], r["gain"]) for r in R.elo(_pooled(t), _grid(t, [POINT])).collect()}
+    assert got.keys() == want.keys() and all(abs(x - y) < 1e-6 for g in got for x, y in zip(got[g], want[g]))
+
+
+def test_pools_are_connected_groups(spark):
+    pairs = [(1, 2), (2, 3), (7, 8), (9, 8), (20, 21), (3, 30), (30, 31), (31, 32)]
+    got = {(r["home_id"], r["away_id"]): r["pool"] for r in R.pools(spark.createDataFrame(pairs, "home_id long, away_id long")).collect()}
+    assert got == {p: {1: "1", 2: "1", 3: "1", 30: "1", 31: "1", 7: "7", 9: "7", 20: "20"}[p[0]] for p in pairs}
 
 
 def test_stream_ratings_equal_batch(spark, t):
@@ -75,13 +108,91 @@ def test_stream_ratings_equal_batch(spark, t):
     assert batch.keys() == stream.keys() and all(abs(batch[k][0] - stream[k][0]) < 1e-5 for k in batch)
 
 
-def test_sweeps_approach_the_exact_ridge(spark, t):
-    obs = t["obs"].where("season = 1996 AND off_id < 6 AND def_id < 6")
-    exact = {r["team"]: r for r in R.ridge_per_group(obs, ["season"], 8.0).collect()}
-    swept = {r["team"]: r for r in R.ridge_by_sweeps(obs, ["season"], 8.0, sweeps=12).collect()}
-    assert exact.keys() == swept.keys() and all(abs(exact[k]["o"] - swept[k]["o"]) < 0.02 and abs(exact[k]["d"] - swept[k]["d"]) < 0.02 for k in exact)
-    shuffled = R.ridge_per_group(obs.orderBy(F.rand(3)), ["season"], 8.0).collect()
-    assert all(abs(exact[r["team"]]["o"] - r["o"]) < 1e-9 for r in shuffled)
+def dense_ridge(rows, lam, prior=None):
+    """A least-squares problem spelled out, with a row for each penalty."""
+    prior = prior or {}
+    teams = sorted({r["off_id"] for r in rows} | {r["def_id"] for r in rows} | set(prior))
+    at, n = {x: i for i, x in enumerate(teams)}, len(teams)
+    m, v = [], []
+    for r in rows:
+        x = np.zeros(2 + 2 * n)
+        x[[0, 2 + at[r["off_id"]], 2 + n + at[r["def_id"]]]] = 1
+        x[1] = r["loc"]
+        m.append(x)
+        v.append(float(r["y"]))
+    weights = [1e-3, 1e-3 + (50 if len(rows) < 50 else 0), *[lam] * (2 * n)]
+    centre = [0, 0, *(prior.get(x, (0, 0))[0] for x in teams), *(prior.get(x, (0, 0))[1] for x in teams)]
+    for i, (w, c) in enumerate(zip(weights, centre)):
+        m.append(np.sqrt(w) * np.eye(2 + 2 * n)[i])
+        v.append(np.sqrt(w) * c)
+    z = np.linalg.lstsq(np.array(m), np.array(v), rcond=None)[0]
+    return {x: (z[0], z[1], z[2 + i], z[2 + n + i]) for x, i in at.items()}
+
+
+def close(got, want, by=1e-6):
+    return got.keys() == want.keys() and all(abs(a - b) < by for k in got for a, b in zip(got[k], want[k]))
+
+
+def answers(df):
+    return {r["team"]: (r["mu"], r["h"], r["o"], r["d"]) for r in df.collect()}
+
+
+def test_ridge_equals_a_dense_solver(spark, t):
+    obs = t["obs"].where("season = 1996")
+    assert close(answers(R.ridge_per_group(obs, ["season"], 8.0)), dense_ridge(obs.collect(), 8.0))
+    few = obs.where("off_id < 6 AND def_id < 6")
+    prior = {1: (3.0, -2.0), 777: (1.0, 4.0)}
+    priors = spark.createDataFrame([(1996, k, *v) for k, v in prior.items()], "season int, team long, prior_o double, prior_d double")
+    assert close(answers(R.ridge_per_group(few, ["season"], 8.0, priors)), dense_ridge(few.collect(), 8.0, prior))
+    swept = answers(R.ridge_by_sweeps(few, ["season"], 8.0, sweeps=12))
+    assert all(abs(swept[k][j] - x) < 0.02 for k, v in dense_ridge(few.collect(), 8.0).items() for j, x in enumerate(v) if j > 1)
+
+
+def test_weekly_ratings_equal_a_dense_solver(spark, t):
+    obs = t["obs"].where("season = 1996").withColumn("week", F.floor((F.dayofyear("kickoff") - 1) / 7).cast("int"))
+    got, rows = R.ridge_before(obs, ["season"], "week", 8.0).collect(), obs.collect()
+    weeks = sorted({r["week"] for r in rows})
+    assert {r["week"] for r in got} == set(weeks[1:])
+    for w in (weeks[1], weeks[len(weeks) // 2], weeks[-1]):
+        assert close({r["team"]: (r["mu"], r["h"], r["o"], r["d"]) for r in got if r["week"] == w}, dense_ridge([r for r in rows if r["week"] < w], 8.0))
+
+
+def test_tables_kept_by_a_stream_restart(spark):
+    from tallyfield.sources.shared import fresh
+    from tallyfield.streaming import jobs as J
+
+    for keep in (lambda *a: J.keep_latest(a[0], ["k"], ["at"], (), *a[1:]), lambda *a: J.keep_corrections(a[0], ["k"], ("v", "at"), ["at"], *a[1:])):
+        landing, path, state = (fresh(spark, n) for n in ("landing", "kept", "state"))
+        seen = []
+        for batch in ([(1, 10, 1), (2, 20, 1)], [], [(1, 15, 5)], [(1, 11, 3), (3, 30, 1)], [], [(2, 25, 9), (2, 24, 8)]):
+            spark.createDataFrame(batch, "k long, v long, at long").coalesce(1).write.mode("append").parquet(landing)
+            stream = J.landed(spark, landing, "k long, v long, at long", 1)
+            seen.append(sorted(map(tuple, keep(stream, path, state).select("k", "v", "at").collect())))
+        assert seen[0] == seen[1] == [(1, 10, 1), (2, 20, 1)] and seen[2] == [(1, 15, 5), (2, 20, 1)]
+        assert seen[3] == seen[4] == [(1, 15, 5), (2, 20, 1), (3, 30, 1)] and seen[5] == [(1, 15, 5), (2, 25, 9), (3, 30, 1)]
+        assert len(J._versions(spark, path)) <= 2
+
+
+def test_score_values_by_size(spark):
+    from tallyfield.operators import plays as P
+
+    rows = [(1, i, h, 0, kind) for i, (h, kind) in enumerate([(6, "Pass"), (7, "Extra Point"), (12, "Run"), (16, "Kick"), (19, None), (21, "Two Point"), (23, "Safety"), (24, "x"), (25, "Conversion")])]
+    got = P.scores(spark.createDataFrame(rows, "event_key int, seq int, hs int, as int, type string")).orderBy("seq").select("score_value").collect()
+    assert [r[0] for r in got] == [7, 0, 3, 3, 3, 0, 2, 1, 0]
+
+
+def test_names_equal_the_compatibility_decomposition(spark):
+    import re
+    import unicodedata
+
+    names = ["Šibenik", "Łódź", "São Paulo & (B)", "ﬁne  ﬂow", "Ǆ½™", "日本 x", "A-B_c", "", "ＦＵＬＬ", "İzmir", "ÀÉ ß ø"]
+    want = [re.sub("[^a-z0-9&()]+", " ", unicodedata.normalize("NFKD", n).encode("ascii", "ignore").decode().lower()).strip() for n in names]
+    assert [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(S.normal_name(F.col("n"))).collect()] == want
+
+
+def test_hashes_tell_null_from_the_word(spark):
+    rows = spark.createDataFrame([(None, "x"), ("null", "x"), ("a;b=c", None), ("a", "c")], "a string, b string")
+    assert rows.select(U.content_hash({"a": "string", "b": "string"}).alias("h")).distinct().count() == 4
 
 
 def test_features_ignore_later_facts(spark, t):
