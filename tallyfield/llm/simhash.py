@@ -5,7 +5,7 @@ they share at least four: that is the guaranteed minimum. Lists of single (posit
 256th of all fingerprints each, so pairs would grow with the square of the input. The index therefore lists
 three positions at a time, all 56 triples: a list has but a 2**24th of unrelated fingerprints, and a pair that shares
 the positions of a set S meets in the lists of all triples within S, which together name S. So the positions of the lists where a
-pair meets, tallied over the whole index, are the positions it shares. Pairs with a tally under four go, and the rest are verified by counting bits.
+pair meets, tallied over the whole index, are the positions it shares. Pairs with a tally under four go. A pair is verified, by counting bits, in the lists where it meets, so that no other pairs are shuffled.
 
 Only distinct fingerprints are indexed: exact copies cost nothing. Lists of over ``SHORT`` members come from dense groups and aren't
 spelled out in pairs: such a list is searched breadth-first, each fingerprint meeting only those not reached yet, with the same tally
@@ -114,10 +114,11 @@ def _links_of_lists(batches, bits: int):
 
 
 def _tallied(lists: DataFrame, bits: int) -> DataFrame:
-    """Links of the pairs of short lists (positions, members): their tally over all lists, its least value, then the bits."""
-    pair = lists.select("positions", F.posexplode("members").alias("i", "a"), "members").select("positions", "a", F.explode(F.expr("slice(members, i + 2, size(members))")).alias("b"))
+    """Links of the pairs of short lists (positions, members): their tally over all lists, and its least value. Bits are counted where a pair meets, so
+    that of the pairs of a dense group only links move."""
+    pair = lists.select("positions", F.posexplode("members").alias("i", "a"), "members").select("positions", "a", F.explode(F.expr(f"filter(slice(members, i + 2, size(members)), b -> bit_count(a ^ b) <= {bits})")).alias("b"))
     tally = pair.groupBy("a", "b").agg(F.bit_or("positions").alias("shared"))
-    return tally.where((F.bit_count("shared") >= 8 - bits) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).select("a", "b")
+    return tally.where(F.bit_count("shared") >= 8 - bits).select("a", "b")
 
 
 def links(fps: DataFrame, bits: int = BITS, short: int = SHORT, long: int = LONG) -> DataFrame:
