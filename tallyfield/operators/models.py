@@ -5,14 +5,18 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import partial
 from itertools import combinations
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.errors import AnalysisException
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression, IsotonicRegressionModel, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,6 +36,7 @@ class Policy:
     min_gain: float = 0.002
     alpha: float = 0.05
     max_candidates: int = 8
+    max_ece_worsening: float = 0.01
     eval_window: int = 3000
 
     def for_domain(self, **changes) -> Policy:
@@ -65,26 +70,60 @@ def _weighted(rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Fitted:
-    """A member: ``score`` adds p_<name>, or m_<name> and p_<name> for one that predicts margins."""
+    """A member: ``score`` adds p_<name>, m_<name> or both. One that predicts margins only, and whose ``chance`` is set, gets p from the
+    normal distribution of its residuals; ``margin`` is a second model, of margins, beside one of probabilities."""
 
     name: str
     model: PipelineModel
     features: tuple[str, ...]
     sigma: float | None = None
+    margin: PipelineModel | None = None
+    chance: bool = True
+
+    @property
+    def has_margin(self) -> bool:
+        return self.sigma is not None or self.margin is not None
 
     def score(self, rows: DataFrame) -> DataFrame:
         out = self.model.transform(assembled(rows, list(self.features), "_x"))
         if self.sigma is None:
             out = out.withColumn(f"p_{self.name}", vector_to_array("probability")[1])
         else:
-            out = out.withColumn(f"m_{self.name}", F.col("prediction")).withColumn(f"p_{self.name}", S.normal_cdf(F.col("prediction") / self.sigma))
-        return out.drop("_x", "_z", "rawPrediction", "probability", "prediction")
+            out = out.withColumn(f"m_{self.name}", F.col("prediction"))
+            if self.chance:
+                out = out.withColumn(f"p_{self.name}", S.normal_cdf(F.col("prediction") / self.sigma))
+        out = out.drop("_z", "rawPrediction", "probability", "prediction")
+        if self.margin is not None:
+            out = self.margin.transform(out).withColumn(f"m_{self.name}", F.col("prediction")).drop("_z", "prediction")
+        return out.drop("_x")
+
+
+def together(rows: DataFrame, jobs: list[Callable], parallelism: int = 4) -> list:
+    """What the functions return. Their Spark jobs don't depend on each other, so the driver submits those of several at a time."""
+    if len(jobs) < 2 or parallelism < 2:
+        return [job() for job in jobs]
+    with ThreadPool(min(parallelism, len(jobs))) as pool:
+        return pool.map(inheritable_thread_target(rows.sparkSession)(lambda job: job()), jobs)
 
 
 def _standard() -> StandardScaler:
     return StandardScaler(inputCol="_x", outputCol="_z", withMean=True, withStd=True)
 
 
+def _spread(rows: DataFrame, error: Column) -> float:
+    """Root of the weighted mean square of an error, never 0."""
+    return max(rows.agg(F.sqrt(F.sum(F.col("weight") * error * error) / F.sum("weight"))).first()[0] or 1.0, 1e-6)
+
+
+def _ridge(rows: DataFrame, target: str, alpha: float, features: str) -> LinearRegression:
+    """Weighted squares plus alpha times the squared coefficients: Spark divides the first by the sum of weights and the penalty by the
+    label's deviation, so both are undone here."""
+    y, w = F.col(target).cast("double"), F.col("weight")
+    s = rows.agg(F.sum(w).alias("w"), (F.sum(w * y) / F.sum(w)).alias("mean"), (F.sum(w * y * y) / F.sum(w)).alias("square")).first()
+    spread = max((s["square"] or 0.0) - (s["mean"] or 0.0) ** 2, 0.0) ** 0.5
+    return LinearRegression(featuresCol=features, labelCol=target, weightCol="weight", regParam=alpha * (spread or 1.0) / (s["w"] or 1.0), elasticNetParam=0.0, standardization=False, solver="normal")
+
+
 def logistic(rows: DataFrame, features: tuple[str, ...], name: str = "logistic", C: float = 0.1) -> Fitted:
     """Standardised logistic regression; the penalty matches C times the sum of losses."""
     rows = _weighted(rows)
@@ -94,30 +133,39 @@ def logistic(rows: DataFrame, features: tuple[str, ...], name: str = "logistic",
 
 
 def margin_ridge(rows: DataFrame, features: tuple[str, ...], name: str = "margin_ridge", alpha: float = 10.0, target: str = "margin") -> Fitted:
-    """Ridge on standardised features; Spark scales the penalty by the label's deviation, so it is undone here."""
-    rows = _weighted(rows)
-    s = rows.agg(F.count("*"), F.stddev_pop(target)).first()
-    lr = LinearRegression(featuresCol="_z", labelCol=target, weightCol="weight", regParam=alpha * (s[1] or 1.0) / s[0], elasticNetParam=0.0, standardization=False, solver="normal")
-    model = Pipeline(stages=[_standard(), lr]).fit(assembled(rows, list(features), "_x"))
-    residual = model.transform(assembled(rows, list(features), "_x")).agg(F.stddev_pop(F.col(target) - F.col("prediction"))).first()[0]
-    return Fitted(name, model, tuple(features), max(residual or 1.0, 1e-6))
+    """Ridge on standardised features."""
+    base = assembled(_weighted(rows), list(features), "_x")
+    model = Pipeline(stages=[_standard(), _ridge(base, target, alpha, "_z")]).fit(base)
+    return Fitted(name, model, tuple(features), _spread(model.transform(base), F.col(target) - F.col("prediction")))
 
 
 def elo_member(rows: DataFrame, features: tuple[str, ...] = ("elo_diff",), name: str = "elo") -> Fitted:
-    lr = LogisticRegression(featuresCol="_x", labelCol="home_win", regParam=0.0, maxIter=100)
-    return Fitted(name, Pipeline(stages=[lr]).fit(assembled(rows, list(features), "_x")), tuple(features))
+    """Probability and margin from the difference of ratings alone, both all but without penalty."""
+    base = assembled(_weighted(rows), list(features), "_x")
+    lr = LogisticRegression(featuresCol="_x", labelCol="home_win", weightCol="weight", regParam=0.0, maxIter=100)
+    return Fitted(name, Pipeline(stages=[lr]).fit(base), tuple(features), margin=Pipeline(stages=[_ridge(base, "margin", 1e-6, "_x")]).fit(base))
 
 
-def trees(rows: DataFrame, features: tuple[str, ...], name: str = "gbm", rounds: int = 20, step: float = 0.1, depth: int = 4, leaf: int = 40) -> Fitted:
-    gbt = GBTClassifier(featuresCol="_x", labelCol="home_win", maxIter=rounds, stepSize=step, maxDepth=depth, minInstancesPerNode=leaf, subsamplingRate=0.8, seed=7)
-    return Fitted(name, Pipeline(stages=[gbt]).fit(assembled(rows, list(features), "_x")), tuple(features))
+def _boosting(base: DataFrame, rounds: int, step: float, depth: int, leaf: int, share: float) -> dict:
+    """Settings of both kinds of trees. Boosting cuts its lineage every ten rounds, in the shared folder."""
+    from ..sources.shared import checkpoint_dir
 
+    checkpoint_dir(base.sparkSession)
+    return {"featuresCol": "_x", "weightCol": "weight", "maxIter": rounds, "stepSize": step, "maxDepth": depth, "minInstancesPerNode": leaf, "subsamplingRate": 0.8, "featureSubsetStrategy": str(share), "seed": 7}
 
-def margin_trees(rows: DataFrame, features: tuple[str, ...], name: str = "gbm_margin", rounds: int = 20, step: float = 0.1, depth: int = 4, leaf: int = 40) -> Fitted:
-    gbt = GBTRegressor(featuresCol="_x", labelCol="margin", maxIter=rounds, stepSize=step, maxDepth=depth, minInstancesPerNode=leaf, subsamplingRate=0.8, seed=7)
-    model = Pipeline(stages=[gbt]).fit(assembled(rows, list(features), "_x"))
-    sigma = model.transform(assembled(rows, list(features), "_x")).agg(F.stddev_pop(F.col("margin") - F.col("prediction"))).first()[0]
-    return Fitted(name, model, tuple(features), max(sigma or 1.0, 1e-6))
+
+def trees(rows: DataFrame, features: tuple[str, ...], name: str = "gbm", rounds: int = 300, step: float = 0.03, depth: int = 4, leaf: int = 40, share: float = 0.8) -> Fitted:
+    """Boosted trees of the outcome; each split looks at ``share`` of the features."""
+    base = assembled(_weighted(rows), list(features), "_x")
+    gbt = GBTClassifier(labelCol="home_win", **_boosting(base, rounds, step, depth, leaf, share))
+    return Fitted(name, Pipeline(stages=[gbt]).fit(base), tuple(features))
+
+
+def margin_trees(rows: DataFrame, features: tuple[str, ...], name: str = "gbm_margin", rounds: int = 300, step: float = 0.03, depth: int = 4, leaf: int = 40, share: float = 0.8) -> Fitted:
+    """Boosted trees of the margin; they give no probability."""
+    base = assembled(_weighted(rows), list(features), "_x")
+    model = Pipeline(stages=[GBTRegressor(labelCol="margin", **_boosting(base, rounds, step, depth, leaf, share))]).fit(base)
+    return Fitted(name, model, tuple(features), _spread(model.transform(base), F.col("margin") - F.col("prediction")), chance=False)
 
 
 #: Member types by name: an extension adds its own.
@@ -171,17 +219,33 @@ def margin_weights(rows: DataFrame, members: list[str], target: str = "margin")
     return {m: float(best[1].get(m, 0.0)) for m in members}
 
 
-def calibrate(rows: DataFrame, kind: str, p: str = "p_raw", y: str = "home_win") -> Callable[[DataFrame], DataFrame]:
-    """Platt (a logistic fit on the logit) or isotonic calibration, within .005 and .995; gives a function that adds ``p_home``."""
+@dataclass(frozen=True)
+class Calibrator:
+    """Adds ``p_home`` to rows with a raw probability: that itself, or Platt's a + b times its logit, or an isotonic model, within .005 and .995."""
+
+    kind: str = "none"
+    a: float = 0.0
+    b: float = 1.0
+    model: IsotonicRegressionModel | None = None
+    p: str = "p_raw"
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        if self.kind == "none":
+            return rows.withColumn("p_home", F.col(self.p))
+        if self.kind == "platt":
+            return rows.withColumn("p_home", S.clip(S.expit(self.a + self.b * S.logit(F.col(self.p))), 0.005, 0.995))
+        return self.model.transform(rows).withColumn("p_home", S.clip(F.col("prediction"), 0.005, 0.995)).drop("prediction")
+
+
+def calibrate(rows: DataFrame, kind: str, p: str = "p_raw", y: str = "home_win") -> Calibrator:
+    """A calibrator fitted on the rows: Platt is a logistic fit on the logit."""
     if kind == "none":
-        return lambda df: df.withColumn("p_home", F.col(p))
+        return Calibrator(p=p)
     if kind == "platt":
         base = rows.withColumn("_l", S.logit(F.col(p)))
         model = LogisticRegression(featuresCol="_v", labelCol=y, maxIter=100).fit(assembled(base, ["_l"], "_v"))
-        a, b = float(model.intercept), float(model.coefficients[0])
-        return lambda df: df.withColumn("p_home", S.clip(S.expit(a + b * S.logit(F.col(p))), 0.005, 0.995))
-    model = IsotonicRegression(featuresCol=p, labelCol=y).fit(rows.withColumn(y, F.col(y).cast("double")))
-    return lambda df: model.transform(df).withColumn("p_home", S.clip(F.col("prediction"), 0.005, 0.995)).drop("prediction")
+        return Calibrator(kind, float(model.intercept), float(model.coefficients[0]), p=p)
+    return Calibrator(kind, model=IsotonicRegression(featuresCol=p, labelCol=y).fit(rows.withColumn(y, F.col(y).cast("double"))), p=p)
 
 
 @dataclass(frozen=True)
@@ -191,7 +255,7 @@ class Ensemble:
     m_weights: dict
     total: Fitted | None
     stacker: Fitted | None
-    calibrator: Callable[[DataFrame], DataFrame]
+    calibrator: Calibrator
     sigma: float
 
     def score(self, rows: DataFrame) -> DataFrame:
@@ -199,7 +263,7 @@ class Ensemble:
         out = rows
         for m in self.members:
             out = m.score(out)
-        ps, ms = [f"p_{m.name}" for m in self.members], [f"m_{m.name}" for m in self.members if m.sigma is not None]
+        ps, ms = list(self.p_weights), list(self.m_weights)
         if self.stacker is not None:
             out = self.stacker.score(with_logits(out, ps)).withColumnRenamed("p_stack", "p_raw").drop(*(f"l_{p}" for p in ps))
         else:
@@ -232,49 +296,59 @@ def fit_ensemble(config: Config, rows: DataFrame, at: str = "kickoff", id: str =
     scored = hold
     for m in first:
         scored = m.score(scored)
-    ps, ms = [f"p_{m.name}" for m in first], [f"m_{m.name}" for m in first if m.sigma is not None]
-    p_weights = mixture_weights(scored, ps)
-    m_weights = margin_weights(scored, ms) if ms else {}
-    stacker = None
-    if config.ensemble == "stack":
-        context = tuple(f"l_{p}" for p in ps) + tuple(config.stack_context)
-        stacker = logistic(with_logits(scored, ps), context, "stack", C=1.0)
-        scored = stacker.score(with_logits(scored, ps)).withColumnRenamed("p_stack", "p_raw")
-    else:
-        scored = scored.withColumn("p_raw", sum((F.lit(p_weights[p]) * F.col(p) for p in ps), F.lit(0.0)))
-    calibrator = calibrate(scored, config.calibration)
-    members = build(rows)
-    sigma = next((m.sigma for m in members if m.sigma), None) or float(rows.agg(F.stddev_pop("margin")).first()[0] or 1.0)
-    return Ensemble(members, p_weights, m_weights, margin_ridge(rows, config.features, "total", target="total"), stacker, calibrator, sigma)
-
-
-def walk_forward(config: Config, rows: DataFrame, policy: Policy = Policy(), at: str = "kickoff", avail: str = "avail", id: str = "game_id") -> DataFrame:
-    """Out-of-sample predictions of each fold, from models fitted on what was available when it starts."""
+    ps, ms = [f"p_{m.name}" for m in first if f"p_{m.name}" in scored.columns], [f"m_{m.name}" for m in first if m.has_margin]
+    scored = scored.persist()
+    try:
+        p_weights, m_weights = mixture_weights(scored, ps), margin_weights(scored, ms) if ms else {}
+        stacker = None
+        if config.ensemble == "stack":
+            context = tuple(f"l_{p}" for p in ps) + tuple(config.stack_context)
+            stacker = logistic(with_logits(scored, ps).drop("weight"), context, "stack", C=1.0)
+            raw = stacker.score(with_logits(scored, ps)).withColumnRenamed("p_stack", "p_raw")
+        else:
+            raw = scored.withColumn("p_raw", sum((F.lit(p_weights[p]) * F.col(p) for p in ps), F.lit(0.0)))
+        calibrator = calibrate(raw, config.calibration)
+        margin = sum((F.lit(m_weights[m]) * F.col(m) for m in ms), F.lit(0.0))
+        sigma = max(scored.agg(F.stddev_pop(F.col("margin") - margin)).first()[0] or 1.0, 1e-6)
+    finally:
+        scored.unpersist()
+    return Ensemble(build(rows), p_weights, m_weights, margin_ridge(rows.drop("weight"), config.features, "total", target="total"), stacker, calibrator, sigma)
+
+
+def walk_forward(config: Config, rows: DataFrame, policy: Policy = Policy(), at: str = "kickoff", avail: str = "avail", id: str = "game_id", parallelism: int = 4) -> DataFrame:
+    """Out-of-sample predictions of each fold, from models fitted on what was available when it starts. Folds don't depend on each other:
+    the driver submits the jobs of ``parallelism`` of them at a time."""
     from .folds import folds
 
     blocks = folds(rows, policy.n_folds, most=policy.eval_window, at=at, id=id)
-    out = None
-    for fold, start in sorted((r["fold"], r["start"]) for r in blocks.groupBy("fold").agg(F.min(at).alias("start")).collect()):
+    starts = sorted((r["fold"], r["start"]) for r in blocks.groupBy("fold").agg(F.min(at).alias("start")).collect())
+
+    def one(fold, start) -> DataFrame:
         model = fit_ensemble(config, rows.where(F.col(avail) <= F.lit(start)), at, id)
-        part = model.score(blocks.where(F.col("fold") == fold))
-        out = part if out is None else out.unionByName(part)
+        return model.score(blocks.where(F.col("fold") == fold))
+
+    parts = together(rows, [partial(one, *case) for case in starts], parallelism)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
 def permutation_importance(model: Ensemble, rows: DataFrame, features: list[str], repeats: int = 3, id: str = "game_id") -> DataFrame:
-    """Rise of the log loss when a feature's values are dealt out anew. All features and repeats are one table, scored at once; the
-    deal joins two numberings, one in order and one by a seeded hash."""
-    n = rows.withColumn("_i", F.row_number().over(W.orderBy(id)))
+    """Rise of the log loss when a feature's values are dealt out anew. All features and repeats are one table, scored at once. The deal is
+    within random parts of about 5,000 rows, by two numberings of a part, in order and by a seeded hash; ids are distinct."""
+    parts = max(1, rows.count() // 5000)
     cases = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat")) for f in features for r in range(repeats))))
-    order = W.partitionBy("feature", "repeat").orderBy(F.xxhash64("_i", "feature", "repeat"))
-    dealt = n.select("_i", cases.alias("_c"), *(F.col(f).alias(f"_o_{f}") for f in features)).select("*", "_c.feature", "_c.repeat").withColumn("_j", F.row_number().over(order))
-    other = dealt.select("feature", "repeat", F.col("_j").alias("_i"), *(f"_o_{f}" for f in features))
-    long = n.select("*", cases.alias("_c")).select("*", "_c.feature", "_c.repeat").join(other, ["feature", "repeat", "_i"])
+    n = rows.select("*", cases.alias("_c")).select("*", "_c.feature", "_c.repeat").drop("_c").withColumn("_b", F.pmod(F.xxhash64(id, "feature", "repeat"), F.lit(parts)))
+    part = W.partitionBy("feature", "repeat", "_b")
+    n = n.withColumn("_i", F.row_number().over(part.orderBy(id))).withColumn("_j", F.row_number().over(part.orderBy(F.xxhash64(F.lit(1), id, "feature", "repeat"), id)))
+    other = n.select("feature", "repeat", "_b", F.col("_j").alias("_i"), *(F.col(f).alias(f"_o_{f}") for f in features))
+    long = n.join(other, ["feature", "repeat", "_b", "_i"])
     long = long.select(*(F.when(F.col("feature") == c, F.col(f"_o_{c}")).otherwise(F.col(c)).alias(c) if c in features else c for c in rows.columns), "feature", "repeat")
     loss = S.log_loss(F.col("p_home"), F.col("home_win"))
     base = model.score(rows).agg(F.avg(loss)).first()[0]
     by = model.score(long).groupBy("feature", "repeat").agg((F.avg(loss) - F.lit(base)).alias("d"))
-    return by.groupBy("feature").agg(F.avg("d").alias("delta"), (F.avg("d") <= 0).alias("useless"))
+    return by.groupBy("feature").agg(F.avg("d").alias("delta"), (F.avg("d") <= 1e-12).alias("useless"))
 
 
 #: When a finding of a kind is flagged, which change is proposed, in this order.
@@ -299,19 +373,59 @@ def propose(findings: DataFrame, most: int = 8) -> DataFrame:
 
 
 def save(ensemble: Ensemble, path: str, version: str, metadata: dict) -> None:
-    """Each member as a Spark ML model beside a JSON row of weights and facts about the fit."""
-    for m in (*ensemble.members, *([ensemble.total] if ensemble.total else ())):
+    """The whole ensemble: each fitted part as a Spark ML model beside a JSON row of weights and facts about the fit."""
+    parts = [*ensemble.members, *(m for m in (ensemble.total, ensemble.stacker) if m)]
+    for m in parts:
         m.model.write().overwrite().save(f"{path}/{version}/{m.name}")
-    spark = _session()
-    about = {**metadata, "version": version, "p_weights": ensemble.p_weights, "m_weights": ensemble.m_weights, "sigma": ensemble.sigma, "members": [{"name": m.name, "features": m.features, "sigma": m.sigma} for m in ensemble.members], "total": ensemble.total and {"name": ensemble.total.name, "features": ensemble.total.features, "sigma": ensemble.total.sigma}}
-    spark.createDataFrame([(version, json.dumps(about, sort_keys=True, default=str))], "version string, metadata string").coalesce(1).write.mode("overwrite").json(f"{path}/{version}/metadata")
+        if m.margin is not None:
+            m.margin.write().overwrite().save(f"{path}/{version}/{m.name}-margin")
+    c = ensemble.calibrator
+    if c.model is not None:
+        c.model.write().overwrite().save(f"{path}/{version}/calibrator")
+    facts = lambda m: m and {"name": m.name, "features": m.features, "sigma": m.sigma, "margin": m.margin is not None, "chance": m.chance}
+    about = {**metadata, "version": version, "p_weights": ensemble.p_weights, "m_weights": ensemble.m_weights, "sigma": ensemble.sigma, "members": list(map(facts, ensemble.members)), "total": facts(ensemble.total), "stacker": facts(ensemble.stacker), "calibrator": {"kind": c.kind, "a": c.a, "b": c.b, "p": c.p}}
+    # weights keep their order: it is the order of a stacker's features
+    _session().createDataFrame([(version, json.dumps(about, default=str))], "version string, metadata string").coalesce(1).write.mode("overwrite").json(f"{path}/{version}/metadata")
 
 
 def load(path: str, version: str) -> Ensemble:
-    """The weighted, uncalibrated part of a saved ensemble."""
+    """A saved ensemble, which scores as it did before."""
     about = json.loads(_session().read.schema("version string, metadata string").json(f"{path}/{version}/metadata").first()["metadata"])
-    back = lambda m: Fitted(m["name"], PipelineModel.load(f"{path}/{version}/{m['name']}"), tuple(m["features"]), m["sigma"])
-    return Ensemble(tuple(map(back, about["members"])), about["p_weights"], about["m_weights"], back(about["total"]) if about["total"] else None, None, calibrate(None, "none"), about["sigma"])
+
+    def back(m: dict | None) -> Fitted | None:
+        if not m:
+            return None
+        where = f"{path}/{version}/{m['name']}"
+        return Fitted(m["name"], PipelineModel.load(where), tuple(m["features"]), m["sigma"], PipelineModel.load(f"{where}-margin") if m["margin"] else None, m["chance"])
+
+    c = about["calibrator"]
+    isotonic = IsotonicRegressionModel.load(f"{path}/{version}/calibrator") if c["kind"] == "isotonic" else None
+    return Ensemble(tuple(map(back, about["members"])), about["p_weights"], about["m_weights"], back(about["total"]), back(about["stacker"]), Calibrator(model=isotonic, **c), about["sigma"])
+
+
+_REGISTERED = "version string, number long, kind string, reason string, parent string"
+
+
+def register(ensemble: Ensemble, path: str, kind: str, reason: str, metadata: dict | None = None) -> str:
+    """Save an ensemble as the next version, which makes it the champion; versions are rows of an append-only table."""
+    before = champion(path)
+    number = 0 if before is None else before["number"] + 1
+    version = f"v1.{number}"
+    save(ensemble, path, version, metadata or {})
+    row = (version, number, kind, reason, before and before["version"])
+    _session().createDataFrame([row], _REGISTERED).coalesce(1).write.mode("append").json(f"{path}/versions")
+    return version
+
+
+def champion(path: str):
+    """The row of the newest version, or None where none is registered."""
+    try:
+        rows = _session().read.schema(_REGISTERED).json(f"{path}/versions")
+        return rows.orderBy(F.desc("number")).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def _session():
@@ -325,8 +439,3 @@ def log_predictions(scored: DataFrame, version: str, now: Column, backtest: bool
     cutoff = F.least(now, F.col("kickoff"))
     blind = F.lit(False) if backtest else now < F.col("kickoff")
     return scored.select("game_id", "kickoff", F.lit(version).alias("model_version"), F.lit("backtest" if backtest else "live").alias("origin"), cutoff.alias("cutoff"), blind.alias("is_blind"), "p_home", "pred_margin", "pred_total")
-
-
-def decide(gain: dict[str, bool], new_contests: int, policy: Policy) -> str:
-    """Structural if a challenger passes all gates, else a refit on enough new contests, else no change."""
-    return "structural" if gain and all(gain.values()) else "refit" if new_contests >= policy.min_new else "no change"

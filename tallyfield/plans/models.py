@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import folds as V
+from ..operators import grading as G
+from ..operators import learning as L
 from ..operators import models as M
 from ..operators import sequence as Q
 from ..sources.shared import checkpointed, fresh
@@ -45,7 +49,7 @@ def ml_1(t):
 @query("ml_2_elo_member")
 def ml_2(t):
     old, new = _split(t)
-    return rounded(M.elo_member(old).score(new).select("game_id", "p_elo"), 4)
+    return rounded(M.elo_member(old).score(new).select("game_id", "p_elo", "m_elo"), 4)
 
 
 @query("ml_3_scoring_member", "WITH f AS (SELECT regr_slope(margin, pred_margin) AS slope, regr_intercept(margin, pred_margin) AS intercept, sqrt(var_pop(margin) * (1 - corr(margin, pred_margin) ** 2)) AS sigma FROM graded) SELECT round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(sigma, 6) AS sigma FROM f")
@@ -68,7 +72,8 @@ def ml_5(t):
 @query("ml_6_boosted_trees")
 def ml_6(t):
     old, new = _split(t)
-    return rounded(M.margin_trees(old, FEATURES, rounds=8).score(M.trees(old, FEATURES, rounds=8).score(new)).select("game_id", "p_gbm", "m_gbm_margin"), 4)
+    gbm, margins = M.together(old, [lambda: M.trees(old, FEATURES), lambda: M.margin_trees(old, FEATURES)])
+    return rounded(margins.score(gbm.score(new)).select("game_id", "p_gbm", "m_gbm_margin"), 4)
 
 
 @query("ml_7_margin_ridge")
@@ -138,45 +143,43 @@ def ml_16(t):
     return rounded(M.permutation_importance(M.fit_ensemble(M.Config(FEATURES, members={"logistic": {"C": 0.1}}), old), new, list(FEATURES)), 5)
 
 
-def _findings(t):
-    from ..operators import grading as G
-
-    g = t["graded"].where("model_version = 'v1.0'")
+def findings(g, features, drifting="season"):
+    """(kind, subject, flagged) from predictions with their outcomes."""
     s = G.adjusted(G.subgroup_bias(g, subgroups(), 30), "margin_p").select(F.lit("subgroup").alias("kind"), F.col("subgroup").alias("subject"), (F.col("q") < 0.1).alias("flagged"))
-    r = G.adjusted(G.residual_correlation(g, ["neutral", "conf_game", "pred_margin"]), "p_margin", tie="feature").select(F.lit("residual").alias("kind"), F.col("feature").alias("subject"), (F.col("q") < 0.1).alias("flagged"))
-    d = G.drift(g.withColumn("fold", F.col("season"))).select(F.lit("drift").alias("kind"), F.lit("newest fold").alias("subject"), (F.col("z") > 2.5).alias("flagged"))
-    c = G.expected_calibration_error(G.calibration_table(g, ["model_version"]), ["model_version"]).select(F.lit("calibration").alias("kind"), F.lit("ece").alias("subject"), (F.col("ece") > 0.02).alias("flagged"))
+    r = G.adjusted(G.residual_correlation(g, features), "p_margin", tie="feature").select(F.lit("residual").alias("kind"), F.col("feature").alias("subject"), (F.col("q") < 0.1).alias("flagged"))
+    d = G.drift(g.withColumn("fold", F.col(drifting))).select(F.lit("drift").alias("kind"), F.lit("newest fold").alias("subject"), (F.col("z") > 2.5).alias("flagged"))
+    c = G.expected_calibration_error(G.calibration_table(g, []), []).select(F.lit("calibration").alias("kind"), F.lit("ece").alias("subject"), (F.col("ece") > 0.02).alias("flagged"))
     return s.unionByName(r).unionByName(d).unionByName(c)
 
 
 @query("ml_20_proposals")
 def ml_20(t):
-    return M.propose(_findings(t)).withColumn("subjects", F.array_join("subjects", ","))
+    return M.propose(findings(t["graded"].where("model_version = 'v1.0'"), ["neutral", "conf_game", "pred_margin"])).withColumn("subjects", F.array_join("subjects", ","))
 
 
 @query("ml_22_learning_cycle")
 def ml_22(t):
-    """Champion and one challenger on the same folds; the last folds confirm; one run record. New are the contests that became available after
-    the champion's last training row."""
+    """Champion and the candidates of its findings on the same folds; the last folds confirm. New are the contests that became available
+    after the newest fold began, where the champion's last training row is."""
     rows = checkpointed(table(t))
-    loss = S.log_loss(F.col("p_home"), F.col("home_win"))
-    both = None
-    for name, config in (("champion", M.Config(FEATURES)), ("challenger", M.Config(FEATURES, calibration="platt"))):
-        o = M.walk_forward(config, rows, POLICY).select("game_id", "kickoff", "fold", loss.alias(name))
-        both = o if both is None else both.join(o.drop("kickoff", "fold"), "game_id")
-    both = checkpointed(both)
-    d = both.where(F.col("fold") >= POLICY.n_folds - POLICY.confirm_folds).select(S.iso_week(F.col("kickoff")).alias("week"), (F.col("champion") - F.col("challenger")).alias("gain"))
-    test = V.block_bootstrap(d, 2000)
-    gates = test.select((F.col("p_value") < POLICY.alpha).alias("significant"), (F.col("low") > POLICY.min_gain).alias("effect"))
-    cutoff = both.where(F.col("fold") == POLICY.n_folds - 1).agg(F.min("kickoff")).first()[0]
-    decision = M.decide(gates.first().asDict(), rows.where(F.col("avail") > F.lit(cutoff)).count(), POLICY)
-    return rounded(test.withColumn("decision", F.lit(decision)), 4)
+    config = M.Config(FEATURES)
+
+    def found(oos):
+        start = oos.where(F.col("fold") == POLICY.n_folds - 1).agg(F.min("kickoff")).first()[0]
+        model = M.fit_ensemble(config, rows.where(F.col("avail") <= F.lit(start)))
+        useless = M.permutation_importance(model, oos.where(F.col("fold") == POLICY.n_folds - 1).select(*rows.columns), list(FEATURES)).select(F.lit("useless").alias("kind"), F.col("feature").alias("subject"), F.col("useless").alias("flagged"))
+        weights = [(m.name, model.p_weights.get(f"p_{m.name}", 0.0) < 0.02 and model.m_weights.get(f"m_{m.name}", 0.0) < 0.02) for m in model.members]
+        dead = t.spark.createDataFrame(weights, "subject string, flagged boolean").select(F.lit("dead").alias("kind"), "subject", "flagged")
+        return checkpointed(findings(oos, [*FEATURES], "fold").unionByName(useless).unionByName(dead))
+
+    newest = V.newest(rows, 1 / POLICY.n_folds, POLICY.eval_window // POLICY.n_folds).agg(F.min("kickoff")).first()[0]
+    new = rows.where(F.col("avail") > F.lit(newest)).count()
+    context = {"neutral": "neutral", "conference": "conf_game"}
+    return rounded(L.learn(config, rows, found, new, policy=POLICY, context=context, registry=fresh(t.spark, "models")), 4)
 
 
 @query("ml_23_first_model")
 def ml_23(t):
-    from ..operators import grading as G
-
     o = M.walk_forward(M.Config(FEATURES), checkpointed(table(t)), POLICY)
     e, s = F.col("pred_margin") - F.col("margin"), F.col("pred_total") - F.col("total")
     measures = G.summary(F.col("p_home"), F.col("home_win"), e, s)
@@ -185,11 +188,14 @@ def ml_23(t):
 
 @query("ml_24_model_registry")
 def ml_24(t):
+    """Two versions, stacked and calibrated; the champion is loaded and scores as it did when it was fitted."""
     old, new = _split(t)
-    model = M.fit_ensemble(M.Config(FEATURES, members={"logistic": {"C": 0.1}}), old)
     path = fresh(t.spark, "models")
-    M.save(model, path, "v1.0", {"rows": old.count()})
-    return rounded(M.load(path, "v1.0").score(new).select("game_id", "p_home"), 4)
+    for calibration in ("platt", "isotonic"):
+        model = M.fit_ensemble(M.Config(FEATURES, ensemble="stack", calibration=calibration), old)
+        M.register(model, path, "refit", calibration, {"rows": old.count()})
+    row = M.champion(path)
+    return rounded(M.load(path, row["version"]).score(new).select("game_id", F.lit(row["version"]).alias("version"), "p_home", "pred_margin"), 4)
 
 
 @query("ml_25_batch_predictions")
@@ -201,11 +207,13 @@ def ml_25(t):
 
 @query("udf_4_member_types")
 def udf_4(t):
-    """Each registered type of member, fitted on the older contests: whether it gives margins, and its loss on the newest."""
+    """Each registered type of member, fitted on the older contests: whether it gives margins, and its loss on the newest (null without p)."""
     old, new = (checkpointed(rows) for rows in _split(t))
-    scored, margins = new, {}
-    for name, build in sorted(M.MEMBERS.items()):
-        member = build(old, ("elo_diff",) if name == "elo" else FEATURES, name=name)
-        scored, margins[name] = member.score(scored), member.sigma is not None
-    each = F.explode(F.array(*(F.struct(F.lit(n).alias("member"), F.lit(m).alias("has_margin"), S.log_loss(F.col(f"p_{n}"), F.col("home_win")).alias("loss")) for n, m in margins.items())))
-    return rounded(scored.select(each.alias("r")).select("r.*").groupBy("member", "has_margin").agg(F.count("loss").alias("n"), F.avg("loss").alias("log_loss")), 4)
+    fit = lambda name: M.MEMBERS[name](old, ("elo_diff",) if name == "elo" else FEATURES, name=name)
+    members = M.together(old, [partial(fit, name) for name in sorted(M.MEMBERS)])
+    scored, margins = new, {m.name: m.has_margin for m in members}
+    for m in members:
+        scored = m.score(scored)
+    loss = lambda n: S.log_loss(F.col(f"p_{n}"), F.col("home_win")) if f"p_{n}" in scored.columns else F.lit(None).cast("double")
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("member"), F.lit(m).alias("has_margin"), loss(n).alias("loss")) for n, m in margins.items())))
+    return rounded(scored.select(each.alias("r")).select("r.*").groupBy("member", "has_margin").agg(F.count("*").alias("n"), F.avg("loss").alias("log_loss")), 4)

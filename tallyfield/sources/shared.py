@@ -26,9 +26,13 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Let the context cut lineage in the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` from files in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()

@@ -11,6 +11,7 @@ from tallyfield.functions import scalars as S
 from tallyfield.operators import availability as A
 from tallyfield.operators import features as X
 from tallyfield.operators import grading as G
+from tallyfield.operators import learning as L
 from tallyfield.operators import models as M
 from tallyfield.operators import plays as P
 from tallyfield.operators import ratings as R
@@ -250,6 +251,98 @@ def test_logistic_and_ridge_reach_their_closed_objectives(spark):
     assert np.allclose(0.1 * z.T @ (y - p), w, atol=1e-4) and abs((y - p).sum()) < 1e-3
 
 
+def test_members_heed_weights(spark):
+    """A row of weight 3 counts as three rows: linear members, their spread, and the root split of trees."""
+    rng = np.random.default_rng(5)
+    x, w = rng.normal(size=400), rng.integers(1, 4, 400)
+    m = 2 * x + rng.normal(size=400) * 3
+    once = [(float(a), int(b > 0), float(b), float(c)) for a, b, c in zip(x, m, w)]
+    kinds = "elo_diff double, home_win int, margin double, weight double"
+    weighted, spelled = spark.createDataFrame(once, kinds), spark.createDataFrame([r[:3] + (1.0,) for r in once for _ in range(int(r[3]))], kinds)
+    elo = M.elo_member(weighted)
+    slope = np.array(elo.margin.stages[-1].coefficients)[0]
+    mean, centre = np.average(x, weights=w), np.average(m, weights=w)
+    assert abs(slope - np.sum(w * (x - mean) * (m - centre)) / (np.sum(w * (x - mean) ** 2) + 1e-6)) < 1e-6
+    again = M.elo_member(spelled)
+    assert np.allclose(elo.model.stages[-1].coefficients, again.model.stages[-1].coefficients, atol=1e-4) and elo.has_margin
+    ridge, z = M.margin_ridge(weighted, ("elo_diff",)), (x - x.mean()) / x.std(ddof=1)
+    c = z - np.average(z, weights=w)
+    assert abs(ridge.model.stages[-1].coefficients[0] - np.sum(w * c * (m - centre)) / (np.sum(w * c * c) + 10)) < 1e-6
+    p = ridge.model.stages[-1].coefficients[0] * c + centre
+    assert abs(ridge.sigma - np.sqrt(np.average((m - p) ** 2, weights=w))) < 1e-6
+    few = M.margin_trees(weighted.withColumn("weight", F.when(F.col("elo_diff") > 0, 1e-9).otherwise(F.col("weight"))), ("elo_diff",), rounds=2, leaf=1)
+    assert not few.chance and "p_gbm_margin" not in few.score(weighted).columns
+    low, plain = (M.margin_trees(r, ("elo_diff",), rounds=2, leaf=1).score(weighted).agg(F.avg("m_gbm_margin")).first()[0] for r in (weighted.withColumn("weight", F.when(F.col("elo_diff") > 0, 1e-9).otherwise(1.0)), weighted.drop("weight")))
+    assert low < plain - 0.5
+
+
+def test_saved_ensemble_scores_as_before(spark, t):
+    from tallyfield.plans.models import FEATURES, table
+    from tallyfield.sources.shared import checkpointed, fresh
+
+    rows, path = checkpointed(table(t)), fresh(spark, "models")
+    assert M.champion(path) is None
+    for at, calibration in enumerate(("isotonic", "platt")):
+        config = M.Config(FEATURES, members={"logistic": {}, "elo": {}}, ensemble="stack", stack_context=("neutral",), calibration=calibration)
+        model = M.fit_ensemble(config, rows)
+        assert M.register(model, path, "refit", calibration) == f"v1.{at}"
+        row = M.champion(path)
+        assert (row["version"], row["reason"], row["parent"]) == (f"v1.{at}", calibration, None if at == 0 else "v1.0")
+        columns = ["game_id", "p_raw", "p_home", "pred_margin", "pred_total", "p_sd", "split"]
+        was, now = (m.score(rows).select(columns).orderBy("game_id").collect() for m in (model, M.load(path, row["version"])))
+        assert len(was) == len(now) > 0 and all(abs(a - b) < 1e-9 for x, y in zip(was, now) for a, b in zip(x, y))
+
+
+def test_permutation_keeps_each_value_once(spark):
+    class Same:
+        def score(self, rows):
+            return rows.withColumn("p_home", S.expit(F.col("a")))
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=12_000)
+    rows = spark.createDataFrame([(i, float(v), 1.0, int(rng.random() < 1 / (1 + math.exp(-v)))) for i, v in enumerate(x)], "game_id long, a double, b double, home_win int")
+    got = {r["feature"]: r for r in M.permutation_importance(Same(), rows, ["a", "b"], 2).collect()}
+    assert got["a"]["delta"] > 0.05 and not got["a"]["useless"] and abs(got["b"]["delta"]) < 1e-12 and got["b"]["useless"]
+
+
+def test_candidates_of_findings(spark):
+    config = M.Config(("a", "b", "c"), members={"logistic": {"C": 0.1}, "margin_ridge": {}, "gbm": {}, "elo": {}})
+    flags = [("subgroup", "conference", True), ("residual", "a", True), ("residual", "d", True), ("useless", "b", True), ("useless", "c", True), ("dead", "elo", True), ("drift", "newest", False)]
+    got = L.candidates(config, spark.createDataFrame(flags, "kind string, subject string, flagged boolean"), 3, M.Policy(), ["a", "b", "c", "d", "conf_game"], {"conference": "conf_game"})
+    assert list(got) == ["calibration_platt", "stack_subgroup_context", "stack_residual_features", "add_residual_features", "more_capacity", "drop_useless_features", "drop_dead_members", "local_logistic_C_up"]
+    assert got["stack_subgroup_context"].stack_context == ("conf_game",) and got["stack_residual_features"].stack_context == ("a", "d") and got["add_residual_features"].features == ("a", "b", "c", "d")
+    assert got["drop_useless_features"].features == ("a",) and set(got["drop_dead_members"].members) == {"logistic", "margin_ridge", "gbm"} and got["more_capacity"].members["gbm"]["leaf"] == 30
+    assert got["local_logistic_C_up"].members["logistic"] == {"C": 0.3} and L.moved(config, 2)[1].members["gbm"] == {"step": 0.02, "rounds": 500}
+    quiet = L.candidates(config, spark.createDataFrame([("drift", "newest", True), ("useless", "b", True)], "kind string, subject string, flagged boolean"), 6, M.Policy(), ["a"], {})
+    assert list(quiet) == ["calibration_platt", "recency_weighting", "local_half_life_2y"] and quiet["recency_weighting"].half_life_days == 365
+
+
+def test_gates_of_a_challenger(spark):
+    rng, day = random.Random(8), datetime(2021, 1, 4)
+    rows = [(day + timedelta(days=7 * (i % 40)), int(rng.random() < (p := rng.uniform(0.05, 0.95))), 0.4, p) for i in range(1200)]
+    pairs = spark.createDataFrame(rows, "kickoff timestamp_ntz, home_win int, p_old double, p_new double")
+    good, bad = L.confirm(pairs, M.Policy(), 200), L.confirm(pairs.select("kickoff", "home_win", F.col("p_new").alias("p_old"), F.col("p_old").alias("p_new")), M.Policy(), 200)
+    assert all(good["gates"].values()) and good["n"] == 1200 and good["low"] < good["mean_gain"] < good["high"]
+    assert abs(good["mean_gain"] + bad["mean_gain"]) < 1e-9 and not any(bad["gates"][g] for g in ("effect_size", "significance", "brier_not_worse"))
+    assert not L.confirm(pairs.limit(200), M.Policy(), 200)["gates"]["min_sample"]
+
+
+def test_members_of_a_mixture_by_hand(spark):
+    """Contributions add up to the logit; Platt has the intercept and slope of the calibration fit; proposals keep rule order."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(500, 2))
+    rows = spark.createDataFrame([(i, float(a), float(b), int(a - b + rng.normal() > 0)) for i, (a, b) in enumerate(x)], "game_id long, a double, b double, home_win int")
+    fit = M.logistic(rows, ("a", "b"))
+    parts = M.contributions(fit, rows, "game_id").groupBy("game_id").agg(F.sum("contribution").alias("sum"))
+    both = fit.score(rows).join(parts, "game_id").select((S.logit(F.col("p_logistic"), 1e-12) - F.col("sum")).alias("d")).agg(F.min("d"), F.max("d")).first()
+    assert abs(both[0] - fit.model.stages[-1].intercept) < 1e-6 and abs(both[1] - both[0]) < 1e-6
+    raw = fit.score(rows).withColumnRenamed("p_logistic", "p_raw")
+    platt, slope = M.calibrate(raw, "platt"), G.calibration_slope(raw, "p_raw")
+    assert abs(platt.a - slope["intercept"]) < 1e-3 and abs(platt.b - slope["slope"]) < 1e-3
+    steps = [r[0] for r in M.calibrate(raw, "isotonic")(raw).orderBy("p_raw").select("p_home").collect()]
+    assert steps == sorted(steps) and 0.005 <= steps[0] and steps[-1] <= 0.995
+
+
 def test_weights_find_the_better_member(spark):
     rng = np.random.default_rng(3)
     p = rng.uniform(0.05, 0.95, 3000)
@@ -268,7 +361,7 @@ def test_walk_forward_and_decision(spark, t):
     rows = checkpointed(table(t))
     out = M.walk_forward(M.Config(FEATURES, calibration="isotonic"), rows, M.Policy(n_folds=2, eval_window=200))
     assert out.count() == 200 and out.where("p_home BETWEEN 0.005 AND 0.995").count() == 200
-    assert [M.decide(g, n, M.Policy()) for g, n in (({"a": True}, 0), ({"a": False}, 200), ({}, 3))] == ["structural", "refit", "no change"]
+    assert [L.decide(g, n, M.Policy()) for g, n in (({"a": True}, 0), ({"a": False}, 200), ({}, 3))] == ["structural", "refit", "no change"]
 
 
 def test_member_types_and_an_added_one(spark, t, monkeypatch):
