@@ -75,6 +75,19 @@ def normal_quantile(p: Column) -> Column:
     return F.when((p >= 0.02425) & (p <= 0.97575), inner).when(p < 0.5, outer).otherwise(-outer)
 
 
+def _horner_sql(coefficients, x: str) -> str:
+    return reduce(lambda acc, c: f"({acc} * {x} + {c!r}::DOUBLE)", coefficients[1:], f"{coefficients[0]!r}::DOUBLE")
+
+
+def normal_quantile_sql(p: str) -> str:
+    """The same approximation as SQL text."""
+    tail = f"sqrt(-2e0 * ln(least({p}, 1 - {p})))"
+    outer = f"({_horner_sql(INV_C, tail)} / ({_horner_sql(INV_D, tail)} * {tail} + 1))"
+    q = f"({p} - 0.5)"
+    inner = f"({_horner_sql(INV_A, f'({q} * {q})')} * {q} / ({_horner_sql(INV_B, f'({q} * {q})')} * {q} * {q} + 1))"
+    return f"(CASE WHEN {p} BETWEEN 0.02425 AND 0.97575 THEN {inner} WHEN {p} < 0.5 THEN {outer} ELSE -{outer} END)"
+
+
 def t_two_sided(t: Column, freedom: Column) -> Column:
     """Two-sided p of Student's t by Wallace's normal approximation (good to three digits from five degrees of freedom)."""
     z = (8 * freedom + 1) / (8 * freedom + 3) * F.sqrt(freedom * F.log(1 + t * t / freedom))

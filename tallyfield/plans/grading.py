@@ -80,12 +80,27 @@ def _slopes(t):
     return out
 
 
-@query("agg_10_calibration_slope")
+def _newton_sql(steps=10):
+    """The same Newton steps spelled out, one table of two numbers for each."""
+    l = "ln(least(greatest(p_home, 1e-4), 1 - 1e-4) / (1 - least(greatest(p_home, 1e-4), 1 - 1e-4)))"  # noqa: E741
+    text = f"WITH b AS (SELECT model_version AS v, {l} AS x, CAST(home_win AS DOUBLE) AS y FROM graded), n0 AS (SELECT v, 0e0 AS a, 1e0 AS b, 0e0 AS h11, 0e0 AS h22, 1e0 AS det FROM b GROUP BY v)"
+    for i in range(steps):
+        text += f""", q{i} AS (SELECT b.v, n.a, n.b, b.x, b.y, 1 / (1 + exp(-(n.a + n.b * b.x))) AS q FROM b JOIN n{i} n ON n.v = b.v),
+s{i} AS (SELECT v, a, b, sum(q * (1 - q)) + 1e-9 AS h11, sum(q * (1 - q) * x) AS h12, sum(q * (1 - q) * x * x) + 1e-9 AS h22, sum(y - q) AS r, sum((y - q) * x) AS rx FROM q{i} GROUP BY v, a, b),
+n{i + 1} AS (SELECT v, a + (h22 * r - h12 * rx) / (h11 * h22 - h12 * h12) AS a, b + (h11 * rx - h12 * r) / (h11 * h22 - h12 * h12) AS b, h11, h22, h11 * h22 - h12 * h12 AS det FROM s{i})"""
+    return text + f", slopes AS (SELECT v AS model_version, a AS intercept, b AS slope, sqrt(h22 / det) AS intercept_se, sqrt(h11 / det) AS slope_se FROM n{steps})"
+
+
+@query("agg_10_calibration_slope", _newton_sql() + " SELECT model_version, round(intercept, 6) AS intercept, round(slope, 6) AS slope, round(intercept_se, 6) AS intercept_se, round(slope_se, 6) AS slope_se FROM slopes")
 def agg_10(t):
     return rounded(_slopes(t).drop("ece"))
 
 
-@query("agg_30_calibration_finding")
+@query("agg_30_calibration_finding", _newton_sql() + """, bins AS (SELECT model_version, least(floor(p_home * 10), 9) AS bin, count(*) AS n, abs(avg(p_home) - avg(home_win)) AS gap FROM graded GROUP BY 1, 2),
+e AS (SELECT model_version, sum(n * gap) / sum(n) AS ece FROM bins GROUP BY 1),
+f AS (SELECT model_version, ece, CASE WHEN abs(slope - 1) > 2 * slope_se THEN (CASE WHEN slope < 1 THEN 'over-confident' ELSE 'under-confident' END)
+  WHEN abs(intercept) > 2 * intercept_se THEN (CASE WHEN intercept < 0 THEN 'biased toward home' ELSE 'biased toward away' END) END AS flag FROM slopes JOIN e USING (model_version))
+SELECT model_version, flag, flag IS NOT NULL OR ece > 0.02 AS needs_recalibration FROM f""")
 def agg_30(t):
     off_slope, off_side = F.abs(F.col("slope") - 1) > 2 * F.col("slope_se"), F.abs("intercept") > 2 * F.col("intercept_se")
     flag = F.when(off_slope, F.when(F.col("slope") < 1, "over-confident").otherwise("under-confident")).when(off_side, F.when(F.col("intercept") < 0, "biased toward home").otherwise("biased toward away"))
@@ -198,7 +213,7 @@ def sca_2(t):
     return rounded(t["graded"].select("pred_id", S.log_loss(F.col("p_home"), F.col("home_win")).alias("ll"), S.brier(F.col("p_home"), F.col("home_win")).alias("b")))
 
 
-@query("sca_8_consistent_margin")
+@query("sca_8_consistent_margin", f"WITH c AS (SELECT pred_id, pred_margin, least(greatest(p_home, 0.001), 0.999) AS p FROM prediction) SELECT pred_id, round(0.5 * pred_margin + 0.5 * 16 * {S.normal_quantile_sql('p')}, 6) AS m FROM c")
 def sca_8(t):
     return rounded(t["prediction"].select("pred_id", S.consistent_margin(F.col("pred_margin"), F.col("p_home"), 16.0).alias("m")))
 
