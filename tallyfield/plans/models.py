@@ -39,7 +39,14 @@ def _split(t):
     return rows.join(hold.select("game_id"), "game_id", "left_anti"), hold
 
 
-@query("ml_1_feature_vector")
+_BEFORE = "OVER (PARTITION BY off_id{0} ORDER BY kickoff, game_id ROWS BETWEEN {1} PRECEDING AND 1 PRECEDING)"
+_REST = "floor(date_diff('second', lag(kickoff) OVER (PARTITION BY off_id ORDER BY kickoff, game_id), kickoff) / 86400)"
+
+
+@query("ml_1_feature_vector", f"""WITH h AS (SELECT game_id, off_id AS team, coalesce(avg(margin) {_BEFORE.format(', season', 3)}, 0e0) AS form3, coalesce(avg(y) {_BEFORE.format('', 10)}, 0e0) AS points,
+  coalesce(least({_REST}, 21), 14) AS rest, coalesce(avg(margin) {_BEFORE.format('', 20)}, 0e0) AS strength FROM obs)
+SELECT c.game_id, round(25 * (h.strength - a.strength) + (h.form3 - a.form3) + (h.points - a.points) + (h.rest - a.rest) + c.neutral + c.conf_game, 6) AS total_of_features
+FROM contest_avail c JOIN h ON h.game_id = c.game_id AND h.team = c.home_id JOIN h a ON a.game_id = c.game_id AND a.team = c.away_id WHERE c.home_score <> c.away_score""")
 def ml_1(t):
     from pyspark.ml.functions import vector_to_array
 
@@ -96,12 +103,25 @@ def _row(t, weights):
     return rounded(t["contest"].agg(F.count("*").alias("n")).select("n", *(F.lit(float(v)).alias(k) for k, v in sorted(weights.items()))), 4)
 
 
-@query("ml_9_ensemble_weights")
+def _em_sql(rounds=25):
+    """The same steps of EM spelled out, one table of three weights for each."""
+    text = """WITH l AS (SELECT CASE WHEN home_win = 1 THEN p ELSE 1 - p END AS p, CASE WHEN home_win = 1 THEN q ELSE 1 - q END AS q, 0.5 AS e
+FROM (SELECT home_win, p_home AS p, 1 / (1 + exp(-pred_margin / 10)) AS q FROM graded WHERE model_version = 'v1.0')),
+c AS (SELECT least(greatest(p, 1e-6), 1) AS p, least(greatest(q, 1e-6), 1) AS q, e FROM l), w0 AS (SELECT 1e0 / 3 AS wp, 1e0 / 3 AS wq, 1e0 / 3 AS we)"""
+    for i in range(rounds):
+        mix = "(wp * p + wq * q + we * e)"
+        text += f", w{i + 1} AS (SELECT avg(wp * p / {mix}) AS wp, avg(wq * q / {mix}) AS wq, avg(we * e / {mix}) AS we FROM c, w{i})"
+    return text + f" SELECT (SELECT count(*) FROM contest) AS n, round(we, 4) AS p_even, round(wp, 4) AS p_home, round(wq, 4) AS p_margin FROM w{rounds}"
+
+
+@query("ml_9_ensemble_weights", _em_sql())
 def ml_9(t):
     return _row(t, M.mixture_weights(_members(t), ["p_home", "p_margin", "p_even"]))
 
 
-@query("ml_10_margin_weights")
+@query("ml_10_margin_weights", """WITH m AS (SELECT margin AS y, pred_margin AS a, pred_margin * 0.5 + 2 AS b FROM graded WHERE model_version = 'v1.0'),
+w AS (SELECT least(greatest(sum((a - b) * (y - b)) / sum((a - b) * (a - b)), 0), 1) AS w FROM m)
+SELECT (SELECT count(*) FROM contest) AS n, round(w, 4) AS m_a, round(1 - w, 4) AS m_b FROM w""")
 def ml_10(t):
     return _row(t, M.margin_weights(_members(t), ["m_a", "m_b"]))
 
