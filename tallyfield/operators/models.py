@@ -31,7 +31,7 @@ class Policy:
     high_conf: float = 0.75
     n_folds: int = 6
     confirm_folds: int = 2
-    min_new: int = 150
+    min_new: int = 100
     min_confirm: int = 300
     min_gain: float = 0.002
     alpha: float = 0.05

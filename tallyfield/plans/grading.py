@@ -420,9 +420,9 @@ def srt_6(t):
     return rounded(better.agg(F.min_by("model_version", "ll").alias("best"), F.min("ll").alias("ll")))
 
 
-@query("ml_21_due", f"WITH z AS (SELECT (avg({_LL}) - 5e-1) / (stddev_samp({_LL}) / sqrt(count(*))) AS z FROM graded WHERE origin = 'live' AND model_version = 'v1.1'), n AS (SELECT count(*) AS n FROM contest_avail WHERE avail > TIMESTAMP '1998-06-01') SELECT n, z > 3 OR n >= 150 AS due FROM z, n")
+@query("ml_21_due", f"WITH z AS (SELECT (avg({_LL}) - 5e-1) / (stddev_samp({_LL}) / sqrt(count(*))) AS z FROM graded WHERE origin = 'live' AND model_version = 'v1.1'), n AS (SELECT count(*) AS n FROM contest_avail WHERE avail > TIMESTAMP '1998-06-01') SELECT n, z > 3 OR n >= 100 AS due FROM z, n")
 def ml_21(t):
     ll = S.log_loss(F.col("p_home"), F.col("home_win"))
     z = t["graded"].where("origin = 'live' AND model_version = 'v1.1'").agg(((F.avg(ll) - 0.5) / (F.stddev_samp(ll) / F.sqrt(F.count("*")))).alias("z"))
     n = t["contest_avail"].where(F.col("avail") > F.lit("1998-06-01").cast("timestamp_ntz")).agg(F.count("*").alias("n"))
-    return n.join(F.broadcast(z)).select("n", ((F.col("z") > 3) | (F.col("n") >= 150)).alias("due"))
+    return n.join(F.broadcast(z)).select("n", ((F.col("z") > 3) | (F.col("n") >= 100)).alias("due"))
