@@ -80,23 +80,27 @@ def risk_flags(flags: dict[str, Column]) -> Column:
 
 def build(targets: DataFrame, obs: DataFrame, ratings: DataFrame) -> DataFrame:
     """One row for each (contest, cutoff) of ``targets`` (game_id, season, cutoff, kickoff, home_id, away_id, neutral): expected
-    points from ``ratings`` (as_of, season, team, mu, h, o, d; the latest by the cutoff), and form, rest and counts of visible facts."""
+    points from ``ratings`` (as_of, season, team, mu, h, o, d; the latest by the cutoff), and form, rest and counts of visible facts.
+    Facts and ratings are stacked with the two sides of each target, so one window sees them all, and both sides are brought together by a group of
+    two rows. The window's list holds the facts of one entity in one season."""
     from .availability import running_asof
 
     late = targets.where(F.col("cutoff") > F.col("kickoff"))
     if not late.isEmpty():
         raise ValueError("a cutoff lies after its contest begins")
     facts = obs.select("season", F.col("off_id").alias("team"), "avail", "margin", "y", F.col("kickoff").alias("played"))
-    sides = targets.select("game_id", "season", "cutoff", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"{s}_id").alias("team")) for s in ("home", "away")))).alias("_s")).select("game_id", "season", "cutoff", "_s.side", "_s.team")
+    state = ratings.select("season", "team", F.col("as_of").alias("avail"), "mu", "h", "o", "d")
+    own = ["game_id", "side", "kickoff", "home_id", "away_id", "neutral"]
+    sides = targets.select("*", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"{s}_id").alias("team")) for s in ("home", "away")))).alias("_s")).select("season", "cutoff", "_s.team", *(f"_s.{c}" if c == "side" else c for c in own))
     recent = lambda w: F.slice(F.sort_array(F.collect_list(F.when(F.col("_played").isNotNull(), F.struct("_played", "_margin"))).over(w), False), 1, 3)
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x["_margin"]) / F.size(a)
-    seen = running_asof(sides, facts, ["team", "season"], {"n": lambda w: F.count("_y").over(w), "points": lambda w: F.avg("_y").over(w), "last": lambda w: F.max("_played").over(w), "recent": recent}, target_id=["game_id", "side"])
-    seen = seen.select("game_id", "cutoff", "side", "team", "season", "n", "points", F.when(F.size("recent") > 0, mean(F.col("recent"))).alias("form3"), "last")
-    state = ratings.select("season", "team", F.col("as_of").alias("avail"), "mu", "h", "o", "d")
-    rated = running_asof(sides, state, ["team", "season"], {v: (lambda w, v=v: F.last(f"_{v}", ignorenulls=True).over(w)) for v in ("mu", "h", "o", "d")}, target_id=["game_id", "side"])
-    rows = seen.join(rated.select("game_id", "cutoff", "side", "mu", "h", "o", "d"), ["game_id", "cutoff", "side"])
-    pick = lambda s: rows.where(F.col("side") == s).select("game_id", "cutoff", *(F.col(c).alias(f"{c}_{s}") for c in ("n", "points", "form3", "last", "mu", "h", "o", "d")))
-    out = targets.join(pick("home"), ["game_id", "cutoff"]).join(pick("away"), ["game_id", "cutoff"])
+    latest = lambda v: lambda w: F.last(f"_{v}", ignorenulls=True).over(w)
+    values = {"n": lambda w: F.count("_y").over(w), "points": lambda w: F.avg("_y").over(w), "last": lambda w: F.max("_played").over(w), "recent": recent, **{v: latest(v) for v in ("mu", "h", "o", "d")}}
+    seen = running_asof(sides, facts.unionByName(state, allowMissingColumns=True), ["team", "season"], values, target_id=own)
+    seen = seen.withColumn("form3", F.when(F.size("recent") > 0, mean(F.col("recent"))))
+    of = lambda c, s: F.any_value(F.when(F.col("side") == s, F.col(c)), ignoreNulls=True).alias(f"{c}_{s}")
+    held = [of(c, s) for s in ("home", "away") for c in ("n", "form3", "last", "mu", "h", "o", "d")]
+    out = seen.groupBy("game_id", "cutoff", "season", "kickoff", "home_id", "away_id", "neutral").agg(*held)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     ep = expected_points(zero(F.col("mu_home")), zero(F.col("h_home")), F.col("neutral"), *(zero(F.col(c)) for c in ("o_home", "d_home", "o_away", "d_away")))
     rest = lambda s: F.coalesce(F.least(F.floor(F.timestamp_diff("SECOND", F.col(f"last_{s}"), F.col("kickoff")) / 86400), F.lit(21)), F.lit(14)).cast("long")

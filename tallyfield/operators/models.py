@@ -289,10 +289,11 @@ def fit_ensemble(config: Config, rows: DataFrame, at: str = "kickoff", id: str =
     from .folds import newest, recency
 
     rows = recency(rows, config.half_life_days, at) if config.half_life_days else _weighted(rows)
-    hold = newest(rows, 0.2, None, 200, at, id)
-    old = rows.join(hold.select(id), id, "left_anti")
+    hold = newest(rows, 0.2, None, 200, at, id).persist()
+    old = rows.join(hold.select(id), id, "left_anti").persist()  # each member reads it several times
     build = lambda df: tuple(MEMBERS[k](df, config.features, name=k, **v) if k != "elo" else elo_member(df, name=k) for k, v in config.members.items())
     first = build(old)
+    old.unpersist()
     scored = hold
     for m in first:
         scored = m.score(scored)
@@ -312,6 +313,7 @@ def fit_ensemble(config: Config, rows: DataFrame, at: str = "kickoff", id: str =
         sigma = max(scored.agg(F.stddev_pop(F.col("margin") - margin)).first()[0] or 1.0, 1e-6)
     finally:
         scored.unpersist()
+        hold.unpersist()
     return Ensemble(build(rows), p_weights, m_weights, margin_ridge(rows.drop("weight"), config.features, "total", target="total"), stacker, calibrator, sigma)
 
 

@@ -141,16 +141,17 @@ def _targets(t):
     return t["contest"].select("game_id", "season", "kickoff", (F.col("kickoff") - A.minutes(60)).alias("cutoff"), "home_id", "away_id", "neutral")
 
 
-def _ratings_asof(t):
+def _ratings_asof(obs):
     """Ratings from earlier seasons, known when the season begins."""
-    final = R.ridge_per_group(t["obs"], ["season"], 8.0)
-    ended = t["obs"].groupBy("season").agg(F.max("avail").alias("as_of"))
+    final = R.ridge_per_group(obs, ["season"], 8.0)
+    ended = obs.groupBy("season").agg(F.max("avail").alias("as_of"))
     return final.join(ended, "season").withColumn("season", F.col("season") + 1)
 
 
 @query("fea_4_point_in_time_build")
 def fea_4(t):
-    return rounded(X.build(_targets(t), t["obs"], _ratings_asof(t)))
+    obs = checkpointed(t["obs"])  # read three times
+    return rounded(X.build(checkpointed(_targets(t)), obs, _ratings_asof(obs)))
 
 
 @query("fea_5_stale_rows", """WITH v AS (SELECT kickoff AS cutoff, (SELECT count(*) FROM contest_avail a WHERE a.avail <= k.kickoff AND a.game_id % 50 <> 3) AS was, (SELECT count(*) FROM contest_avail a WHERE a.avail <= k.kickoff) AS visible FROM (SELECT DISTINCT kickoff FROM contest) k),
