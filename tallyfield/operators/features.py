@@ -103,7 +103,8 @@ def build(targets: DataFrame, obs: DataFrame, ratings: DataFrame) -> DataFrame:
     out = seen.groupBy("game_id", "cutoff", "season", "kickoff", "home_id", "away_id", "neutral").agg(*held)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     ep = expected_points(zero(F.col("mu_home")), zero(F.col("h_home")), F.col("neutral"), *(zero(F.col(c)) for c in ("o_home", "d_home", "o_away", "d_away")))
-    rest = lambda s: F.coalesce(F.least(F.floor(F.timestamp_diff("SECOND", F.col(f"last_{s}"), F.col("kickoff")) / 86400), F.lit(21)), F.lit(14)).cast("long")
+    days = lambda s: F.floor(F.timestamp_diff("SECOND", F.col(f"last_{s}"), F.col("kickoff")) / 86400)
+    rest = lambda s: F.when(F.col(f"last_{s}").isNull(), 14).otherwise(F.least(days(s), F.lit(21))).cast("long")
     return out.select(
         "game_id", "cutoff", "season", *(c.alias(k) for k, c in ep.items()), "n_home", "n_away", F.coalesce("form3_home", F.lit(0.0)).alias("form3_home"), F.coalesce("form3_away", F.lit(0.0)).alias("form3_away"),
         (F.coalesce("form3_home", F.lit(0.0)) - F.coalesce("form3_away", F.lit(0.0))).alias("form_diff"), rest("home").alias("rest_home"), rest("away").alias("rest_away"), (F.col("n_home") + F.col("n_away") < 4).cast("int").alias("early"),

@@ -24,10 +24,10 @@ def form(rows: DataFrame, value: str, into: str, last: int, keys: list[str], ord
 
 
 def rest_days(rows: DataFrame, at: str, keys: list[str], order: list[str], most: int = 21, default: int = 14) -> DataFrame:
-    """Whole days since the row before, at most ``most``; ``default`` for the first; and the number of rows before."""
+    """Whole days since the row before, at most ``most``; ``default`` for the first (``least`` alone would skip its null); and the number of rows before."""
     last = F.lag(at).over(W.partitionBy(*keys).orderBy(*order))
     days = F.floor(F.timestamp_diff("SECOND", last, F.col(at)) / 86400)
-    return rows.withColumn("rest", F.coalesce(F.least(days, F.lit(most)), F.lit(default)).cast("long")).withColumn("prior", F.count("*").over(history(keys, order)))
+    return rows.withColumn("rest", F.when(days.isNull(), default).otherwise(F.least(days, F.lit(most))).cast("long")).withColumn("prior", F.count("*").over(history(keys, order)))
 
 
 def starter_share(rows: DataFrame, keys: list[str], order: list[str], starter: str, attempts: str) -> DataFrame:

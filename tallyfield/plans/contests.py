@@ -195,7 +195,7 @@ def win_6(t):
     return rounded(Q.form(_sides(t), "margin", "form5", 5, ["team", "season"], ["kickoff", "game_id"]).select("game_id", "team", "form5"))
 
 
-@query("win_7_rest_days", """SELECT game_id, off_id AS team, CAST(coalesce(least(floor(epoch(kickoff - lag(kickoff) OVER w) / 86400), 21), 14) AS BIGINT) AS rest,
+@query("win_7_rest_days", """SELECT game_id, off_id AS team, CAST(least(coalesce(floor(epoch(kickoff - lag(kickoff) OVER w) / 86400), 14), 21) AS BIGINT) AS rest,
 count(*) OVER (PARTITION BY off_id, season ORDER BY kickoff, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM obs WINDOW w AS (PARTITION BY off_id, season ORDER BY kickoff, game_id)""")
 def win_7(t):
     return Q.rest_days(_sides(t), "kickoff", ["team", "season"], ["kickoff", "game_id"]).select("game_id", "team", "rest", "prior")

@@ -44,7 +44,7 @@ _REST = "floor(date_diff('second', lag(kickoff) OVER (PARTITION BY off_id ORDER
 
 
 @query("ml_1_feature_vector", f"""WITH h AS (SELECT game_id, off_id AS team, coalesce(avg(margin) {_BEFORE.format(', season', 3)}, 0e0) AS form3, coalesce(avg(y) {_BEFORE.format('', 10)}, 0e0) AS points,
-  coalesce(least({_REST}, 21), 14) AS rest, coalesce(avg(margin) {_BEFORE.format('', 20)}, 0e0) AS strength FROM obs)
+  least(coalesce({_REST}, 14), 21) AS rest, coalesce(avg(margin) {_BEFORE.format('', 20)}, 0e0) AS strength FROM obs)
 SELECT c.game_id, round(25 * (h.strength - a.strength) + (h.form3 - a.form3) + (h.points - a.points) + (h.rest - a.rest) + c.neutral + c.conf_game, 6) AS total_of_features
 FROM contest_avail c JOIN h ON h.game_id = c.game_id AND h.team = c.home_id JOIN h a ON a.game_id = c.game_id AND a.team = c.away_id WHERE c.home_score <> c.away_score""")
 def ml_1(t):

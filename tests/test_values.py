@@ -5,6 +5,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tallyfield.functions import scalars as S
@@ -206,6 +207,34 @@ def test_features_ignore_later_facts(spark, t):
         X.build(targets.withColumn("cutoff", F.col("kickoff") + A.minutes(1)), t["obs"], state)
 
 
+def test_point_in_time_features_equal_a_plain_search(spark, t):
+    obs = t["obs"].where("season = 1997").select("season", "avail", "kickoff", "off_id", "margin", "y").toPandas().astype({"margin": float, "y": float})
+    targets = t["contest"].where("season = 1997").select("game_id", "season", "kickoff", (F.col("kickoff") - A.minutes(60)).alias("cutoff"), "home_id", "away_id", "neutral").toPandas()
+    teams = sorted({*obs["off_id"]})[::2]  # the others are without ratings
+    state = pd.DataFrame([(datetime(1997, m, 1), 1997, x, 20.0 + m, 2.0, x % 7 + m / 2, x % 5 - 1.0) for x in teams for m in (1, 5)], columns=["as_of", "season", "team", "mu", "h", "o", "d"])
+    frame = lambda pdf, kinds: spark.createDataFrame(pdf, kinds)
+    got = X.build(
+        frame(targets, "game_id long, season int, kickoff timestamp_ntz, cutoff timestamp_ntz, home_id long, away_id long, neutral int"), frame(obs, "season int, avail timestamp_ntz, kickoff timestamp_ntz, off_id long, margin double, y double"),
+        frame(state, "as_of timestamp_ntz, season int, team long, mu double, h double, o double, d double"),
+    ).collect()
+    seen, rated = ({k: v for k, v in df.groupby(by)} for df, by in ((obs, "off_id"), (state, "team")))
+
+    def side(team, cutoff, kickoff):
+        mine = seen[team][seen[team]["avail"] <= cutoff].sort_values(["kickoff", "margin"], ascending=False)
+        last = (kickoff - mine["kickoff"].max()).total_seconds() // 86400 if len(mine) else 14
+        known = rated[team][rated[team]["as_of"] <= cutoff].sort_values("as_of") if team in rated else []
+        return len(mine), mine["margin"].head(3).mean() if len(mine) else 0.0, min(last, 21), known.iloc[-1].to_dict() if len(known) else dict.fromkeys(("mu", "h", "o", "d"), 0.0)
+
+    assert len(got) == len(targets) == len({r["game_id"] for r in got})
+    by_id = {r["game_id"]: r for r in got}
+    for c in targets.itertuples():
+        (hn, hf, hr, h), (an, af, ar, a) = (side(x, c.cutoff, c.kickoff) for x in (c.home_id, c.away_id))
+        place = 0.0 if c.neutral == 1 else h["h"]
+        points = h["mu"] + h["o"] + a["d"] + place, h["mu"] + a["o"] + h["d"] - place
+        want = {"n_home": hn, "n_away": an, "form3_home": hf, "form3_away": af, "form_diff": hf - af, "rest_home": hr, "rest_away": ar, "early": int(hn + an < 4), "pp_home": points[0], "pp_away": points[1]}
+        assert {k: by_id[c.game_id][k] for k in want} == pytest.approx(want, abs=1e-9)
+
+
 def test_leaks_are_refused(spark):
     noon = datetime(2020, 1, 1, 12)
     used = spark.createDataFrame([(noon, noon + timedelta(hours=1)), (noon + timedelta(hours=2), noon + timedelta(hours=1))], "avail timestamp_ntz, cutoff timestamp_ntz")
