@@ -13,7 +13,8 @@ CLIP = 1e-4
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    """``x`` within the bounds; null stays null, which ``least`` and ``greatest`` alone would skip."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
 def logit(p: Column, eps: float = CLIP) -> Column:

@@ -34,6 +34,11 @@ def test_normal_functions(spark):
         assert abs(r["x"]) > 4 or abs(r["back"] - r["x"]) < 1e-3
 
 
+def test_clip_keeps_null(spark):
+    row = spark.range(1).select(S.clip(F.lit(None).cast("double"), 0.1, 0.9).alias("a"), S.clip(F.lit(2.0), 0.1, 0.9).alias("b"), S.log_loss(F.lit(None).cast("double"), F.lit(1)).alias("c")).first()
+    assert tuple(row) == (None, 0.9, None)
+
+
 def test_metrics_and_adjusted_p(spark):
     rows = spark.createDataFrame([(0.9, 1), (0.2, 0), (0.6, 0), (0.4, 1)], "p double, y int")
     got = rows.agg(*G.summary(F.col("p"), F.col("y"))).first()
