@@ -191,25 +191,35 @@ def content_of(path: str) -> bytes:
         return f.read()
 
 
+class Places(dict):
+    """Numbers of pieces in the order in which they are first asked for; ``new`` has those since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        self[piece] = n = len(self)
+        return n
+
+
 class Pieces:
     """The tokens of the pieces met so far."""
 
     def __init__(self, words: Vocabulary):
-        self.words, self.place = words, {}
+        self.words, self.place = words, Places()
         self.tokens, self.starts, self.counts = np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
 
-    def take(self, pieces: list[str]) -> None:
+    def of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all pieces in a row, and the number of each piece's."""
         if len(self.tokens) > HELD:
             self.__init__(self.words)
-        new = [p for p in dict.fromkeys(pieces) if p not in self.place]
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-        tokens, counts = self.words.encode([p.encode() for p in new])
+        at = np.fromiter(map(self.place.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        tokens, counts = self.words.encode([p.encode() for p in self.place.new])
+        self.place.new.clear()
         self.starts = np.concatenate([self.starts, len(self.tokens) + np.cumsum(counts) - counts])
         self.counts, self.tokens = np.concatenate([self.counts, counts]), np.concatenate([self.tokens, tokens])
-
-    def of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of all pieces in a row, and the number of each piece's."""
-        at = np.fromiter(map(self.place.__getitem__, pieces), dtype=np.int64, count=len(pieces))
         return self.tokens[spans(self.starts[at], self.counts[at])], self.counts[at]
 
 
@@ -227,7 +237,6 @@ def encode(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: s
                 mine = cut(t or "")
                 pieces += mine
                 number.append(len(mine))
-            met.take(pieces)
             tokens, counts = met.of(pieces)
             ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(number)]).astype(np.int64)]
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens))

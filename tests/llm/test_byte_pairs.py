@@ -28,7 +28,6 @@ def encoded(content, texts):
     import regex
 
     pieces = [regex.findall(public_tokenizers.PATTERN, t) for t in texts]
-    met.take([p for ps in pieces for p in ps])
     return [met.of(ps)[0].tolist() for ps in pieces]
 
 
