@@ -47,15 +47,16 @@ def training_cutoff(at: Column, zone: str = "America/New_York", hour: int = 5) -
     return F.least(F.convert_timezone(F.lit(zone), F.lit("UTC"), local), at)
 
 
-def running_asof(targets: DataFrame, facts: DataFrame, keys: list[str], aggregates: dict[str, Callable], cutoff: str = "cutoff", avail: str = "avail", target_id: list[str] | None = None) -> DataFrame:
+def running_asof(targets: DataFrame, facts: DataFrame, keys: list[str], aggregates: dict[str, Callable], cutoff: str = "cutoff", avail: str = "avail", target_id: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
     """For each target, aggregates over the facts of its keys with ``avail <= cutoff``: targets and facts are stacked and a
     window runs over both, so the work grows with their sum and not with the pairs. An aggregate is a function of that window;
-    the facts' columns have a leading underscore there."""
+    the facts' columns have a leading underscore there. Facts of one key and ``avail`` come in the order of the columns ``order``, of all if
+    none is given; what a window takes as the last one is defined only if these tell the facts apart."""
     ids = target_id or [c for c in targets.columns if c not in keys and c != cutoff]
     values = [c for c in facts.columns if c not in keys and c != avail]
     stacked = targets.select(*keys, F.col(cutoff).alias("_at"), F.lit(1).alias("_kind"), *ids, *(F.lit(None).cast(facts.schema[c].dataType).alias(f"_{c}") for c in values))
     stacked = stacked.unionByName(facts.select(*keys, F.col(avail).alias("_at"), F.lit(0).alias("_kind"), *(F.col(c).alias(f"_{c}") for c in values)), allowMissingColumns=True)
-    w = W.partitionBy(*keys).orderBy("_at", "_kind", *(f"_{c}" for c in values)).rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy(*keys).orderBy("_at", "_kind", *(f"_{c}" for c in order or values)).rowsBetween(W.unboundedPreceding, 0)
     out = stacked.select(*keys, "_at", "_kind", *ids, *(f(w).alias(n) for n, f in aggregates.items()))
     return out.where("_kind = 1").withColumnRenamed("_at", cutoff).drop("_kind")
 

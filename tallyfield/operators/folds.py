@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,12 +42,18 @@ def recency(rows: DataFrame, half_life_days: float, at: str = "kickoff") -> Data
     return rows.join(F.broadcast(latest)).withColumn("weight", F.pow(F.lit(0.5), age / half_life_days)).drop("_latest")
 
 
+def hashed_integer(*parts) -> Column:
+    """An integer below 2^60 from the MD5 hash of the parts, as text joined by colons."""
+    text = F.concat_ws(":", *(F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def block_bootstrap(gains: DataFrame, reps: int, block: str = "week", seed: int = 42) -> DataFrame:
-    """Interval and p of the mean gain, drawing blocks. The draws are an integer function of repeat and place, so that a
-    rerun draws alike; the tables hold one row per block, not per observation."""
+    """Interval and p of the mean gain, drawing blocks with replacement. A draw is the hash of seed, repeat and place, taken modulo the number of
+    blocks: draws are independent of each other, and a rerun draws alike. The tables hold one row per block, not per observation."""
     w = gains.groupBy(block).agg(F.sum("gain").alias("s"), F.count("*").alias("n"))
     w = w.withColumn("i", F.row_number().over(W.orderBy(block)) - 1).withColumn("k", F.count("*").over(W.partitionBy()))
-    rep = gains.sparkSession.range(reps).withColumnRenamed("id", "rep")
-    drawn = w.select("i", "k").join(F.broadcast(rep)).select("rep", (((F.col("rep") * 1103515245 + F.col("i") * 12345 + seed) % 2147483647 * 48271 % 2147483647) % F.col("k")).alias("i"))
+    each = w.select("i", "k", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    drawn = each.select("rep", (hashed_integer(F.lit(seed), "rep", "i") % F.col("k")).alias("i"))
     boots = drawn.join(w.select(F.col("i").cast("long").alias("i"), "s", "n"), "i").groupBy("rep").agg((F.sum("s") / F.sum("n")).alias("gain"))
     return boots.agg(F.percentile("gain", F.lit(0.05)).alias("low"), F.percentile("gain", F.lit(0.95)).alias("high"), F.avg((F.col("gain") <= 0).cast("double")).alias("p_value"), F.count("*").alias("reps"))

@@ -1,23 +1,90 @@
-"""Names asked for, matched to known names."""
+"""Entity resolution: names asked for, matched to the names that entities go by."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normal_name
 
+#: The fields that hold an entity's names; an equal name in the first one comes before one in another.
+FIELDS = ("location", "display_name", "abbr", "short_name", "name")
 
-def resolve(asked: DataFrame, known: DataFrame, least: float = 0.75) -> DataFrame:
-    """For each normal form of ``asked`` the best of ``known`` (name): equal, else the closest by Levenshtein ratio among names of
-    the same first letter, if the ratio reaches ``least``. Only distinct names meet; the first letter is the blocking key."""
-    q = asked.select(normal_name(F.col("asked")).alias("asked")).distinct()
-    e = known.select(normal_name(F.col("name")).alias("name")).distinct()
-    exact = q.join(e, q["asked"] == e["name"]).select("asked", "name", F.lit("exact").alias("how"), F.lit(1.0).alias("score"))
-    rest = q.join(exact.select("asked"), "asked", "left_anti").withColumn("_b", F.substring("asked", 1, 1))
-    near = rest.join(e.withColumn("_b", F.substring("name", 1, 1)), "_b")
-    ratio = 1 - F.levenshtein("asked", "name") / F.greatest(F.length("asked"), F.length("name"))
-    fuzzy = near.select("asked", "name", F.lit("fuzzy").alias("how"), ratio.alias("score")).where(F.col("score") >= least)
-    best = F.row_number().over(W.partitionBy("asked").orderBy(F.desc("score"), "name"))
-    return exact.unionByName(fuzzy.withColumn("_k", best).where("_k = 1").drop("_k"))
+
+def _edits(least: float, longer: Column) -> Column:
+    """The edits that a similarity of ``least`` allows where the longer name has so many characters."""
+    return F.floor((1 - least) * longer + 1e-9)
+
+
+def similar_names(asked: DataFrame, known: DataFrame, least: float = 0.75) -> DataFrame:
+    """asked, name, score: all pairs of different normal names whose Levenshtein ratio, 1 - edits / longer length, is ``least`` or more.
+
+    An inverted index of grams finds the pairs. One edit changes at most q grams of q characters, so two names share at least
+    longer - q + 1 - q edits of them, repeated grams counted apart; grams are pairs of characters where that is always one or more (above 2/3),
+    else single ones. All names' grams are in one order, rare ones first, and of each name only so many are indexed that two names which share
+    enough have one of these in common. A posting list holds names of one length; a name asks the lists of lengths that it can match,
+    and a shared gram counts only where enough grams come after it in both names. What remains is compared.
+
+    The frequencies are of grams over 40 characters, 1,600 rows at most, whatever the names; so they are broadcast. Null and empty names match nothing.
+    """
+    q = 2 if least > 2 / 3 else 1
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
+
+    def needed(longer: Column) -> Column:
+        return longer - q + 1 - q * _edits(least, longer)
+
+    def ordered(names: DataFrame, column: str) -> DataFrame:
+        """Names with their length and grams; the same gram again is another one, by number."""
+        s = names.select(normal_name(F.col(column)).alias("s")).where("s <> ''").distinct().withColumn("n", F.length("s"))
+        return s.where(F.col("n") >= q).withColumn("grams", F.transform(F.sequence(F.lit(1), F.col("n") - q + 1), lambda i: F.substring("s", i, F.lit(q))))
+
+    both = {side: ordered(names, column) for side, names, column in (("asked", asked, "asked"), ("name", known, "name"))}
+    grams = both["asked"].select("grams").unionByName(both["name"].select("grams")).select(F.explode("grams").alias("gram"))
+    often = F.broadcast(grams.groupBy("gram").agg(F.count("*").alias("often")))
+
+    def indexed(names: DataFrame) -> DataFrame:
+        """s, n, number of grams, and the indexed grams with their places."""
+        again = lambda i: F.size(F.filter(F.slice("grams", 1, i), lambda x: x == F.element_at("grams", i)))
+        numbered = F.transform(F.sequence(F.lit(1), F.size("grams")), lambda i: F.struct(F.element_at("grams", i).alias("gram"), again(i).alias("again")))
+        rows = names.select("s", "n", F.inline(numbered)).join(often, "gram")
+        lists = rows.groupBy("s", "n").agg(F.array_sort(F.collect_list(F.struct((-F.col("again")).alias("a"), "often", "gram"))).alias("tokens"))
+        longest = F.floor(F.col("n") / least + 1e-9).cast("int")
+        fewest = F.array_min(F.transform(F.sequence(F.col("n"), longest), needed))
+        kept = F.slice("tokens", 1, F.greatest(F.lit(1), F.size("tokens") - fewest + 1).cast("int"))
+        return lists.select("s", "n", F.size("tokens").alias("size"), F.posexplode(kept).alias("place", "token"))
+
+    # a name's length is at least the other's times ``least``
+    shortest, longest = F.ceil(F.col("n") * least - 1e-9).cast("int"), F.floor(F.col("n") / least + 1e-9).cast("int")
+    questions = indexed(both["asked"]).select(F.col("s").alias("asked"), F.col("n").alias("na"), F.col("size").alias("ga"), F.col("place").alias("pa"), "token", F.explode(F.sequence(shortest, longest)).alias("n"))
+    lists = indexed(both["name"]).select(F.col("s").alias("name"), "n", F.col("size").alias("gn"), F.col("place").alias("pn"), "token")
+    met = questions.join(lists, ["token", "n"]).where("asked <> name").where(F.least(F.col("ga") - F.col("pa"), F.col("gn") - F.col("pn")) >= needed(F.greatest("na", "n")))
+    pairs = met.select("asked", "name", F.greatest("na", "n").alias("longer")).distinct()
+    edits = F.levenshtein("asked", "name")
+    return pairs.select("asked", "name", (1 - edits / F.col("longer")).alias("score")).where(F.col("score") >= least - 1e-9)
+
+
+def resolve(asked: DataFrame, entities: DataFrame, popularity: DataFrame, aliases: DataFrame | None = None, least: float = 0.75, id: str = "team_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """asked, entity, how, name, score: the entity that each different text of ``asked`` means.
+
+    Names are compared in normal form, after ``aliases`` (alias, name) have replaced a text that is an alias as a whole. An entity that has the
+    name in the first of ``fields`` comes before one that has it in another (``how``: exact); then the greater number in ``popularity`` (id, n)
+    counts, then the smaller id. Where no entity has the name, the most similar name of ``least`` or more is taken, of equally similar ones the
+    first in the alphabet, and of the entities with that name the most popular (fuzzy). Else, and for null and empty texts, entity, name and score
+    are null (none). Repeated entities and aliases don't matter: of an alias with several names the first in the alphabet counts.
+    """
+    texts = asked.select("asked").distinct().withColumn("q", normal_name(F.col("asked")))
+    if aliases is not None:
+        known = aliases.select(normal_name(F.col("alias")).alias("q"), normal_name(F.col("name")).alias("to")).groupBy("q").agg(F.min("to").alias("to"))
+        texts = texts.join(known, "q", "left").withColumn("q", F.coalesce("to", "q")).drop("to")
+    each = [F.struct(normal_name(F.col(f)).alias("name"), F.lit(int(i > 0)).alias("rank")) for i, f in enumerate(fields)]
+    names = entities.select(F.col(id).alias("entity"), F.inline(F.array(*each))).where("name <> ''").groupBy("entity", "name").agg(F.min("rank").alias("rank"))
+    count = popularity.groupBy(F.col(id).alias("entity")).agg(F.sum("n").alias("n"))
+    names = names.join(count, "entity", "left").select("name", F.struct("rank", (-F.coalesce("n", F.lit(0))).alias("less"), "entity").alias("first"))
+    best = names.groupBy("name").agg(F.min("first").alias("first"), F.min(F.struct("first.less", "first.entity")).alias("popular"))
+    q = texts.select("q").where("q <> ''").distinct()
+    exact = q.join(best, q["q"] == best["name"]).select("q", F.col("first.entity").alias("entity"), F.lit("exact").alias("how"), "name", F.lit(1.0).alias("score"))
+    near = similar_names(q.join(best.select(F.col("name").alias("q")), "q", "left_anti").withColumnRenamed("q", "asked"), best.select("name"), least)
+    nearest = near.groupBy("asked").agg(F.min(F.struct((-F.round("score", 9)).alias("far"), "name", "score")).alias("m"))
+    fuzzy = nearest.select(F.col("asked").alias("q"), "m.name", "m.score").join(best, "name").select("q", F.col("popular.entity").alias("entity"), F.lit("fuzzy").alias("how"), "name", "score")
+    return texts.join(exact.unionByName(fuzzy), "q", "left").select("asked", "entity", F.coalesce("how", F.lit("none")).alias("how"), "name", "score")

@@ -163,19 +163,34 @@ def join_13(t):
     return asked.join(t["contest"].select("game_id", "home_score"), "game_id").select("pred_id", "game_id", "home_score")
 
 
-_NAMES = "SELECT p_partkey AS id, p_name AS name, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, 'i', 'y') ELSE p_name END AS asked FROM part"
-
-
-@query("join_15_entity_resolution", f"""WITH n AS ({_NAMES}), q AS (SELECT DISTINCT lower(asked) AS asked FROM n), e AS (SELECT DISTINCT lower(name) AS name FROM n),
-x AS (SELECT q.asked, e.name, 'exact' AS how, 1e0 AS score FROM q JOIN e ON q.asked = e.name),
-f AS (SELECT q.asked, e.name, 'fuzzy' AS how, 1 - levenshtein(q.asked, e.name) / greatest(length(q.asked), length(e.name)) AS score FROM q JOIN e ON left(q.asked, 1) = left(e.name, 1) WHERE q.asked NOT IN (SELECT asked FROM x)),
-r AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, name) AS k FROM (FROM x UNION ALL FROM f WHERE score >= 0.75))
-SELECT asked, name, how, round(score, 6) AS score FROM r WHERE k = 1""")
+#: Teams with five names, of which some are shared or missing; aliases; and names asked for, in other letters, with other first letters, and wrong ones.
+_TEAMS = """SELECT s_suppkey AS team_id, p_name AS location, p_name || ' ' || p_brand AS display_name, upper(left(p_name, 1)) || CAST(s_suppkey AS VARCHAR(9)) AS abbr,
+  CASE WHEN s_suppkey % 3 <> 0 THEN split_part(p_name, ' ', 2) || ' ' || CAST(s_suppkey AS VARCHAR(9)) END AS short_name, p_brand AS name FROM supplier JOIN part ON p_partkey = s_suppkey"""
+_ALIASES = "SELECT n_name AS alias, p_name || ' ' || p_brand AS name FROM nation JOIN part ON p_partkey = n_nationkey"
+_ASKED = """SELECT CASE p_partkey % 6 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, 'i', 'y') WHEN 2 THEN 'x' || substr(p_name, 2) WHEN 3 THEN p_name || ', ' || p_brand
+  WHEN 4 THEN substr(p_name, 2) || ' ' || p_type ELSE split_part(p_name, ' ', 2) || '  ' || CAST(p_partkey AS VARCHAR(9)) END AS asked FROM part UNION ALL SELECT lower(n_name) FROM nation"""
+_POPULAR = "SELECT team AS team_id, count(*) AS n FROM (SELECT home_id AS team FROM contest WHERE feed_group = 80 UNION ALL SELECT away_id FROM contest WHERE feed_group = 80) GROUP BY 1"
+
+
+def _normal(x: str) -> str:
+    return f"trim(regexp_replace(lower({x}), '[^a-z0-9&()]+', ' ', 'g'))"
+
+
+@query("join_15_entity_resolution", f"""WITH t AS ({_TEAMS}), pop AS ({_POPULAR}), al AS (SELECT {_normal("alias")} AS q, min({_normal("name")}) AS target FROM ({_ALIASES}) GROUP BY 1),
+a AS (SELECT asked, coalesce(target, nq) AS q FROM (SELECT DISTINCT asked, {_normal("asked")} AS nq FROM ({_ASKED})) LEFT JOIN al ON al.q = nq),
+f AS (SELECT team_id, {_normal("location")} AS name, 0 AS rank FROM t UNION ALL {" UNION ALL ".join(f"SELECT team_id, {_normal(c)}, 1 FROM t" for c in ("display_name", "abbr", "short_name", "name"))}),
+n AS (SELECT f.team_id, f.name, f.rank, coalesce(pop.n, 0) AS n FROM f LEFT JOIN pop USING (team_id) WHERE name <> ''),
+x AS (SELECT q, team_id, 'exact' AS how, name, 1e0 AS score, row_number() OVER (PARTITION BY q ORDER BY rank, n DESC, team_id) AS k FROM (SELECT DISTINCT q FROM a) JOIN n ON name = q),
+p AS (SELECT q, name, 1 - levenshtein(q, name) / greatest(length(q), length(name)) AS score FROM (SELECT DISTINCT q FROM a WHERE q NOT IN (SELECT q FROM x)) CROSS JOIN (SELECT DISTINCT name FROM n)),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, name) AS k FROM p WHERE score >= 0.75) WHERE k = 1),
+z AS (SELECT q, team_id, 'fuzzy' AS how, b.name, score, row_number() OVER (PARTITION BY q ORDER BY n DESC, team_id) AS k FROM b JOIN n ON n.name = b.name),
+r AS (SELECT * FROM x WHERE k = 1 UNION ALL SELECT * FROM z WHERE k = 1)
+SELECT asked, team_id AS entity, coalesce(how, 'none') AS how, name, round(score, 6) AS score FROM a LEFT JOIN r USING (q)""")
 def join_15(t):
+    """The popularity of AGG-26 decides between teams of equal names."""
     from ..operators.resolve import resolve
 
-    n = t.sql(_NAMES)
-    return rounded(resolve(n.select("asked").distinct(), n.select("name").distinct()))
+    return rounded(resolve(t.sql(_ASKED), t.sql(_TEAMS), t.sql(_POPULAR), t.sql(_ALIASES)))
 
 
 # --- windows

@@ -386,7 +386,7 @@ _HALF = "CASE WHEN season < 1998 THEN 'select' ELSE 'confirm' END"
 @query("ml_17_block_bootstrap", f"""WITH d AS (SELECT a.game_id, strftime(a.kickoff, '%G-%V') AS week, ll_a - ll_b AS gain FROM (SELECT *, {_LL} AS ll_a FROM graded WHERE model_version = 'v1.0') a
   JOIN (SELECT game_id, {_LL} AS ll_b FROM graded WHERE model_version = 'v1.1') b ON a.game_id = b.game_id),
 w AS (SELECT week, sum(gain) AS s, count(*) AS n, row_number() OVER (ORDER BY week) - 1 AS i, count(*) OVER () AS k FROM d GROUP BY week),
-r AS (SELECT range AS rep FROM range(2000)), x AS (SELECT rep, w.k, (((rep * 1103515245 + w.i * 12345 + 42) % 2147483647) * 48271 % 2147483647) % w.k AS pick FROM r, w),
+r AS (SELECT range AS rep FROM range(2000)), x AS (SELECT rep, w.k, CAST('0x' || left(md5('42:' || rep || ':' || w.i), 15) AS BIGINT) % w.k AS pick FROM r, w),
 b AS (SELECT rep, sum(w.s) / sum(w.n) AS gain FROM x JOIN w ON x.pick = w.i GROUP BY rep)
 SELECT round(quantile_cont(gain, 0.05), 6) AS low, round(quantile_cont(gain, 0.95), 6) AS high, round(avg(CASE WHEN gain <= 0 THEN 1e0 ELSE 0e0 END), 6) AS p_value, count(*) AS reps FROM b""")
 def ml_17(t):

@@ -40,7 +40,7 @@ def rat_1(t):
 def rat_2(t):
     """Ratings at the first contest of each entity's season, which follow the regression."""
     e = R.elo(_pooled(t), _grid(t, [POINT, (36.0, 45.0, 0.0)]))
-    return rounded(e.groupBy("pool", "revert", "season", F.col("home_id").alias("team")).agg(F.min_by("elo_home", "avail").alias("first_rating")), 3)
+    return rounded(R.season_starts(e).select("pool", "revert", "season", "team", "first_rating"), 3)
 
 
 @query("rat_3_elo_grid")
@@ -54,9 +54,9 @@ def rat_3(t):
 
 @query("rat_4_rating_asof")
 def rat_4(t):
-    history = R.rating_history(R.elo(_pooled(t), _grid(t, [POINT]))).select("team", "avail", "rating")
+    history = R.rating_history(R.elo(_pooled(t), _grid(t, [POINT])))
     targets = t["contest"].select("game_id", F.col("home_id").alias("team"), F.col("kickoff").alias("cutoff"))
-    return rounded(A.running_asof(targets, history, ["team"], {"rating": lambda w: F.last("_rating", ignorenulls=True).over(w)}).select("game_id", "rating"))
+    return rounded(A.running_asof(targets, history, ["team"], {"rating": lambda w: F.last("_rating", ignorenulls=True).over(w)}, target_id=["game_id"], order=["kickoff", "game_id"]).select("game_id", "rating"))
 
 
 @query("rat_5_ridge")
