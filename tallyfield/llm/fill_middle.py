@@ -39,6 +39,8 @@ TEXT = ("prefix", "middle", "suffix")
 CHUNK = 4096
 #: Bytes of a text that are looked at together, and places between the parts of a restored text.
 BLOCK, PART = 1 << 20, 1 << 40
+#: A task sorts about so many bytes of text, and more where the number of tasks would exceed the second figure.
+TASK_BYTES, MOST_TASKS = 128 << 20, 20_000
 
 
 def unit_starts(data: np.ndarray, low: int, high: int) -> np.ndarray:
@@ -137,7 +139,8 @@ def partition_of(key) -> int:
 
 
 def assembled(docs: DataFrame, id: str = "doc_id", text: str = "text", seed: int = SEED, chunk: int = CHUNK, partitions: int | None = None) -> RDD:
-    """((row, place), value) in the order of the outputs, the pieces of a row together: facts, then the output's bytes in pieces."""
+    """((row, place), value) in the order of the outputs, the pieces of a row together: facts, then the output's bytes in pieces.
+    The number of partitions follows from the size of all texts, which a first pass adds up, and is at least that of Spark's shuffles."""
 
     def emit(index, rows):
         nth: dict[bytes, int] = {}
@@ -147,9 +150,11 @@ def assembled(docs: DataFrame, id: str = "doc_id", text: str = "text", seed: int
             nth[mark] = nth.get(mark, 0) + 1
             yield from cut(index.to_bytes(4, "big") + mark + nth[mark].to_bytes(4, "big"), i, data, seed, chunk)
 
+    if partitions is None:
+        size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-size // TASK_BYTES)))
     rows = docs.select(F.col(id), F.col(text).cast("binary")).rdd
-    n = partitions or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.getNumPartitions())
-    return rows.mapPartitionsWithIndex(emit).repartitionAndSortWithinPartitions(n, partition_of)
+    return rows.mapPartitionsWithIndex(emit).repartitionAndSortWithinPartitions(partitions, partition_of)
 
 
 def texts(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
