@@ -15,18 +15,18 @@ from . import folds as V
 from . import grading as G
 from .models import Config, Policy, fit_ensemble, propose, register, walk_forward
 
-#: One move of a member's setting a cycle, in this order: name, member or half-life, setting, factor or value.
+#: One move a cycle, in this order. Of a kind of member, factors of its settings; of the whole configuration, a value.
 MOVES = (
-    ("logistic_C_down", "logistic", "C", 1 / 3),
-    ("ridge_alpha_up", "margin_ridge", "alpha", 3.0),
-    ("gbm_slower_more_trees", "gbm", "step", 2 / 3),
-    ("logistic_C_up", "logistic", "C", 3.0),
-    ("ridge_alpha_down", "margin_ridge", "alpha", 1 / 3),
-    ("gbm_more_regularized", "gbm", "leaf", 2.0),
-    ("half_life_2y", None, "half_life_days", 730.0),
+    ("logistic", {"C": 1 / 3}),
+    ("margin_ridge", {"alpha": 3.0}),
+    ("gbm", {"step": 2 / 3, "rounds": 5 / 3}),
+    ("logistic", {"C": 3.0}),
+    ("margin_ridge", {"alpha": 1 / 3}),
+    ("gbm", {"leaf": 2.0, "penalty": 3.0}),
+    (None, {"half_life_days": 730.0}),
 )
 #: What the moves start from where a member's settings don't say.
-STARTS = {"C": 0.1, "alpha": 10.0, "step": 0.03, "leaf": 40, "rounds": 300}
+STARTS = {"C": 0.1, "alpha": 10.0, "step": 0.03, "leaf": 40, "rounds": 300, "penalty": 5.0}
 
 
 def changed(config: Config, change: dict, subjects: list[str], available: list[str], context: dict[str, str]) -> Config:
@@ -35,7 +35,7 @@ def changed(config: Config, change: dict, subjects: list[str], available: list[s
     if change.get("ensemble") == "stack":
         return replace(config, ensemble="stack", stack_context=tuple(sorted({*config.stack_context, *columns}))) if columns else config
     if change.get("capacity"):
-        return replace(config, members={k: {**v, "depth": 5, "leaf": 30} if k.startswith("gbm") else v for k, v in config.members.items()})
+        return replace(config, members={k: {**v, "leaves": 31, "leaf": 30} if k.startswith("gbm") else v for k, v in config.members.items()})
     if change.get("drop") == "useless":
         kept = tuple(f for f in config.features if f not in subjects)
         return replace(config, features=kept) if kept and len(config.features) - len(kept) >= 2 else config
@@ -46,14 +46,13 @@ def changed(config: Config, change: dict, subjects: list[str], available: list[s
 
 
 def moved(config: Config, run: int) -> tuple[str, Config]:
-    """The move of this run of the cycle; the moves take turns."""
-    name, member, setting, by = MOVES[run % len(MOVES)]
+    """The move of this run of the cycle, named after what it changes; the moves take turns."""
+    member, by = MOVES[run % len(MOVES)]
     if member is None:
-        return name, replace(config, **{setting: by})
-    on = {k: {**v, setting: type(STARTS[setting])(round(v.get(setting, STARTS[setting]) * by, 6))} if k.split("_")[0] == member or k == member else v for k, v in config.members.items()}
-    if setting == "step":
-        on = {k: {**v, "rounds": v.get("rounds", STARTS["rounds"]) * 5 // 3} if k.startswith("gbm") else v for k, v in on.items()}
-    return name, replace(config, members=on)
+        return "_".join(f"{k}_{v:g}" for k, v in by.items()), replace(config, **by)
+    after = lambda v: {s: type(STARTS[s])(round(v.get(s, STARTS[s]) * f, 6)) for s, f in by.items()}
+    on = {k: {**v, **after(v)} if k.split("_")[0] == member or k == member else v for k, v in config.members.items()}
+    return "_".join([member, *(f"{s}_{'up' if f > 1 else 'down'}" for s, f in by.items())]), replace(config, members=on)
 
 
 def candidates(config: Config, findings: DataFrame, run: int, policy: Policy, available: list[str], context: dict[str, str]) -> dict[str, Config]:

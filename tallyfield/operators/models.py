@@ -12,16 +12,17 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.errors import AnalysisException
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, IsotonicRegressionModel, LinearRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .boosting import BoostedTrees, Settings, boost
 
 
 @dataclass(frozen=True)
@@ -146,25 +147,20 @@ def elo_member(rows: DataFrame, features: tuple[str, ...] = ("elo_diff",), name:
     return Fitted(name, Pipeline(stages=[lr]).fit(base), tuple(features), margin=Pipeline(stages=[_ridge(base, "margin", 1e-6, "_x")]).fit(base))
 
 
-def _boosting(base: DataFrame, rounds: int, step: float, depth: int, leaf: int, share: float) -> dict:
-    """Settings of both kinds of trees. Boosting cuts its lineage every ten rounds, in the shared folder."""
-    from ..sources.shared import checkpoint_dir
+def _boosted(base: DataFrame, label: str, features: tuple[str, ...], chance: bool, settings: dict) -> PipelineModel:
+    booster = boost(base, label, len(features), chance, Settings(**settings))
+    return PipelineModel([BoostedTrees(booster=booster.text())])
 
-    checkpoint_dir(base.sparkSession)
-    return {"featuresCol": "_x", "weightCol": "weight", "maxIter": rounds, "stepSize": step, "maxDepth": depth, "minInstancesPerNode": leaf, "subsamplingRate": 0.8, "featureSubsetStrategy": str(share), "seed": 7}
 
-
-def trees(rows: DataFrame, features: tuple[str, ...], name: str = "gbm", rounds: int = 300, step: float = 0.03, depth: int = 4, leaf: int = 40, share: float = 0.8) -> Fitted:
-    """Boosted trees of the outcome; each split looks at ``share`` of the features."""
-    base = assembled(_weighted(rows), list(features), "_x")
-    gbt = GBTClassifier(labelCol="home_win", **_boosting(base, rounds, step, depth, leaf, share))
-    return Fitted(name, Pipeline(stages=[gbt]).fit(base), tuple(features))
+def trees(rows: DataFrame, features: tuple[str, ...], name: str = "gbm", **settings) -> Fitted:
+    """Boosted trees of the outcome; ``settings`` are those of the booster."""
+    return Fitted(name, _boosted(assembled(_weighted(rows), list(features), "_x"), "home_win", features, True, settings), tuple(features))
 
 
-def margin_trees(rows: DataFrame, features: tuple[str, ...], name: str = "gbm_margin", rounds: int = 300, step: float = 0.03, depth: int = 4, leaf: int = 40, share: float = 0.8) -> Fitted:
+def margin_trees(rows: DataFrame, features: tuple[str, ...], name: str = "gbm_margin", **settings) -> Fitted:
     """Boosted trees of the margin; they give no probability."""
     base = assembled(_weighted(rows), list(features), "_x")
-    model = Pipeline(stages=[GBTRegressor(labelCol="margin", **_boosting(base, rounds, step, depth, leaf, share))]).fit(base)
+    model = _boosted(base, "margin", features, False, settings)
     return Fitted(name, model, tuple(features), _spread(model.transform(base), F.col("margin") - F.col("prediction")), chance=False)
 
 

@@ -348,7 +348,7 @@ def test_candidates_of_findings(spark):
     assert got["drop_useless_features"].features == ("a",) and set(got["drop_dead_members"].members) == {"logistic", "margin_ridge", "gbm"} and got["more_capacity"].members["gbm"]["leaf"] == 30
     assert got["local_logistic_C_up"].members["logistic"] == {"C": 0.3} and L.moved(config, 2)[1].members["gbm"] == {"step": 0.02, "rounds": 500}
     quiet = L.candidates(config, spark.createDataFrame([("drift", "newest", True), ("useless", "b", True)], "kind string, subject string, flagged boolean"), 6, M.Policy(), ["a"], {})
-    assert list(quiet) == ["calibration_platt", "recency_weighting", "local_half_life_2y"] and quiet["recency_weighting"].half_life_days == 365
+    assert list(quiet) == ["calibration_platt", "recency_weighting", "local_half_life_days_730"] and quiet["recency_weighting"].half_life_days == 365
 
 
 def test_gates_of_a_challenger(spark):
