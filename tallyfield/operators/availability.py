@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -47,20 +48,37 @@ def training_cutoff(at: Column, zone: str = "America/New_York", hour: int = 5) -
     return F.least(F.convert_timezone(F.lit(zone), F.lit("UTC"), local), at)
 
 
-def running_asof(targets: DataFrame, facts: DataFrame, keys: list[str], aggregates: dict[str, Callable], cutoff: str = "cutoff", avail: str = "avail", target_id: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+def running_asof(targets: DataFrame, facts: DataFrame, keys: list[str], aggregates: dict[str, Callable], cutoff: str = "cutoff", avail: str = "avail", target_id: list[str] | None = None, order: list[str] | None = None, greatest: tuple[str, Column, int] | None = None) -> DataFrame:
     """For each target, aggregates over the facts of its keys with ``avail <= cutoff``: targets and facts are stacked and a
     window runs over both, so the work grows with their sum and not with the pairs. An aggregate is a function of that window;
     the facts' columns have a leading underscore there. Facts of one key and ``avail`` come in the order of the columns ``order``, of all if
-    none is given; what a window takes as the last one is defined only if these tell the facts apart."""
+    none is given; what a window takes as the last one is defined only if these tell the facts apart. ``greatest`` (name, value, k) adds name_1 to name_k, the k greatest values so far."""
     ids = target_id or [c for c in targets.columns if c not in keys and c != cutoff]
     values = [c for c in facts.columns if c not in keys and c != avail]
     stacked = targets.select(*keys, F.col(cutoff).alias("_at"), F.lit(1).alias("_kind"), *ids, *(F.lit(None).cast(facts.schema[c].dataType).alias(f"_{c}") for c in values))
     stacked = stacked.unionByName(facts.select(*keys, F.col(avail).alias("_at"), F.lit(0).alias("_kind"), *(F.col(c).alias(f"_{c}") for c in values)), allowMissingColumns=True)
     w = W.partitionBy(*keys).orderBy("_at", "_kind", *(f"_{c}" for c in order or values)).rowsBetween(W.unboundedPreceding, 0)
-    out = stacked.select(*keys, "_at", "_kind", *ids, *(f(w).alias(n) for n, f in aggregates.items()))
+    more = []
+    if greatest:
+        name, value, k = greatest
+        stacked = running_greatest(stacked, value, w, name, k)
+        more = [f"{name}_{i + 1}" for i in range(k)]
+    out = stacked.select(*keys, "_at", "_kind", *ids, *more, *(f(w).alias(n) for n, f in aggregates.items()))
     return out.where("_kind = 1").withColumnRenamed("_at", cutoff).drop("_kind")
 
 
+def running_greatest(rows: DataFrame, value: Column, window: WindowSpec, name: str, k: int) -> DataFrame:
+    """``rows`` with name_1 to name_k, the k greatest values (nulls don't count) from the start of the window to each row. A row keeps k values and
+    no list: where a value comes, the lesser of it and the greatest so far goes on to the next place, which treats it likewise."""
+    before = window.rowsBetween(W.unboundedPreceding, -1)
+    coming = F.col("_coming")
+    rows = rows.withColumn("_coming", value)
+    for i in range(k):
+        rows = rows.withColumn("_top", F.max("_coming").over(before)).withColumn(f"{name}_{i + 1}", F.greatest("_top", "_coming"))
+        rows = rows.withColumn("_coming", F.when(coming.isNotNull() & F.col("_top").isNotNull(), F.least("_top", "_coming")))
+    return rows.drop("_coming", "_top")
+
+
 def range_asof(targets: DataFrame, facts: DataFrame, keys: list[str], cutoff: str = "cutoff", avail: str = "avail") -> DataFrame:
     """The raw facts visible to each target: equal keys and ``avail <= cutoff``."""
     return targets.join(facts, keys).where(F.col(avail) <= F.col(cutoff))

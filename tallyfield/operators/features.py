@@ -82,7 +82,7 @@ def build(targets: DataFrame, obs: DataFrame, ratings: DataFrame) -> DataFrame:
     """One row for each (contest, cutoff) of ``targets`` (game_id, season, cutoff, kickoff, home_id, away_id, neutral): expected
     points from ``ratings`` (as_of, season, team, mu, h, o, d; the latest by the cutoff), and form, rest and counts of visible facts.
     Facts and ratings are stacked with the two sides of each target, so one window sees them all, and both sides are brought together by a group of
-    two rows. The window's list holds the facts of one entity in one season."""
+    two rows. A row of the window carries the three newest facts only, by when they were played, however late each became available."""
     from .availability import running_asof
 
     late = targets.where(F.col("cutoff") > F.col("kickoff"))
@@ -92,12 +92,12 @@ def build(targets: DataFrame, obs: DataFrame, ratings: DataFrame) -> DataFrame:
     state = ratings.select("season", "team", F.col("as_of").alias("avail"), "mu", "h", "o", "d")
     own = ["game_id", "side", "kickoff", "home_id", "away_id", "neutral"]
     sides = targets.select("*", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"{s}_id").alias("team")) for s in ("home", "away")))).alias("_s")).select("season", "cutoff", "_s.team", *(f"_s.{c}" if c == "side" else c for c in own))
-    recent = lambda w: F.slice(F.sort_array(F.collect_list(F.when(F.col("_played").isNotNull(), F.struct("_played", "_margin"))).over(w), False), 1, 3)
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x["_margin"]) / F.size(a)
+    fact = F.when(F.col("_played").isNotNull(), F.struct("_played", "_margin"))
     latest = lambda v: lambda w: F.last(f"_{v}", ignorenulls=True).over(w)
-    values = {"n": lambda w: F.count("_y").over(w), "points": lambda w: F.avg("_y").over(w), "last": lambda w: F.max("_played").over(w), "recent": recent, **{v: latest(v) for v in ("mu", "h", "o", "d")}}
-    seen = running_asof(sides, facts.unionByName(state, allowMissingColumns=True), ["team", "season"], values, target_id=own)
-    seen = seen.withColumn("form3", F.when(F.size("recent") > 0, mean(F.col("recent"))))
+    values = {"n": lambda w: F.count("_y").over(w), "points": lambda w: F.avg("_y").over(w), "last": lambda w: F.max("_played").over(w), **{v: latest(v) for v in ("mu", "h", "o", "d")}}
+    seen = running_asof(sides, facts.unionByName(state, allowMissingColumns=True), ["team", "season"], values, target_id=own, greatest=("recent", fact, 3))
+    margins = [F.col(f"recent_{i}._margin") for i in (1, 2, 3)]
+    seen = seen.withColumn("form3", sum((F.coalesce(m, F.lit(0.0)) for m in margins), F.lit(0.0)) / F.nullif(sum((m.isNotNull().cast("int") for m in margins), F.lit(0)), F.lit(0)))
     of = lambda c, s: F.any_value(F.when(F.col("side") == s, F.col(c)), ignoreNulls=True).alias(f"{c}_{s}")
     held = [of(c, s) for s in ("home", "away") for c in ("n", "form3", "last", "mu", "h", "o", "d")]
     out = seen.groupBy("game_id", "cutoff", "season", "kickoff", "home_id", "away_id", "neutral").agg(*held)

@@ -57,3 +57,15 @@ def test_rat_2_and_rat_4_equal_plain_searches(spark):
     assert {(r.season, r.team): r.first_rating for r in rat_2(t).where("revert = 0.25").collect()} == {k: pytest.approx(v, abs=1e-3) for k, v in first.items()}
     want = {c.game_id: ([x for a, x in after[c.home_id] if a <= c.kickoff] or [None])[-1] for c in t["contest"].select("game_id", "home_id", "kickoff").collect()}
     assert {r.game_id: r.rating for r in rat_4(t).collect()} == {k: v if v is None else pytest.approx(v, abs=1e-5) for k, v in want.items()}
+
+
+def test_the_greatest_so_far_in_any_order_of_arrival(spark):
+    from pyspark.sql import Window as W
+
+    rng = np.random.default_rng(5)
+    rows = [(int(k), i, None if rng.random() < 0.2 else int(rng.integers(0, 12))) for k in range(4) for i in range(40)]
+    df = A.running_greatest(spark.createDataFrame(rows, "key int, at int, v int"), F.when(F.col("v").isNotNull(), F.struct("v", "at")), W.partitionBy("key").orderBy("at"), "top", 3)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    for r in df.collect():
+        want = sorted(((v, i) for k, i, v in rows if k == r.key and i <= r.at and v is not None), reverse=True)[:3]
+        assert [tuple(x) for x in (r.top_1, r.top_2, r.top_3) if x] == want
