@@ -193,6 +193,25 @@ def str_2(t):
     return J.run(joined.select(F.col("l_id").alias("asked"), F.col("r_id").alias("outcome")), fresh(t.spark, "outcomes"), fresh(t.spark, "state"))
 
 
+_RESULTS = "SELECT game_id, avail, CASE WHEN home_score > away_score THEN 1 ELSE 0 END AS home_win FROM contest_avail WHERE feed_group = 80"
+
+
+@query("str_2_pending_outcomes", f"SELECT pred_id, game_id, CASE WHEN home_win IS NULL THEN 'pending' ELSE 'done' END AS status, home_win FROM prediction LEFT JOIN ({_RESULTS}) USING (game_id)")
+def str_2_pending(t):
+    """Logged predictions that should be over, with their outcomes as these land; of contests whose results never come the predictions stay pending."""
+    zone = lambda c: F.col(c).cast("timestamp").alias(c)
+    asked = checkpointed(t["prediction"].select("pred_id", F.col("game_id").alias("l_game"), zone("kickoff")))
+    found = checkpointed(t.sql(_RESULTS).select(F.col("game_id").alias("r_game"), zone("avail"), "home_win"))
+    streams = []
+    for rows, at, key, none in ((asked, "kickoff", "l_game", -1), (found, "avail", "r_game", -2)):
+        clock = asked.agg((F.max("kickoff") + A.minutes(7 * 1440)).alias(at), F.lit(none).cast("long").alias(key))  # after the last contest time goes on
+        landing = J.land_in_parts(rows.unionByName(clock, allowMissingColumns=True).withColumn("part", F.year(at)), "part", "landing")
+        streams.append(J.landed(t.spark, landing, rows.schema, 1))
+    joined = J.matched(*streams, "game", "kickoff", "avail", "1 DAY", "2 days", how="left")
+    out = joined.select("pred_id", F.col("l_game").alias("game_id"), F.when(F.col("home_win").isNull(), "pending").otherwise("done").alias("status"), "home_win")
+    return J.run(out, fresh(t.spark, "outcomes"), fresh(t.spark, "state")).where("pred_id IS NOT NULL")
+
+
 @query("str_3_late_facts", "SELECT count(*) AS facts, count(*) FILTER (collected < kickoff + INTERVAL '270' MINUTE AND collected > kickoff) AS early FROM contest")
 def str_3(t):
     """Facts that land late carry their availability; nothing is dropped."""
