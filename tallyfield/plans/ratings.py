@@ -154,19 +154,6 @@ def fea_4(t):
     return rounded(X.build(checkpointed(_targets(t)), obs, _ratings_asof(obs)))
 
 
-_SEEN = """SELECT g.game_id, o.margin, o.kickoff, row_number() OVER (PARTITION BY g.game_id ORDER BY o.kickoff DESC, o.margin DESC) AS k, g.kickoff AS starts FROM contest g
-  JOIN obs o ON o.season = g.season AND o.off_id = g.{0}_id AND o.avail <= g.kickoff - INTERVAL '1' HOUR"""
-_HISTORY = ", ".join(f"{s} AS (SELECT game_id, count(*) AS n, avg(margin) FILTER (k <= 3) AS form3, least(floor(date_diff('second', max(kickoff), any_value(starts)) / 86400), 21) AS rest FROM ({_SEEN.format(side)}) GROUP BY 1)" for s, side in (("h", "home"), ("v", "away")))
-
-
-@query("fea_4_history_columns", f"""WITH {_HISTORY} SELECT game_id, coalesce(h.n, 0) AS n_home, coalesce(v.n, 0) AS n_away, round(coalesce(h.form3, 0), 6) AS form3_home, round(coalesce(v.form3, 0), 6) AS form3_away,
-round(coalesce(h.form3, 0) - coalesce(v.form3, 0), 6) AS form_diff, CAST(coalesce(h.rest, 14) AS BIGINT) AS rest_home, CAST(coalesce(v.rest, 14) AS BIGINT) AS rest_away,
-CAST(coalesce(h.n, 0) + coalesce(v.n, 0) < 4 AS INTEGER) AS early FROM contest LEFT JOIN h USING (game_id) LEFT JOIN v USING (game_id)""")
-def fea_4_history(t):
-    """The columns of the build that don't come from ratings."""
-    return fea_4(t).select("game_id", "n_home", "n_away", "form3_home", "form3_away", "form_diff", "rest_home", "rest_away", "early")
-
-
 @query("fea_5_stale_rows", """WITH v AS (SELECT kickoff AS cutoff, (SELECT count(*) FROM contest_avail a WHERE a.avail <= k.kickoff AND a.game_id % 50 <> 3) AS was, (SELECT count(*) FROM contest_avail a WHERE a.avail <= k.kickoff) AS visible FROM (SELECT DISTINCT kickoff FROM contest) k),
 c AS (SELECT game_id, was FROM contest JOIN v ON cutoff = kickoff WHERE game_id % 7 <> 0 UNION ALL SELECT -1, 5), l AS (SELECT game_id, visible FROM contest JOIN v ON cutoff = kickoff)
 SELECT game_id, CASE WHEN l.visible IS NULL THEN 'drop' ELSE 'build' END AS action FROM c FULL JOIN l USING (game_id) WHERE c.was IS DISTINCT FROM l.visible""")
