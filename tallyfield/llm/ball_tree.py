@@ -11,9 +11,9 @@ A block and one shard are all that a task holds. Shards aren't shuffled: each is
 that its bound doesn't rule out.
 
 Cases: vectors that are null or hold a null or a component that isn't finite take no part. Vectors of unequal
-lengths aren't compared. An empty vector scores zero with its like. A query doesn't meet rows of its own id, so
-with repeated ids each row is a query of its own, and none of them meets another. Rows of null id take no
-part. Scores are exact while they fit 64 bits. Columns other than id and vector are not read. An empty table
+lengths aren't compared. An empty vector scores zero with its like. A query doesn't meet its own row, but all others, those of its id too; with
+repeated ids each row is a query of its own, so their ranks repeat. The search keeps k + 1 rows, and of these one that has the query's id and its
+score with itself is taken out: its own row, or one with the same id and score. Rows of null id take no part. Scores are exact while they fit 64 bits. Columns other than id and vector are not read. An empty table
 gives an empty result.
 """
 
@@ -85,7 +85,7 @@ LOWEST = np.iinfo(np.int64).min
 
 
 class Best:
-    """The k best (score, id) of each query of a block; empty places hold the lowest score."""
+    """The k best (score, id) of each query of a block, its own row among them; empty places hold the lowest score."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         self.ids, self.q, self.k = ids, vectors, k
@@ -128,9 +128,16 @@ class Best:
         kth = self.score[at, -1]
         return (kth == LOWEST) | (bound > kth) | ((bound == kth) & (least < self.found[at, -1]))
 
+    def without_own(self) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids without the query's own row, else without the last place."""
+        own = (self.found == self.ids[:, None]) & (self.score == (self.q.astype(np.int64) ** 2).sum(1)[:, None])
+        cut = np.where(own.any(1), own.argmax(1), self.k - 1)[:, None]
+        rest = np.arange(self.k - 1)[None] + (np.arange(self.k - 1)[None] >= cut)
+        return np.take_along_axis(self.score, rest, 1), np.take_along_axis(self.found, rest, 1)
+
     def take(self, at: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         kth, kth_id = self.score[at, -1][:, None], self.found[at, -1][:, None]
-        better = ((scores > kth) | ((scores == kth) & (ids[None] < kth_id))) & (ids[None] != self.ids[at][:, None])
+        better = ((scores > kth) | ((scores == kth) & (ids[None] < kth_id)))
         rows = better.any(1)
         if not rows.any():
             return
@@ -169,7 +176,7 @@ def _matrices(batches, rows: int):
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, id, score: for each row of ``queries`` its ``k`` best rows of ``vectors``."""
+    """query_id, rank, id, score: for each row of ``queries``, which are rows of ``vectors``, its ``k`` best others."""
 
     def trees(batches):
         import pyarrow.compute  # noqa: F401
@@ -187,7 +194,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id
         import pyarrow.compute  # noqa: F401
 
         for ids, x in _matrices(batches, 2 * block):
-            best, order, every = Best(ids, x, k), [], np.arange(len(ids))
+            best, order, every = Best(ids, x, k + 1), [], np.arange(len(ids))
             for path in files:
                 for number, read in enumerate(groups_of(path)):
                     roots = [_unpack(r) for r in read("root").column(0).to_pylist()]
@@ -202,9 +209,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id
             yield rows(best)
 
     def rows(best):
-        full = best.score != LOWEST
+        score, found = best.without_own()
+        full = score != LOWEST
         rank = np.broadcast_to(np.arange(1, k + 1), full.shape)[full]
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(best.ids, full.sum(1))), pa.array(rank.astype(np.int32)), pa.array(best.found[full]), pa.array(best.score[full])], names=["query_id", "rank", "vec_id", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(best.ids, full.sum(1))), pa.array(rank.astype(np.int32)), pa.array(found[full]), pa.array(score[full])], names=["query_id", "rank", "vec_id", "score"])
 
     return asked.repartition(blocks).mapInArrow(search, "query_id long, rank int, vec_id long, score long")
 
@@ -217,11 +225,11 @@ def op6_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op6_ball_tree_top_k": op6_ball_tree_top_k}
 ORACLE = {
     "op6_ball_tree_top_k": """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
-      FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 20 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+s AS (SELECT a.r, a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE a.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 }

@@ -102,6 +102,19 @@ def test_top_k_of_odd_rows(spark, shard):
     assert ball_tree.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_a_query_meets_rows_of_its_id_but_not_itself(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [0.5, 0.25]), (40, [1.0, 0.0]), (40, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ball_tree.top_k(df, df.where("vec_id % 20 = 0"), k=3).collect())
+    q = [(i, [int(64 * x) for x in v]) for i, v in rows]
+    want = []
+    for n, (i, v) in enumerate(q):
+        if i % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), j) for m, (j, w) in enumerate(q) if m != n)[:3]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_forward_backward_equals_enumeration():
     from itertools import product
 

@@ -9,10 +9,10 @@ def test_best_first_visits_few_nodes():
     x = np.rint(centres[rng.integers(40, size=6000)] + rng.normal(size=(6000, 16)) * 3).astype(np.int64)
     tree = ball_tree.build_tree(np.arange(6000), x, leaf=32)
     for q in range(0, 200, 20):
-        best = ball_tree.Best(np.array([q]), x[[q]], 5)
+        best = ball_tree.Best(np.array([q]), x[[q]], 6)
         best.search(tree)
         want = sorted(((-int(x[q] @ x[j]), j) for j in range(6000) if j != q))[:5]
-        assert [(-s, i) for s, i in zip(best.score[0], best.found[0])] == want
+        assert [(-s, i) for s, i in zip(*(side[0] for side in best.without_own()))] == want
         assert best.visited < 0.5 * len(tree["child"])
 
 
