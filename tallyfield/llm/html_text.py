@@ -8,7 +8,7 @@ most part. Menus, page headers and footers, scripts and styles are cut before.
 
 Names in class or id, and forms, only raise a doubt, which the points settle: a block whose name is doubtful (search, legal, discussion, ...) is cut
 unless it has three times the points of all the page outside blocks in doubt; one whose name is that of an advert, a notice, a sidebar or reader
-comments is cut unless the page has nothing else and the block is long. What is in a block let through is settled again.
+comments is cut unless the page has nothing else but headings and the block is long. Names are read by their words, those in camel case too. What is in a block let through is settled again.
 
 Cases: a null page counts as empty; an empty page, or one without text outside what is cut, gives an empty
 text. Unclosed, crossed and cut-off tags are read as browsers do in the main: a paragraph ends at the next
@@ -52,10 +52,14 @@ DOUBT = re.compile(r"(?:^|[\s_-])(?:banner|aside|widget|widgets|rail|foot|header
 #: How many times the points of the rest of the page let a doubtful block through, and how many points another block where there is no rest.
 THROUGH = 3
 LONG = 5
+#: Elements that hold no text of an article by themselves.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Beginnings of names that tell what is beside a block, not what it is.
 LAYOUT = re.compile(r"(?:has|with|no|without)[-_]", re.I)
 #: Names of headers, which inside an article hold its title.
 HEADER = re.compile(r"(?:^|[_-])header$", re.I)
+#: Where a word of a name in camel case begins.
+HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 #: Words that mark the article in spite of those above.
 KEEP = re.compile(r"(?:^|[\s_-])(?:article|articlebody|article-body|content|main|post|story|entry|body|text)(?:$|[\s_-])", re.I)
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -95,6 +99,7 @@ def _doubt(tag: str, attributes: str, inside_article: bool) -> int:
     if tag in ("body", "html", "article", "main"):
         return 0
     names = " ".join(n for n in f"{a.get('class', '')} {a.get('id', '')}".split() if not LAYOUT.match(n) and not (inside_article and HEADER.search(n)))
+    names = HUMP.sub("-", names)
     if KEEP.fullmatch(a.get("class", "") or a.get("id", "")):
         return least
     return 2 if SKIP.search(names) else 1 if DOUBT.search(names) else least
@@ -194,6 +199,18 @@ def _points(text: str, in_links: int) -> float:
     return (1 + text.count(",") + len(text) / 100) * (1 - min(1.0, in_links / len(text)))
 
 
+def _of_headings(found: list[tuple[Node, str, int]], held: list[Node], out: set[int]) -> float:
+    """Points of the headings outside the blocks in doubt."""
+    inside, total = {id(n) for n in held} | out, 0.0
+    for node, text, in_links in found:
+        if node.tag in HEADINGS:
+            up = node
+            while up is not None and id(up) not in inside:
+                up = up.up
+            total += _points(text, in_links) if up is None else 0.0
+    return total
+
+
 def _settled(nodes: list[Node], found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
     """The texts outside blocks in doubt, and in those of them that are let through."""
     if not any(n.doubt for n in nodes):
@@ -219,7 +236,7 @@ def _settled(nodes: list[Node], found: list[tuple[Node, str, int]]) -> list[tupl
         sure = max(0.0, sure)
         most = max((n for n in held if n.doubt == 1), key=lambda n: n.points, default=None)
         asked = [most] if most is not None and most.points > THROUGH * sure and most.points > 1e-9 else []
-        if not asked and sure < 1e-9:
+        if not asked and sure - _of_headings(found, held, out) < 1e-9:
             asked = [n for n in sorted(held, key=lambda n: -n.points) if n.points >= LONG][:1]
         out |= {id(n) for n in held if n not in asked}
     for node in nodes[1:]:

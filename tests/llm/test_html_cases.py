@@ -76,3 +76,20 @@ def test_scores_equal_a_plain_count():
         got = sorted(round(n.score, 6) for n in scored["nodes"] if n.tag in ("#", "div") and n.score)
         assert got == sorted(round(x, 6) for x in want.values() if x)
         assert sorted(text.split("\n")) == sorted(w for _, w in paths)
+
+
+LINE = "The committee met on Monday, heard the report of the engineers, and put the vote off until the spring, when the figures of the survey are due. "
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<article><h1>Notice</h1><div class='notice'>{LINE * 4}</div></article>", f"Notice\n{(LINE * 4).strip()}"),
+        (f"<div class=content><h1>News</h1><p>{LINE * 2}</p></div><div class='cookieConsent'>{LINE}</div>", f"News\n{(LINE * 2).strip()}"),
+        (f"<article><p>{LINE}</p><div class='adBox'>{LINE}</div><div id='readerComments'><p>{LINE * 3}</p></div></article>", LINE.strip()),
+        (f"<article><p>{LINE}</p><div class='ADBox'>{LINE}</div><div class='userBio'>{LINE}</div></article>", f"{LINE.strip()}\n{LINE.strip()}"),
+        (f"<article><h2>Top</h2><div class='notice'>{LINE * 4}</div><p>{LINE}</p></article>", f"Top\n{LINE.strip()}"),
+    ],
+)
+def test_names_in_camel_case_and_pages_of_a_heading_and_a_bad_name(page, text):
+    assert html_text.main_text(page) == text
