@@ -9,7 +9,7 @@ A text's score for a language is the mean over its words.
 All work on letters is done for a batch of whole texts at once in numpy arrays.
 
 The fit reads a bounded sample: at most ``per_language`` texts (``PER_LANGUAGE`` by default) of each of at most ``languages`` languages
-(``LANGUAGES``: those of most different texts, ties by code point), chosen by a hash of text and language, each text once, whole, until the sample has
+(``LANGUAGES``; more are an error, as the driver holds weights of each), chosen by a hash of text and language, each text once, whole, until the sample has
 ``MAX_CHARS`` characters. The table is read twice for it, once to count the different texts of each language by their hashes, so copies change
 neither how many nor which texts are chosen. Only text and language are learned from; prediction reads the text alone. A text has one
 label, so by themselves the chosen texts would teach that languages never change: the chains learned from are the texts, and besides them
@@ -36,7 +36,7 @@ from .store import bounded_batches, table
 
 WIDTH = 1 << 16
 PER_LANGUAGE = 300
-LANGUAGES = 200
+LANGUAGES = 400
 MAX_CHARS = 200_000_000
 SWITCH = 12
 UNKNOWN = "und"
@@ -180,13 +180,16 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: i
     rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null and t <> ''")
     rows = rows.withColumn("h", F.xxhash64("t", "l"))
     counts = rows.select("l", "h").distinct().groupBy("l").agg(F.count("*").alias("n"))  # of texts, not of their copies
-    counts = counts.orderBy(F.col("n").desc(), "l").limit(languages)
+    if (found := counts.count()) > languages:
+        raise ValueError(f"{found} languages to learn, but at most {languages}: pass a greater number if the driver holds the weights")
     share = F.least(F.lit(1.0), F.lit(3.0 * per_language) / F.col("n"))
     some = rows.join(F.broadcast(counts), "l").withColumn("h", F.pmod("h", F.lit(1 << 30)))  # a row for each language
-    some = some.where(F.col("h") < share * (1 << 30)).select("l", "h", "t").distinct()
+    some = some.where(F.col("h") < share * (1 << 30)).select("l", "h", "t").distinct().withColumn("chars", F.length("t"))
     rank = F.row_number().over(W.partitionBy("l").orderBy("h", "t"))
-    chosen = some.withColumn("rank", rank).where(F.col("rank") <= per_language).withColumn("upto", F.sum(F.length("t")).over(W.orderBy("rank", "l")))
-    got = sorted((r["l"], r["t"]) for r in chosen.where((F.col("upto") <= MAX_CHARS) | (F.col("rank") == 1)).select("l", "t").collect())
+    chosen = some.withColumn("rank", rank).where(F.col("rank") <= per_language)
+    upto = F.sum("chars").over(W.orderBy("rank", "l"))  # over ranks, languages and lengths; texts are read after the cut
+    within = chosen.select("l", "rank", "chars").withColumn("upto", upto).where((F.col("upto") <= MAX_CHARS) | (F.col("rank") == 1)).select("l", "rank")
+    got = sorted((r["l"], r["t"]) for r in chosen.join(within, ["l", "rank"]).select("l", "t").collect())
     if not got:
         return Model((), np.zeros((WIDTH, 0), dtype=np.float32), np.zeros((0, 0)))
     names = tuple(sorted({r[0] for r in got}))
