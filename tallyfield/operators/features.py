@@ -116,3 +116,52 @@ def scale_statistics(rows: DataFrame, features: list[str]) -> DataFrame:
     return long.groupBy(F.col("_f.feature").alias("feature")).agg(F.avg("_f.x").alias("mean"), F.stddev_samp("_f.x").alias("std"))
 
 
+
+
+def runs(rows: DataFrame, keys: list[str], order: list[str], by: str, into: str) -> DataFrame:
+    """``into``: the values of ``by`` in order, equal neighbours as one with their number, such as ``A x3 > B``; and the last value, and whether it differs from
+    the one before. Rows without a value are passed over. Runs are counted first, so a text is joined from runs, not from rows."""
+    from .sequence import islands
+
+    numbered = islands(rows.where(F.col(by).isNotNull()), keys, order, by)
+    at = F.struct(*order)
+    run = numbered.groupBy(*keys, "island").agg(F.first(by).alias("_v"), F.count("*").alias("_n"), F.max(at).alias("_at"))
+    text = F.concat(F.col("_v").cast("string"), F.when(F.col("_n") > 1, F.concat(F.lit(" x"), F.col("_n").cast("string"))).otherwise(""))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("island", text.alias("t")))), lambda s: s["t"]), " > ")
+    last = F.max(F.struct("_at", "_v", "_n", "island"))
+    out = run.groupBy(*keys).agg(joined.alias(into), last.alias("_last"))
+    return out.select(*keys, into, F.col("_last._v").alias(f"last_{by}"), ((F.col("_last._n") == 1) & (F.col("_last.island") > 1)).cast("int").alias(f"{by}_changed"))
+
+
+def season_report(obs: DataFrame, box: DataFrame, starters: DataFrame, ratings: DataFrame) -> DataFrame:
+    """One row for each (season, team): record, points and margins by place, the last margins, strength of the opponents met by ``ratings`` (season, team, r), shares
+    of the ``box`` (game_id, team, and the sums third_conv, third_att, red_trips, red_rate, turnovers, fg_made, fg_att) weighted by their attempts, the opponents'
+    turnovers, and the line of the latest starter of ``starters`` (season, team, game_id, kickoff, starter, attempts, gain). Every part is an aggregate by
+    season and team before it is joined; a game without a box or starter counts where it can."""
+    keys, order = ["season", "team"], ["kickoff", "game_id"]
+    o = obs.select("season", F.col("off_id").alias("team"), F.col("def_id").alias("other"), *order, "loc", "y", "margin")
+    margin, place = F.col("margin"), F.col("loc")
+    opponents = ratings.select("season", F.col("team").alias("other"), "r")
+    recent = lambda n: F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.when(F.col("_back") <= 5, F.struct("_back", "margin"))), True), 1, n), lambda s: F.floor(s["margin"]).cast("string")), ",")
+    back = F.row_number().over(W.partitionBy(*keys).orderBy(*(F.desc(c) for c in order)))
+    results = o.withColumn("_back", back).join(opponents, ["season", "other"], "left").groupBy(*keys).agg(
+        F.count("*").alias("games"), F.count_if(margin > 0).alias("wins"), F.count_if(margin < 0).alias("losses"), F.avg("y").alias("ppg"), F.avg(F.col("y") - margin).alias("opp_ppg"), F.avg(margin).alias("avg_margin"),
+        F.avg(F.when(place == 1, margin)).alias("home_margin"), F.count_if(place == 1).alias("n_home"), F.avg(F.when(place == -1, margin)).alias("away_margin"), F.count_if(place == -1).alias("n_away"),
+        recent(3).alias("last3"), recent(5).alias("last5"), F.avg("r").alias("sos"),
+    )
+    mine = o.select(*keys, "game_id", "other").join(box, ["game_id", "team"], "left")
+    theirs = box.select("game_id", F.col("team").alias("other"), F.col("turnovers").alias("taken"))
+    share = lambda a, b: F.when(F.sum(b) > 0, F.sum(a) / F.sum(b))
+    sums = mine.join(theirs, ["game_id", "other"], "left").groupBy(*keys).agg(
+        share("third_conv", "third_att").alias("third_down"), share(F.col("red_rate") * F.col("red_trips"), F.when(F.col("red_rate").isNotNull(), F.col("red_trips"))).alias("red_zone"), F.avg("turnovers").alias("turnovers_pg"),
+        F.avg("taken").alias("takeaways_pg"), (F.avg("taken") - F.avg("turnovers")).alias("turnover_margin"), F.sum("fg_made").alias("fg_made"), F.sum("fg_att").alias("fg_att"),
+    )
+    known = starters.where("starter IS NOT NULL")
+    sequence = runs(known, keys, order, "starter", "starter_sequence")
+    line = known.join(sequence.select(*keys, "last_starter"), keys).groupBy(*keys).agg(
+        F.count_if(F.col("starter") == F.col("last_starter")).alias("starts"), F.sum(F.when(F.col("starter") == F.col("last_starter"), F.col("attempts"))).alias("starter_attempts"),
+        F.sum(F.when(F.col("starter") == F.col("last_starter"), F.col("gain"))).alias("_gain"), F.sum("attempts").alias("_all"),
+    )
+    mine = F.col("starter_attempts")
+    line = line.select(*keys, "starts", "starter_attempts", F.when(mine > 0, F.col("_gain") / mine).alias("starter_gain"), F.when(F.col("_all") > 0, mine / F.col("_all")).alias("starter_share"))
+    return results.join(sums, keys, "left").join(sequence, keys, "left").join(line, keys, "left")

@@ -412,6 +412,40 @@ def agg_21(t):
     return rounded(season_summary(t["obs"]))
 
 
+#: Box lines of a side of a contest, from its order lines; the starter is whom most of its lines come from.
+_BOX = """SELECT l_orderkey AS game_id, l_suppkey AS team, sum(CASE WHEN l_linenumber % 3 = 0 AND l_quantity > 25 THEN 1 ELSE 0 END) AS third_conv, sum(CASE WHEN l_linenumber % 3 = 0 THEN 1 ELSE 0 END) AS third_att,
+  sum(CASE WHEN l_linenumber <= 2 THEN 1 ELSE 0 END) AS red_trips, avg(CASE WHEN l_linenumber <= 2 THEN (CASE WHEN l_discount >= 5e-2 THEN 1e0 ELSE 0e0 END) END) AS red_rate,
+  sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS turnovers, sum(CASE WHEN l_linestatus = 'F' AND l_tax < 4e-2 THEN 1 ELSE 0 END) AS fg_made, sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS fg_att
+  FROM lineitem GROUP BY l_orderkey, l_suppkey"""
+_STARTS = """SELECT o.season, o.off_id AS team, o.game_id, o.kickoff, q.starter, q.attempts, q.gain FROM obs o JOIN (SELECT l_orderkey AS game_id, l_suppkey AS team,
+  min(CASE WHEN l_quantity > 10 THEN l_partkey % 3 END) AS starter, count(*) AS attempts, sum(l_quantity) AS gain FROM lineitem GROUP BY l_orderkey, l_suppkey) q ON q.game_id = o.game_id AND q.team = o.off_id"""
+
+
+@query("agg_21_season_report", f"""WITH bx AS ({_BOX}), st AS (SELECT * FROM ({_STARTS}) WHERE starter IS NOT NULL), rt AS (SELECT season, off_id AS team, avg(margin) AS r FROM obs GROUP BY 1, 2),
+o AS (SELECT season, off_id AS team, def_id AS other, kickoff, game_id, loc, y, margin, row_number() OVER (PARTITION BY season, off_id ORDER BY kickoff DESC, game_id DESC) AS back FROM obs),
+a AS (SELECT o.season, o.team, count(*) AS games, count(*) FILTER (margin > 0) AS wins, count(*) FILTER (margin < 0) AS losses, avg(y) AS ppg, avg(y - margin) AS opp_ppg, avg(margin) AS avg_margin, avg(margin) FILTER (loc = 1) AS home_margin,
+  count(*) FILTER (loc = 1) AS n_home, avg(margin) FILTER (loc = -1) AS away_margin, count(*) FILTER (loc = -1) AS n_away, string_agg(CAST(CAST(floor(margin) AS BIGINT) AS VARCHAR), ',' ORDER BY back) FILTER (back <= 3) AS last3,
+  string_agg(CAST(CAST(floor(margin) AS BIGINT) AS VARCHAR), ',' ORDER BY back) FILTER (back <= 5) AS last5, avg(rt.r) AS sos FROM o LEFT JOIN rt ON rt.season = o.season AND rt.team = o.other GROUP BY 1, 2),
+b AS (SELECT o.season, o.team, sum(m.third_conv) / nullif(sum(m.third_att), 0) AS third_down, sum(m.red_rate * m.red_trips) / nullif(sum(m.red_trips) FILTER (m.red_rate IS NOT NULL), 0) AS red_zone, avg(m.turnovers) AS turnovers_pg,
+  avg(v.turnovers) AS takeaways_pg, avg(v.turnovers) - avg(m.turnovers) AS turnover_margin, sum(m.fg_made) AS fg_made, sum(m.fg_att) AS fg_att
+  FROM o LEFT JOIN bx m ON m.game_id = o.game_id AND m.team = o.team LEFT JOIN bx v ON v.game_id = o.game_id AND v.team = o.other GROUP BY 1, 2),
+f AS (SELECT *, CASE WHEN starter IS DISTINCT FROM lag(starter) OVER w THEN 1 ELSE 0 END AS fresh, lag(starter) OVER w AS before FROM st WINDOW w AS (PARTITION BY season, team ORDER BY kickoff, game_id)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY season, team ORDER BY kickoff, game_id) AS island FROM f), h AS (SELECT season, team, island, any_value(starter) AS s, count(*) AS n FROM g GROUP BY 1, 2, 3),
+c AS (SELECT season, team, string_agg(CAST(s AS VARCHAR) || CASE WHEN n > 1 THEN ' x' || n ELSE '' END, ' > ' ORDER BY island) AS starter_sequence FROM h GROUP BY 1, 2),
+l AS (SELECT season, team, arg_max(starter, (kickoff, game_id)) AS last_starter, arg_max(CASE WHEN before IS NOT NULL AND before <> starter THEN 1 ELSE 0 END, (kickoff, game_id)) AS starter_changed FROM f GROUP BY 1, 2),
+d AS (SELECT season, team, count(*) FILTER (starter = last_starter) AS starts, sum(attempts) FILTER (starter = last_starter) AS starter_attempts, sum(gain) FILTER (starter = last_starter) / sum(attempts) FILTER (starter = last_starter) AS starter_gain,
+  sum(attempts) FILTER (starter = last_starter) / sum(attempts) AS starter_share FROM st JOIN l USING (season, team) GROUP BY 1, 2)
+SELECT season, team, games, wins, losses, round(ppg, 6) AS ppg, round(opp_ppg, 6) AS opp_ppg, round(avg_margin, 6) AS avg_margin, round(home_margin, 6) AS home_margin, n_home, round(away_margin, 6) AS away_margin, n_away, last3, last5, round(sos, 6) AS sos,
+  round(third_down, 6) AS third_down, round(red_zone, 6) AS red_zone, round(turnovers_pg, 6) AS turnovers_pg, round(takeaways_pg, 6) AS takeaways_pg, round(turnover_margin, 6) AS turnover_margin, CAST(fg_made AS BIGINT) AS fg_made, CAST(fg_att AS BIGINT) AS fg_att,
+  starter_sequence, last_starter, starter_changed, starts, CAST(starter_attempts AS BIGINT) AS starter_attempts, round(starter_gain, 6) AS starter_gain, round(starter_share, 6) AS starter_share
+FROM a JOIN b USING (season, team) LEFT JOIN c USING (season, team) LEFT JOIN l USING (season, team) LEFT JOIN d USING (season, team)""")
+def agg_21_report(t):
+    from ..operators.features import season_report
+
+    rated = t["obs"].groupBy("season", F.col("off_id").alias("team")).agg(F.avg("margin").alias("r"))
+    return rounded(season_report(t["obs"], t.sql(_BOX), t.sql(_STARTS), rated))
+
+
 @query("agg_22_crosstab", "SELECT season, count(*) FILTER (neutral = 0) AS home, count(*) FILTER (neutral = 1) AS neutral FROM contest GROUP BY 1")
 def agg_22(t):
     return t["contest"].groupBy("season").pivot("neutral", [0, 1]).count().fillna(0).toDF("season", "home", "neutral")

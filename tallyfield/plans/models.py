@@ -169,7 +169,8 @@ def findings(g, features, drifting="season"):
     r = G.adjusted(G.residual_correlation(g, features), "p_margin", tie="feature").select(F.lit("residual").alias("kind"), F.col("feature").alias("subject"), (F.col("q") < 0.1).alias("flagged"))
     d = G.drift(g.withColumn("fold", F.col(drifting))).select(F.lit("drift").alias("kind"), F.lit("newest fold").alias("subject"), (F.col("z") > 2.5).alias("flagged"))
     c = G.expected_calibration_error(G.calibration_table(g, []), []).select(F.lit("calibration").alias("kind"), F.lit("ece").alias("subject"), (F.col("ece") > 0.02).alias("flagged"))
-    return s.unionByName(r).unionByName(d).unionByName(c)
+    m = G.high_confidence(g, [], POLICY.high_conf).select(F.lit("calibration").alias("kind"), F.lit("confident misses").alias("subject"), (F.col("z") > 2).alias("flagged"))
+    return s.unionByName(r).unionByName(d).unionByName(c).unionByName(m)
 
 
 @query("ml_20_proposals")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..functions import scalars as S
 from ..operators import availability as A
 from ..operators import feature_store as P
 from ..operators import features as X
@@ -73,6 +74,54 @@ def str_3_store(t):
     return rounded(store.read().select("game_id", *HISTORY, "visible"))
 
 
+LEARN_FROM = 300
+
+
+@query("str_1_whole_cycle", f"""WITH RECURSIVE s AS (SELECT season, count(*) AS n, row_number() OVER (ORDER BY season) AS i FROM contest GROUP BY 1),
+r(i, held, due) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), false UNION ALL SELECT s.i, CASE WHEN r.due THEN 0 ELSE r.held END + s.n, CASE WHEN r.due THEN 0 ELSE r.held END + s.n >= {LEARN_FROM} FROM r JOIN s ON s.i = r.i + 1),
+e AS (SELECT season, count(*) AS evaluated, avg(-(home_win * ln(q) + (1 - home_win) * ln(1 - q))) AS log_loss FROM (SELECT *, greatest(least(p_home, 0.9999), 0.0001) AS q FROM graded) GROUP BY 1),
+m AS (SELECT s.season, regr_slope(g.margin, g.pred_margin) AS slope, regr_intercept(g.margin, g.pred_margin) AS intercept FROM s JOIN r ON r.i = s.i AND r.due JOIN graded g ON g.season <= s.season GROUP BY 1)
+SELECT season, s.n AS results, evaluated, round(log_loss, 6) AS log_loss, round(slope, 6) AS slope, round(intercept, 6) AS intercept FROM s JOIN e USING (season) LEFT JOIN m USING (season)""")
+def str_1_cycle(t):
+    """Results land season by season: each batch is collected, the predictions of its contests are evaluated, and once enough results have come since
+    the last time, the scoring member is fitted on all evaluations so far. One row for each season, from the three tables."""
+    games = checkpointed(t["contest"].select("game_id", "season", "kickoff", (F.col("home_score") - F.col("away_score")).alias("margin")))
+    asked = checkpointed(t["prediction"].select("pred_id", "game_id", "p_home", "pred_margin"))
+    tables = update_cycle(J.landed(t.spark, J.land_in_parts(games, "season", "results"), games.schema, 1), asked, fresh(t.spark, "cycle"))
+    results, evaluations, models = (x.read() for x in tables)
+    graded = evaluations.groupBy("season").agg(F.count("*").alias("evaluated"), F.avg("logloss").alias("log_loss"))
+    every = results.groupBy("season").agg(F.count("*").alias("results")).join(graded, "season")
+    return rounded(every.join(models.select("season", "slope", "intercept"), "season", "left"))
+
+
+def update_cycle(stream, asked, path: str, least: int = LEARN_FROM) -> tuple[PartedTable, PartedTable, PartedTable]:
+    """The tables of results, evaluations and models under ``path`` after all that has landed in ``stream`` (game_id, season, kickoff, margin)."""
+    spark = stream.sparkSession
+    table = lambda name, schema: PartedTable(spark, f"{path}/{name}", spark.createDataFrame([], schema).schema, "season")
+    results = PartedTable(spark, f"{path}/results", stream.schema, "season")
+    evaluations = table("evaluations", "pred_id long, game_id long, season int, p_home double, pred_margin double, margin double, home_win int, logloss double")
+    models = table("models", "season int, games long, slope double, intercept double, sigma double")
+
+    def collect(batch, n):
+        once = batch.dropDuplicates(["game_id"])
+        results.append(n, once.join(results.read(results.parts_of(once), n).select("game_id"), "game_id", "left_anti"))
+
+    def evaluate(batch, n):
+        new = results.read(results.parts_of(batch)).join(batch.select("game_id").distinct(), "game_id", "left_semi")
+        graded = asked.join(new, "game_id").withColumn("home_win", (F.col("margin") > 0).cast("int"))
+        known = evaluations.read(results.parts_of(batch), n).select("pred_id")
+        evaluations.append(n, graded.withColumn("logloss", S.log_loss(F.col("p_home"), F.col("home_win"))).join(known, "pred_id", "left_anti"))
+
+    def learn(batch, n):
+        games, last = results.read().count(), models.read(version=n).agg(F.max("games")).first()[0] or 0
+        if games - last >= least:
+            season = max(results.parts_of(batch))
+            models.append(n, M.scoring_member(evaluations.read()).select(F.lit(season).cast("int").alias("season"), F.lit(games).cast("long").alias("games"), "*"))
+
+    J.each_once(stream, [(results, collect), (evaluations, evaluate), (models, learn)], f"{path}/state")
+    return results, evaluations, models
+
+
 _DIFFERS = " UNION ALL ".join(f"SELECT 'feature' AS kind, '{f}' AS feature FROM o JOIN n USING (game_id) WHERE abs(o.{f} - n.{f}) > 1e-6 * greatest(1, abs(o.{f}))" for f in HISTORY)
 
 

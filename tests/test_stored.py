@@ -150,3 +150,21 @@ def test_pending_rows_come_out_after_a_restart(spark):
         joined = J.matched(*(J.landed(spark, landing[s], schemas[s], 1) for s in "lr"), "k", "asked", "found", "1 DAY", how="left")
         seen.append(sorted((r.id, r.r_k) for r in J.run(joined, out, state).collect()))
     assert (1, 10) in seen[0] and seen[-1] == [(1, 10), (2, None), (3, 30), (4, None), (5, None)]
+
+
+def test_the_cycle_goes_on_after_a_stop_and_takes_each_result_once(spark):
+    from tallyfield.plans.stored import update_cycle
+
+    landing, path = fresh(spark, "landing"), fresh(spark, "cycle")
+    schema = "game_id long, season int, kickoff timestamp_ntz, margin double"
+    asked = spark.createDataFrame([(2 * i + k, i, 0.5 + 0.01 * (i % 40), float(i % 7 + k)) for i in range(60) for k in (0, 1)], "pred_id long, game_id long, p_home double, pred_margin double")
+    game = lambda i: (i, 2000 + i // 20, D(2000 + i // 20, 1, 1), float(i % 7 - 3))
+    for batch in ([game(i) for i in range(20)], [game(i) for i in range(15, 40)], [game(3)], [game(i) for i in range(40, 60)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(landing)
+        for _ in range(2):  # a run without anything new changes nothing
+            results, evaluations, models = update_cycle(J.landed(spark, landing, schema, 1), asked, path, least=35)
+    assert rows(results.read().select("game_id")) == [(i,) for i in sorted(range(60), key=lambda i: str((i,)))]
+    assert evaluations.read().count() == evaluations.read().select("pred_id").distinct().count() == 120
+    assert [(r.season, r.games) for r in models.read().collect()] == [(2001, 40)]  # 20 more aren't enough to learn again
+    seen = evaluations.read().where("season < 2002").agg(F.regr_slope("margin", "pred_margin")).first()[0]
+    assert models.read().first().slope == pytest.approx(seen)
