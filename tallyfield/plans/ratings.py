@@ -11,7 +11,8 @@ from ..operators import availability as A
 from ..operators import features as X
 from ..operators import ratings as R
 from ..operators import sequence as Q
-from ..sources.shared import checkpointed
+from ..sources.parted import PartedTable
+from ..sources.shared import checkpointed, fresh
 from .grading import rounded
 from .registry import query
 
@@ -69,18 +70,24 @@ def rat_5_sweeps(t):
     return rounded(R.ridge_by_sweeps(t["obs"], ["season"], 8.0), 3)
 
 
+def _memo(t):
+    """An empty memo of solutions."""
+    return PartedTable(t.spark, fresh(t.spark, "finals"), t.spark.createDataFrame([], R.FINALS).schema, "season")
+
+
+def _divisions(t):
+    """The division of each side in each season that it plays in, from this season or one of the two before."""
+    c = t["contest"]
+    sides = c.select("season", F.col("home_id").alias("team")).unionByName(c.select("season", F.col("away_id").alias("team"))).distinct()
+    return A.division_of(sides, A.divisions(c))
+
+
 @query("rat_6_priors_by_season")
 def rat_6(t):
-    """Finals of a season, shrunk to the division's mean, are the priors of the next. Seasons are few; each is one job."""
-    obs = t["obs"].select("season", "off_id", "def_id", "loc", "y")
-    teams = obs.select(F.col("off_id").alias("team")).distinct().withColumn("division", F.col("team") % 3)
-    out, prior = None, None
-    for season in sorted(r[0] for r in obs.select("season").distinct().collect()):
-        final = checkpointed(R.ridge_per_group(obs.where(F.col("season") == season), ["season"], 8.0, prior))
-        out = final if out is None else out.unionByName(final)
-        sides = [R.shrunk_priors(final.select("team", F.col(c).alias("r")), teams, 0.6).withColumnRenamed("prior", f"prior_{c}") for c in ("o", "d")]
-        prior = sides[0].join(sides[1], "team").withColumn("season", F.lit(season + 1))
-    return rounded(out)
+    """Ratings by points at the end of each season, from priors that are the finals before, shrunk to the mean of the side's division."""
+    obs = checkpointed(t["obs"].withColumn("metric", F.lit("points")))
+    ends = obs.groupBy("season").agg(F.max("avail").alias("cutoff"))
+    return rounded(R.ratings_at(obs, ends, _divisions(t), _memo(t)).drop("cutoff", "metric"))
 
 
 def _metrics(t):
@@ -94,6 +101,21 @@ def rat_7(t):
     return rounded(R.ridge_per_group(_metrics(t), ["metric", "season"], 8.0))
 
 
+def _all_metrics(t):
+    """Points and the statistics of the entities, as rows of a metric, when they become available."""
+    o = t["obs"].select("season", "avail", "game_id", "off_id", "def_id", "loc", "y")
+    stats = _metrics(t).join(o.select("game_id", "off_id", "avail"), ["game_id", "off_id"])
+    points = o.withColumn("metric", F.lit("points"))
+    return points.unionByName(stats.select(*points.columns))
+
+
+@query("rat_7_ratings_at_cutoffs")
+def rat_7_cutoffs(t):
+    """Ratings of all metrics at the beginning of each month in which a season is played."""
+    cutoffs = t["contest"].select("season", F.date_trunc("month", "kickoff").cast("timestamp_ntz").alias("cutoff")).distinct()
+    return rounded(R.ratings_at(checkpointed(_all_metrics(t)), cutoffs, _divisions(t), _memo(t)))
+
+
 @query("rat_8_weekly_table")
 def rat_8(t):
     """Ratings of each metric before each week of a season, from what was played in its earlier weeks."""
