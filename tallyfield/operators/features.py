@@ -165,3 +165,37 @@ def season_report(obs: DataFrame, box: DataFrame, starters: DataFrame, ratings:
     mine = F.col("starter_attempts")
     line = line.select(*keys, "starts", "starter_attempts", F.when(mine > 0, F.col("_gain") / mine).alias("starter_gain"), F.when(F.col("_all") > 0, mine / F.col("_all")).alias("starter_share"))
     return results.join(sums, keys, "left").join(sequence, keys, "left").join(line, keys, "left")
+
+
+def unit_ratings(contests: DataFrame, ratings: DataFrame, metrics: list[str], environment: list[str]) -> DataFrame:
+    """game_id and, of each metric in ``ratings`` (season, team, metric, o, d), the ratings of both sides' units, the matchup of their differences, and for
+    ``environment`` what each side's offence meets: its own rating and the other's defence. A side without ratings has nulls."""
+    wide = ratings.groupBy("season", "team").pivot("metric", metrics).agg(F.first("o").alias("o"), F.first("d").alias("d"))
+    wide = wide.select("season", "team", *(F.col(f"{m}_{u}").alias(f"{u}_{m}") for m in metrics for u in "od"))
+    both = both_sides(contests, wide, ["season"], [f"{u}_{m}" for m in metrics for u in "od"])
+    units = [f"{u}_{m}_{s}" for m in metrics for u in "od" for s in ("home", "away")]
+    against = [(F.col(f"o_{m}_{a}") + F.col(f"d_{m}_{b}")).alias(f"env_{m}_{a}") for m in environment for a, b in (("home", "away"), ("away", "home"))]
+    return both.select("game_id", *units, *matchups(metrics), *against)
+
+
+def injury_counts(reports: DataFrame, key_positions: tuple[str, ...]) -> DataFrame:
+    """game_id, team, how many players are out or doubtful, and how many of these at a key position, from ``reports`` (game_id, team, player, pos, status)."""
+    missing = reports.where(F.col("status").isin("Out", "Doubtful"))
+    return missing.groupBy("game_id", "team").agg(F.count("*").alias("out"), F.count_if(F.col("pos").isin(*key_positions)).alias("key_out"))
+
+
+def all_risks(picks: DataFrame, edges_of: DataFrame, starters: DataFrame, injuries: DataFrame, many: int = 4) -> DataFrame:
+    """game_id and its flags in order, from ``picks`` (game_id, home_id, away_id, split, early), the signed edges (game_id, feature, z, k, favours_pick), starters (game_id, team,
+    changed) and injuries (game_id, team, out, key_out): members that split, the strongest edge against the pick, changed starters, an early season, key players and
+    ``many`` players out, and where there is none of these the variance of a single contest."""
+    counter = edges_of.where("NOT favours_pick").groupBy("game_id").agg(F.min_by("feature", "k").alias("counter"))
+    rows = picks.join(counter, "game_id", "left")
+    for s in ("home", "away"):
+        rows = rows.join(starters.select("game_id", F.col("team").alias(f"{s}_id"), F.col("changed").alias(f"changed_{s}")), ["game_id", f"{s}_id"], "left")
+        rows = rows.join(injuries.select("game_id", F.col("team").alias(f"{s}_id"), F.col("out").alias(f"out_{s}"), F.col("key_out").alias(f"key_{s}")), ["game_id", f"{s}_id"], "left")
+    flag = lambda c, text: F.when(F.coalesce(c, F.lit(False)), text)
+    each = [flag(F.col("split"), F.lit("members split")), F.when(F.col("counter").isNotNull(), F.concat(F.lit("counter "), "counter"))]
+    each += [flag(F.col(f"changed_{s}") == 1, F.lit(f"starter changed {s}")) for s in ("home", "away")] + [flag(F.col("early") == 1, F.lit("early season"))]
+    each += [flag(c, text) for s in ("home", "away") for c, text in ((F.col(f"key_{s}") > 0, F.lit(f"key player out {s}")), (F.col(f"out_{s}") >= many, F.concat(F.col(f"out_{s}").cast("string"), F.lit(f" players out {s}"))))]
+    found = F.array_compact(F.array(*each))
+    return rows.select("game_id", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("single contest"))).alias("flags"))

@@ -148,6 +148,27 @@ def fea_2(t):
     return rounded(_sided(t).withColumnsRenamed(names).select("game_id", *X.matchups(["y"])))
 
 
+_METRICS = ("disc_rate", "points", "price_pp", "return_rate", "tax_f")
+_MEAN_RATINGS = """lg AS (SELECT o.season, o.off_id, o.def_id, u.metric, u.v FROM obs o JOIN (SELECT game_id, team_id, 'price_pp' AS metric, price_pp AS v FROM entity_stats UNION ALL SELECT game_id, team_id, 'disc_rate', disc_rate FROM entity_stats
+  UNION ALL SELECT game_id, team_id, 'return_rate', return_rate FROM entity_stats UNION ALL SELECT game_id, team_id, 'tax_f', tax_f FROM entity_stats) u ON u.game_id = o.game_id AND u.team_id = o.off_id
+  UNION ALL SELECT season, off_id, def_id, 'points', y FROM obs),
+ro AS (SELECT season, off_id AS team, metric, avg(v) AS o FROM lg GROUP BY 1, 2, 3), rd AS (SELECT season, def_id AS team, metric, avg(v) AS d FROM lg GROUP BY 1, 2, 3), rr AS (SELECT season, team, metric, o, d FROM ro JOIN rd USING (season, team, metric)),
+wd AS (SELECT season, team, """ + ", ".join(f"max({u}) FILTER (metric = '{m}') AS {u}_{m}" for m in _METRICS for u in "od") + " FROM rr GROUP BY 1, 2)"
+_UNITS = ", ".join(f"round({k}.{u}_{m}, 6) AS {u}_{m}_{s}" for m in _METRICS for u in "od" for k, s in (("h", "home"), ("v", "away")))
+_MX = ", ".join(f"round((h.o_{m} + v.d_{m}) - (v.o_{m} + h.d_{m}), 6) AS mx_{m}" for m in _METRICS)
+_ENV = ", ".join(f"round({a}.o_{m} + {b}.d_{m}, 6) AS env_{m}_{s}" for m in ("price_pp", "return_rate") for a, b, s in (("h", "v", "home"), ("v", "h", "away")))
+
+
+@query("fea_2_unit_ratings", f"WITH {_MEAN_RATINGS} SELECT c.game_id, {_UNITS}, {_MX}, {_ENV} FROM contest c LEFT JOIN wd h ON h.season = c.season AND h.team = c.home_id LEFT JOIN wd v ON v.season = c.season AND v.team = c.away_id")
+def fea_2_units(t):
+    """Units of both sides by the season's means of all metrics, their matchups, and the environment of two metrics."""
+    y = t["obs"].select("season", "off_id", "def_id", F.lit("points").alias("metric"), "y")
+    every = y.unionByName(_metrics(t).select(*y.columns))
+    side = lambda id, into: every.groupBy("season", F.col(id).alias("team"), "metric").agg(F.avg("y").alias(into))
+    rated = side("off_id", "o").join(side("def_id", "d"), ["season", "team", "metric"])
+    return rounded(X.unit_ratings(t["contest"], rated, list(_METRICS), ["price_pp", "return_rate"]))
+
+
 @query("fea_3_form_and_rest", """WITH f AS (SELECT game_id, off_id AS team, avg(margin) OVER (PARTITION BY off_id, season ORDER BY kickoff, game_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS form3,
 count(*) OVER (PARTITION BY off_id, season ORDER BY kickoff, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM obs)
 SELECT c.game_id, round(coalesce(h.form3, 0) - coalesce(a.form3, 0), 6) AS form_diff, CAST(h.prior + a.prior < 4 AS INTEGER) AS early FROM contest c JOIN f h ON h.game_id = c.game_id AND h.team = c.home_id JOIN f a ON a.game_id = c.game_id AND a.team = c.away_id""")
@@ -215,6 +236,32 @@ def fea_8(t):
     return _sided(t).select("game_id", F.array_join(flags, ",").alias("flags"))
 
 
+#: Reports of players: each order line of a side is one, out or doubtful by its flag.
+_REPORTS = "SELECT l_orderkey AS game_id, l_suppkey AS team, l_linenumber AS player, CASE WHEN l_partkey % 4 = 0 THEN 'QB' ELSE 'WR' END AS pos, CASE l_returnflag WHEN 'R' THEN 'Out' WHEN 'A' THEN 'Doubtful' ELSE 'Active' END AS status FROM lineitem"
+_CHANGES = "SELECT game_id, off_id AS team, coalesce(CAST(def_id % 3 <> lag(def_id % 3) OVER (PARTITION BY off_id, season ORDER BY kickoff, game_id) AS INTEGER), 0) AS changed, row_number() OVER (PARTITION BY off_id, season ORDER BY kickoff, game_id) - 1 AS prior FROM obs"
+_VOTES = "SELECT game_id, min(CAST(p_home >= 5e-1 AS INTEGER)) <> max(CAST(p_home >= 5e-1 AS INTEGER)) AS split, max(CASE WHEN model_version = 'v1.0' THEN p_home END) AS p FROM prediction GROUP BY 1"
+
+
+@query("fea_8_all_risks", f"""WITH {_SIDED}, l AS ({_EDGE}), vt AS ({_VOTES}), ch AS ({_CHANGES}), ij AS (SELECT game_id, team, count(*) AS out, count(*) FILTER (pos = 'QB') AS key_out FROM ({_REPORTS}) WHERE status IN ('Out', 'Doubtful') GROUP BY 1, 2),
+k AS (SELECT l.game_id, feature, (z >= 0) = (p >= 5e-1) AS favours, row_number() OVER (PARTITION BY l.game_id ORDER BY round(abs(z), 9) DESC, feature) AS k FROM l JOIN vt USING (game_id) WHERE z IS NOT NULL),
+ct AS (SELECT game_id, arg_min(feature, k) AS counter FROM k WHERE NOT favours AND k <= 4 GROUP BY 1),
+fl AS (SELECT c.game_id, concat_ws(',', CASE WHEN vt.split THEN 'members split' END, 'counter ' || counter, CASE WHEN h.changed = 1 THEN 'starter changed home' END, CASE WHEN v.changed = 1 THEN 'starter changed away' END, CASE WHEN h.prior + v.prior < 4 THEN 'early season' END,
+  CASE WHEN hi.key_out > 0 THEN 'key player out home' END, CASE WHEN hi.out >= 2 THEN hi.out || ' players out home' END, CASE WHEN vi.key_out > 0 THEN 'key player out away' END, CASE WHEN vi.out >= 2 THEN vi.out || ' players out away' END) AS flags
+  FROM contest c LEFT JOIN vt USING (game_id) LEFT JOIN ct USING (game_id) LEFT JOIN ch h ON h.game_id = c.game_id AND h.team = c.home_id LEFT JOIN ch v ON v.game_id = c.game_id AND v.team = c.away_id
+  LEFT JOIN ij hi ON hi.game_id = c.game_id AND hi.team = c.home_id LEFT JOIN ij vi ON vi.game_id = c.game_id AND vi.team = c.away_id)
+SELECT game_id, CASE WHEN flags = '' THEN 'single contest' ELSE flags END AS flags FROM fl""")
+def fea_8_all(t):
+    """All flags of a pick. A side has few order lines, so two players out are many here."""
+    changes, votes = t.sql(_CHANGES), t.sql(_VOTES)
+    sided = _sided(t).join(votes, "game_id")
+    found = X.edges(sided, "game_id", {"o_home": 1, "d_home": -1, "o_away": -1, "d_away": 1}, "p", 4)
+    prior = lambda s: changes.select("game_id", F.col("team").alias(f"{s}_id"), F.col("prior").alias(f"prior_{s}"))
+    picks = t["contest"].join(votes, "game_id", "left").join(prior("home"), ["game_id", "home_id"]).join(prior("away"), ["game_id", "away_id"])
+    picks = picks.select("game_id", "home_id", "away_id", "split", (F.col("prior_home") + F.col("prior_away") < 4).cast("int").alias("early"))
+    risks = X.all_risks(picks, found, changes, X.injury_counts(t.sql(_REPORTS), ("QB",)), many=2)
+    return risks.select("game_id", F.array_join("flags", ",").alias("flags"))
+
+
 @query("fea_9_scale", "WITH " + _SIDED + ", l AS (" + " UNION ALL ".join(f"SELECT '{n}' AS feature, {c} AS x FROM x" for n, c in (("o_home", "o_h"), ("d_home", "d_h"), ("m_away", "m_a"))) + ") SELECT feature, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std FROM l GROUP BY 1")
 def fea_9(t):
     return rounded(X.scale_statistics(_sided(t), ["o_home", "d_home", "m_away"]))
