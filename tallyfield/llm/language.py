@@ -8,9 +8,10 @@ A text's score for a language is the mean over its words.
 
 All work on letters is done for a batch of whole texts at once in numpy arrays.
 
-The fit reads a bounded sample: at most ``per_language`` texts (``PER_LANGUAGE`` by default) of each of at most ``languages`` languages
-(``LANGUAGES``; more are an error, as the driver holds weights of each), chosen by a hash of text and language, each text once, whole, until the sample has
-``MAX_CHARS`` characters. The table is read twice for it, once to count the different texts of each language by their hashes, so copies change
+The fit reads a bounded sample: at most ``per_language`` texts (``PER_LANGUAGE`` by default) of each language, or of the
+``languages`` of most different texts (ties by code point) if a caller passes that number, chosen by a hash of text and language, each text once, whole, until the sample has
+``MAX_CHARS`` characters. Where no number is passed, more than ``LANGUAGES`` languages are an error, as the driver holds weights of each: none is left out
+unasked. The table is read twice for it, once to count the different texts of each language by their hashes, so copies change
 neither how many nor which texts are chosen. Only text and language are learned from; prediction reads the text alone. A text has one
 label, so by themselves the chosen texts would teach that languages never change: the chains learned from are the texts, and besides them
 chains of ``SWITCH`` words of one text after as many of the next, dealt round the sample, which teach the changes.
@@ -175,13 +176,15 @@ class Model:
     trans: np.ndarray
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, languages: int | None = None) -> Model:
     """Learn from ``docs``. Each language gives as many texts as ``per_language`` allows, chosen by a hash of text and language."""
     rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null and t <> ''")
     rows = rows.withColumn("h", F.xxhash64("t", "l"))
     counts = rows.select("l", "h").distinct().groupBy("l").agg(F.count("*").alias("n"))  # of texts, not of their copies
-    if (found := counts.count()) > languages:
-        raise ValueError(f"{found} languages to learn, but at most {languages}: pass a greater number if the driver holds the weights")
+    if languages is not None:
+        counts = counts.orderBy(F.col("n").desc(), "l").limit(languages)
+    elif (found := counts.count()) > LANGUAGES:
+        raise ValueError(f"{found} languages to learn, but the driver is taken to hold the weights of {LANGUAGES}: pass the number to learn")
     share = F.least(F.lit(1.0), F.lit(3.0 * per_language) / F.col("n"))
     some = rows.join(F.broadcast(counts), "l").withColumn("h", F.pmod("h", F.lit(1 << 30)))  # a row for each language
     some = some.where(F.col("h") < share * (1 << 30)).select("l", "h", "t").distinct().withColumn("chars", F.length("t"))
