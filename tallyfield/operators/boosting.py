@@ -2,7 +2,7 @@
 
 Features are cut at quantiles into at most ``BINS`` bins, and a table of rows as bytes of bins is written once. For each tree and pass, tasks
 find the gradients of their rows and the node that each row is in, and return sums for each (node, feature, bin) asked for; Spark adds
-them up, and the driver gets as many sums as there are nodes asked for, features and bins, whatever the number of rows. From these it splits the leaf of
+them up in a tree of tasks, and the driver gets as many sums as there are nodes asked for, features and bins, whatever the number of rows. From these it splits the leaf of
 the greatest gain until there are ``leaves`` of them. A pass asks for all leaves that may be split next, so a tree takes about as
 many passes as it is deep. The scores of the rows are written anew every ``REFRESH`` trees, so a pass never applies more trees than that.
 
@@ -16,12 +16,13 @@ Cases: a null or NaN feature counts as 0 (by the assembler); a single value of a
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import keyword_only
+from pyspark import RDD, StorageLevel, keyword_only
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import fresh
 
-BINS, REFRESH = 64, 20
+BINS, REFRESH, BREADTH = 64, 20, 64
 
 
 @dataclass
@@ -191,57 +192,62 @@ def cuts_of(rows: DataFrame, features: int, bins: int = BINS) -> list[list[float
     return [sorted(set(q or []))[:-1] for q in found]
 
 
+BLOCK = "rows long, id binary, y binary, weight binary, bins binary, score binary"
+
+
 def binned(rows: DataFrame, label: str, booster: Booster) -> DataFrame:
-    """(id, y, weight, bins, score), written to the shared folder: ids are given once, and what came before isn't run again."""
+    """The table of ``BLOCK``, a row for up to some thousand rows, written to the shared folder: ids are given once, and what came before isn't run again."""
     features = len(booster.cuts)
 
     def pack(batches):
         for batch in batches:
-            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, features)
-            flat = pa.array(list(map(bytes, booster.bins(x))), type=pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], names=["y", "weight", "bins"])
+            x = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, features)
+            cells = [batch.column(i).to_numpy(zero_copy_only=False).tobytes() for i in range(3)]
+            cells += [booster.bins(x).tobytes(), np.full(batch.num_rows, booster.first).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), *(pa.array([c], type=pa.binary()) for c in cells)], names=["rows", "id", "y", "weight", "bins", "score"])
 
-    packed = rows.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("y"), F.col("weight").cast("double").alias("weight"), vector_to_array("_x").alias("x"))
-    return _written(packed.mapInArrow(pack, "y double, weight double, bins binary").select(F.monotonically_increasing_id().alias("id"), "*", F.lit(booster.first).alias("score")))
+    packed = rows.where(F.col(label).isNotNull()).select(F.monotonically_increasing_id(), F.col(label).cast("double"), F.col("weight").cast("double"), vector_to_array("_x"))
+    return _written(packed.mapInArrow(pack, BLOCK))
 
 
-def _written(rows: DataFrame) -> DataFrame:
-    path = fresh(rows.sparkSession, "boosting")
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+def _written(blocks: DataFrame) -> DataFrame:
+    path = fresh(blocks.sparkSession, "boosting")
+    blocks.write.parquet(path)
+    return blocks.sparkSession.read.schema(blocks.schema).parquet(path)
 
 
-def _arrays(batch, features: int):
-    bins = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(-1, features)
-    return (*(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2)), bins, batch.column(4).to_numpy(zero_copy_only=False))
+def _arrays(row, features: int) -> tuple[np.ndarray, ...]:
+    """ids, y, weight, bins and score of a block."""
+    return (np.frombuffer(row[1], np.int64), np.frombuffer(row[2]), np.frombuffer(row[3]), np.frombuffer(row[4], np.uint8).reshape(-1, features), np.frombuffer(row[5]))
 
 
-def added_up(table: DataFrame, booster: Booster, since: int, tree: Tree, nodes: list[int], number: int, settings: Settings) -> dict[int, np.ndarray]:
-    """Sums (feature, bin, [g, h, rows]) of the rows that tree ``number`` sees in each of ``nodes``, gradients after all trees so far."""
+def added_up(blocks: RDD, booster: Booster, since: int, tree: Tree, nodes: list[int], number: int, settings: Settings) -> dict[int, np.ndarray]:
+    """Sums (feature, bin, [g, h, rows]) of the rows that tree ``number`` sees in each of ``nodes``, gradients after all trees so far. Each task adds up its blocks, and
+    tasks' sums are added in a tree of fixed breadth, so that the driver adds few of them. It is one short job, without a plan to be made for each pass."""
     features, width = len(booster.cuts), max(map(len, booster.cuts)) + 1
     recent, place = booster.trees[since:], np.full(len(tree.feature), -1)
     place[nodes] = np.arange(len(nodes))
-    shape = (len(nodes), features, width)
+    shape, chance = (len(nodes), features, width), booster.chance
 
-    def sums(batches):
-        held = np.zeros((3, np.prod(shape)))
-        for batch in batches:
-            ids, y, weight, bins, score = _arrays(batch, features)
+    def sums(rows):
+        held = np.zeros((3, int(np.prod(shape))))
+        for row in rows:
+            ids, y, weight, bins, score = _arrays(row, features)
             node = place[tree.nodes(bins)]
             mine = (node >= 0) & drawn(ids, number, settings)
             bins, node = bins[mine], node[mine]
-            g, h = gradients(score[mine] + sum((t.apply(bins) for t in recent), np.zeros(len(bins))), y[mine], weight[mine], booster.chance)
+            g, h = gradients(score[mine] + sum((t.apply(bins) for t in recent), np.zeros(len(bins))), y[mine], weight[mine], chance)
             for f in range(features):
                 cell = (node * features + f) * width + bins[:, f]
                 for k, of in enumerate((g, h, None)):
                     held[k] += np.bincount(cell, of, held.shape[1])
-        some = np.flatnonzero(held[2])
-        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(h[some]) for h in held)], names=["cell", "g", "h", "n"])
+        yield held
 
-    out = np.zeros((np.prod(shape), 3))
-    for r in table.mapInArrow(sums, "cell long, g double, h double, n double").groupBy("cell").agg(F.sum("g"), F.sum("h"), F.sum("n")).collect():
-        out[r[0]] = r[1:]
-    return dict(zip(nodes, out.reshape(*shape, 3)))
+    if not blocks.getNumPartitions():
+        return {n: np.zeros((features, width, 3)) for n in nodes}
+    depth = max(1, math.ceil(math.log(max(2, blocks.getNumPartitions()), BREADTH)))
+    total = blocks.mapPartitions(sums).treeReduce(lambda a, b: a + b, depth)
+    return dict(zip(nodes, np.moveaxis(total.reshape(3, *shape), 0, -1)))
 
 
 def rescored(table: DataFrame, booster: Booster, since: int) -> DataFrame:
@@ -249,9 +255,9 @@ def rescored(table: DataFrame, booster: Booster, since: int) -> DataFrame:
 
     def add(batches):
         for batch in batches:
-            bins = _arrays(batch, features)[3]
-            score = batch.column(4).to_numpy() + sum((t.apply(bins) for t in recent), np.zeros(len(bins)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(score)], names=batch.schema.names)
+            rows = zip(*(batch.column(i).to_pylist() for i in range(6)))
+            scores = [(score + sum((t.apply(bins) for t in recent), np.zeros(len(bins)))).tobytes() for *_, bins, score in (_arrays(r, features) for r in rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(scores, type=pa.binary())], names=batch.schema.names)
 
     return _written(table.mapInArrow(add, table.schema))
 
@@ -267,11 +273,15 @@ def boost(rows: DataFrame, label: str, features: int, chance: bool, settings: Se
     if not any(booster.cuts):  # nothing can be split
         return booster
     table, since = binned(rows, label, booster), 0
+    blocks = table.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)  # what is lost is read from the table again
     for number in range(settings.rounds):
         if len(booster.trees) - since >= REFRESH:
+            blocks.unpersist()
             table, since = rescored(table, booster, since), len(booster.trees)
-        sums = lambda tree, nodes: added_up(table, booster, since, tree, nodes, number, settings)  # noqa: E731, B023
+            blocks = table.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
+        sums = lambda tree, nodes: added_up(blocks, booster, since, tree, nodes, number, settings)  # noqa: E731, B023
         booster.trees.append(grow(sums, looked_at(features, number, settings), settings))
+    blocks.unpersist()
     return booster
 
 
