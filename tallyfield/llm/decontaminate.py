@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import bounded_batches, files_of, groups_of, land, table
+from .store import bounded_batches, files_of, groups_of, land, set_aside, table
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -218,8 +218,8 @@ def _longest(found: list) -> list:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text") -> DataFrame:
     """``docs`` without those that hold a window of the benchmark."""
-    found = find_matches(docs.select("*"), benchmark, window, text=text)
-    return found.where(F.size("hits") == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows, back = set_aside(docs, {"n_words", "hits", "matches"})
+    return back(find_matches(rows, benchmark, window, text=text).where(F.size("hits") == 0))
 
 
 def op2_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from . import chain
 from .pii_examples import GIVEN, learn_table
-from .store import bounded_batches, table
+from .store import bounded_batches, set_aside, table
 
 BASE = ("email", "ip", "card", "phone")
 LABELS = ("", "tel", "ssn", "mail", "name", "address", "birth", "account", "secret")
@@ -411,7 +411,8 @@ def joined_spans(spans: Column) -> Column:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with each span, or run of overlapping spans, replaced by its first kind in angle brackets.
     Null texts stay null. ``n_chars``, where there is one, is counted anew."""
-    found = find_pii(docs, text, "_pii")
+    rows, back = set_aside(docs, {"_pii"})
+    found = find_pii(rows, text, "_pii")
     state = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
 
     def step(acc, s):
@@ -420,7 +421,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.concat(acc["done"], piece).alias("done"), F.greatest(acc["at"], s["end"]).alias("at"))
 
     walked = F.aggregate("_pii", state, step, lambda acc: F.concat(acc["done"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(text))))
-    out = found.withColumn(text, F.when(F.size("_pii") > 0, walked).otherwise(F.col(text))).drop("_pii")
+    out = back(found.withColumn(text, F.when(F.size("_pii") > 0, walked).otherwise(F.col(text))))
     return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import bounded_batches, table
+from .store import bounded_batches, set_aside, table
 
 WIDTH = 1 << 18
 MAX_ROWS = 10_000
@@ -206,6 +206,12 @@ def rate(docs: DataFrame, model: Model, at_least: int | None = None, minimum: fl
     return docs.select(*(F.col(f"`{f.name}`") for f in rest)).mapInArrow(run, T.StructType([*rest, *ADDED]))
 
 
+def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are selected, with its columns and no others, whatever their names."""
+    rows, back = set_aside(docs, {a.name for a in ADDED})
+    return back(rate(rows, model, text=text).where("selected"))
+
+
 def grade_of_labels() -> Column:
     """Three grades from the two labels: 0 poor or both, 1 good but toxic, 2 good."""
     return F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,20 @@ def join_hot(rows: DataFrame, values: DataFrame, key: str, n: str = "n") -> Data
     return rows.join(hot, key).unionByName(cold.join(values.where(F.col(n) <= least), key))
 
 
+def set_aside(docs: DataFrame, names: set[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with its columns of these names under others, and a function that gives the rows of a result exactly the columns of ``docs`` back."""
+    held = {c.lower() for c in docs.columns}
+    aside = {}
+    for c in docs.columns:
+        if c.lower() in names:
+            n = 0
+            while (other := f"aside{n}_{c.lower()}") in held:
+                n += 1
+            aside[c] = other
+            held.add(other)
+    return docs.withColumnsRenamed(aside), lambda out: out.select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
