@@ -4,8 +4,9 @@ A fingerprint has eight positional bytes. Two that differ in at most four bits d
 they share at least four: that is the guaranteed minimum. Lists of single (position, byte) pairs would hold a
 256th of all fingerprints each, so pairs would grow with the square of the input. The index therefore lists
 three positions at a time, all 56 triples: a list has but a 2**24th of unrelated fingerprints, and a pair that shares
-the positions of a set S meets in the lists of all triples within S, which together name S. So the positions of the lists where a
-pair meets, tallied over the whole index, are the positions it shares. Pairs with a tally under four go. A pair is verified, by counting bits, in the lists where it meets, so that no other pairs are shuffled.
+the positions of a set S meets in the lists of all triples within S. A posting is the whole fingerprint, so where a pair meets its shared positional bytes are
+tallied at once; pairs with a tally under four go, those of a triple alone; the others are verified by counting bits. All three steps are taken in the list,
+so that no pair moves before it is a link.
 
 Only distinct fingerprints are indexed: exact copies cost nothing. Lists of over ``SHORT`` members come from dense groups and aren't
 spelled out in pairs: such a list is searched breadth-first, each fingerprint meeting only those not reached yet, with the same tally
@@ -113,27 +114,41 @@ def _links_of_lists(batches, bits: int):
         yield flush()
 
 
-def _tallied(lists: DataFrame, bits: int) -> DataFrame:
-    """Links of the pairs of short lists (positions, members): their tally over all lists, and its least value. Bits are counted where a pair meets, so
-    that of the pairs of a dense group only links move."""
-    pair = lists.select("positions", F.posexplode("members").alias("i", "a"), "members").select("positions", "a", F.explode(F.expr(f"filter(slice(members, i + 2, size(members)), b -> bit_count(a ^ b) <= {bits})")).alias("b"))
-    tally = pair.groupBy("a", "b").agg(F.bit_or("positions").alias("shared"))
-    return tally.where(F.bit_count("shared") >= 8 - bits).select("a", "b")
+#: How many positional bytes two fingerprints share, as SQL.
+TALLY = "(" + " + ".join(f"IF((a ^ b) & {255 << 8 * p if p < 7 else -(1 << 56)} = 0, 1, 0)" for p in range(8)) + ")"
 
 
-def links(fps: DataFrame, bits: int = BITS, short: int = SHORT, long: int = LONG) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints of ``fps`` (fp long), enough to join all that are joined."""
-    if bits > 4:
-        raise ValueError("four shared positions, which name themselves by triples, are sure for at most four differing bits")
+def steps(bits: int) -> tuple[str, str]:
+    """What a pair that meets must pass, in order: its tally reaches the guaranteed minimum, and its bits are counted."""
+    return f"{TALLY} >= {8 - bits}", f"bit_count(a ^ b) <= {bits}"
+
+
+def met(lists: DataFrame, *passes: str) -> DataFrame:
+    """Different pairs (a, b) that meet in short lists (members) and pass, tested in the lists."""
+    test = " AND ".join(passes) or "true"
+    rows = lists.select(F.posexplode("members").alias("i", "a"), "members")
+    return rows.select("a", F.explode(F.expr(f"filter(slice(members, i + 2, size(members)), b -> {test})")).alias("b")).distinct()
+
+
+def short_lists(held: DataFrame, short: int) -> DataFrame:
+    return held.where(F.col("n") <= short).groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("members"))  # at most ``short`` of each
+
+
+def indexed(fps: DataFrame) -> DataFrame:
+    """(key, fp, n): the postings of lists of more than one, with the length of their list."""
     byte = lambda p: F.call_function("shiftrightunsigned", F.col("fp"), F.lit(8 * p)).bitwiseAND(F.lit(255))
     keys = [F.lit(i << 24).cast("long") + byte(t[0]) * 65536 + byte(t[1]) * 256 + byte(t[2]) for i, t in enumerate(TRIPLES)]
     postings = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
     size = land(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "lists")
-    held = land(postings.join(F.broadcast(size) if size.count() <= SMALL_TABLE else size, "key"), "postings")
-    number = F.call_function("shiftright", F.col("key"), F.lit(24))
-    positions = F.element_at(F.array(*(F.lit(sum(1 << p for p in t)) for t in TRIPLES)), (number + 1).cast("int"))
-    each = held.where(F.col("n") <= short).groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("members"))  # at most ``short`` of each
-    few = _tallied(each.select(positions.alias("positions"), "members"), bits)
+    return land(postings.join(F.broadcast(size) if size.count() <= SMALL_TABLE else size, "key"), "postings")
+
+
+def links(fps: DataFrame, bits: int = BITS, short: int = SHORT, long: int = LONG) -> DataFrame:
+    """Links (a, b) between the distinct fingerprints of ``fps`` (fp long), enough to join all that are joined."""
+    if bits > 4:
+        raise ValueError("four shared positions, which name themselves by triples, are sure for at most four differing bits")
+    held = indexed(fps)
+    few = met(short_lists(held, short), *steps(bits))
 
     zero = F.lit(0).cast("long")
     chunks = F.ceil(F.col("n") / (long // 2)).cast("long")

@@ -185,3 +185,25 @@ def test_pipeline_stages_take_effect(spark):
     assert seen.where(F.col("text").rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9-]+")).count() == 0
     last = p.run(spark, sf).collect()
     assert {r["doc_id"] for r in last} <= {r["doc_id"] for r in seen.collect()} and all(1 <= r["copies"] <= 3 for r in last)
+
+
+def test_each_step_of_the_index_removes_pairs(spark):
+    """Pairs that meet share three bytes, those of the minimum tally four, and verified ones differ in four bits at most: counted against all pairs."""
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 1 << 64, 60, dtype=np.uint64)
+    fps = [base]
+    for flips, times in ((3, 2), (4, 2), (6, 3), (12, 3), (20, 3)):
+        for _ in range(times):
+            some = base.copy()
+            for _ in range(flips):
+                some ^= np.uint64(1) << rng.integers(0, 64, len(base), dtype=np.uint64)
+            fps.append(some)
+    fps = np.unique(np.concatenate(fps))
+    differ = fps[:, None] ^ fps[None, :]
+    shared = (differ.view(np.uint8).reshape(len(fps), len(fps), 8) == 0).sum(2)
+    upper = np.triu(np.ones_like(shared, dtype=bool), 1)
+    want = [int((upper & (shared >= 3)).sum()), int((upper & (shared >= 4)).sum()), int((upper & (np.bitwise_count(differ) <= 4)).sum())]
+    lists = simhash.short_lists(simhash.indexed(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")), 1000)
+    passes = simhash.steps(simhash.BITS)
+    assert [simhash.met(lists, *passes[:k]).count() for k in range(3)] == want
+    assert want[0] > want[1] > want[2] > 60
