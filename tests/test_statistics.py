@@ -69,3 +69,12 @@ def test_the_greatest_so_far_in_any_order_of_arrival(spark):
     for r in df.collect():
         want = sorted(((v, i) for k, i, v in rows if k == r.key and i <= r.at and v is not None), reverse=True)[:3]
         assert [tuple(x) for x in (r.top_1, r.top_2, r.top_3) if x] == want
+
+
+def test_pools_of_a_long_chain(spark):
+    rng = np.random.default_rng(2)
+    names = rng.permutation(300)
+    pairs = [(int(names[i]), int(names[i + 1])) for i in range(150)] + [(int(names[i + 1]), int(names[i])) for i in range(151, 298)] + [(1000, 1001)]
+    got = R.pools(spark.createDataFrame(pairs, "home_id long, away_id long"))
+    want = {p: str(min(names[:151]) if k < 150 else min(names[151:299]) if k < 297 else 1000) for k, p in enumerate(pairs)}
+    assert {(r.home_id, r.away_id): r.pool for r in got.collect()} == want
