@@ -187,20 +187,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id
             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.binary()) for c in cells], names=["root", "data"])
 
     landed = land(quantised(vectors, id, vector).mapInArrow(trees, "root binary, data binary"), "ball-trees", **{"parquet.block.row.count.limit": "1"})
+    # all roots in few files, with the places of their shards: a row is a row group
+    roots = files_of(land(landed.select("root", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("number")), "roots"))
     asked = land(quantised(queries, id, vector), "queries")
-    files, blocks = files_of(landed), max(1, -(-asked.count() // block))
+    blocks = max(1, -(-asked.count() // block))
 
     def search(batches):
         import pyarrow.compute  # noqa: F401
 
         for ids, x in _matrices(batches, 2 * block):
             best, order, every = Best(ids, x, k + 1), [], np.arange(len(ids))
-            for path in files:
-                for number, read in enumerate(groups_of(path)):
-                    roots = [_unpack(r) for r in read("root").column(0).to_pylist()]
-                    bounds = [best.bound(every, r["centre"], float(r["radius"])) for r in roots if len(r["centre"]) == x.shape[1]]
-                    if bounds:
-                        order.append((-float(np.max(bounds)), path, number))
+            for part in (read("root", "path", "number") for file in roots for read in groups_of(file)):
+                for root, path, number in zip(*(part.column(i).to_pylist() for i in range(3))):
+                    root = _unpack(root)
+                    if len(root["centre"]) == x.shape[1]:
+                        order.append((-float(np.max(best.bound(every, root["centre"], float(root["radius"])))), path, number))
             for bound, path, number in sorted(order):
                 if (best.may(every, np.full(len(every), -bound), np.iinfo(np.int64).min)).any():
                     for read in islice(groups_of(path), number, number + 1):
