@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from ..sources.shared import fresh
 
 BINS, REFRESH, BREADTH = 64, 20, 64
+#: A task of a pass has at least so many rows, where there are as many.
+TASK_ROWS = 20_000
 
 
 @dataclass
@@ -243,10 +245,10 @@ def added_up(blocks: RDD, booster: Booster, since: int, tree: Tree, nodes: list[
                     held[k] += np.bincount(cell, of, held.shape[1])
         yield held
 
-    if not blocks.getNumPartitions():
-        return {n: np.zeros((features, width, 3)) for n in nodes}
-    depth = max(1, math.ceil(math.log(max(2, blocks.getNumPartitions()), BREADTH)))
-    total = blocks.mapPartitions(sums).treeReduce(lambda a, b: a + b, depth)
+    tasks, parts = blocks.getNumPartitions(), blocks.mapPartitions(sums)
+    if tasks > BREADTH:
+        parts = parts.treeReduce(lambda a, b: a + b, math.ceil(math.log(tasks, BREADTH)))
+    total = parts if tasks > BREADTH else sum(parts.collect(), np.zeros((3, int(np.prod(shape)))))
     return dict(zip(nodes, np.moveaxis(total.reshape(3, *shape), 0, -1)))
 
 
@@ -273,12 +275,14 @@ def boost(rows: DataFrame, label: str, features: int, chance: bool, settings: Se
     if not any(booster.cuts):  # nothing can be split
         return booster
     table, since = binned(rows, label, booster), 0
-    blocks = table.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)  # what is lost is read from the table again
+    tasks = max(1, -(-(table.agg(F.sum("rows")).first()[0] or 0) // TASK_ROWS))
+    held = lambda table: table.rdd.map(tuple).coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)  # noqa: E731 what is lost is read from the table again
+    blocks = held(table)
     for number in range(settings.rounds):
         if len(booster.trees) - since >= REFRESH:
             blocks.unpersist()
             table, since = rescored(table, booster, since), len(booster.trees)
-            blocks = table.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
+            blocks = held(table)
         sums = lambda tree, nodes: added_up(blocks, booster, since, tree, nodes, number, settings)  # noqa: E731, B023
         booster.trees.append(grow(sums, looked_at(features, number, settings), settings))
     blocks.unpersist()
