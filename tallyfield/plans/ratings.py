@@ -154,9 +154,9 @@ _MEAN_RATINGS = """lg AS (SELECT o.season, o.off_id, o.def_id, u.metric, u.v FRO
   UNION ALL SELECT season, off_id, def_id, 'points', y FROM obs),
 ro AS (SELECT season, off_id AS team, metric, avg(v) AS o FROM lg GROUP BY 1, 2, 3), rd AS (SELECT season, def_id AS team, metric, avg(v) AS d FROM lg GROUP BY 1, 2, 3), rr AS (SELECT season, team, metric, o, d FROM ro JOIN rd USING (season, team, metric)),
 wd AS (SELECT season, team, """ + ", ".join(f"max({u}) FILTER (metric = '{m}') AS {u}_{m}" for m in _METRICS for u in "od") + " FROM rr GROUP BY 1, 2)"
-_UNITS = ", ".join(f"round({k}.{u}_{m}, 6) AS {u}_{m}_{s}" for m in _METRICS for u in "od" for k, s in (("h", "home"), ("v", "away")))
-_MX = ", ".join(f"round((h.o_{m} + v.d_{m}) - (v.o_{m} + h.d_{m}), 6) AS mx_{m}" for m in _METRICS)
-_ENV = ", ".join(f"round({a}.o_{m} + {b}.d_{m}, 6) AS env_{m}_{s}" for m in ("price_pp", "return_rate") for a, b, s in (("h", "v", "home"), ("v", "h", "away")))
+_UNITS = ", ".join(f"round({k}.{u}_{m} + 1e-10, 6) AS {u}_{m}_{s}" for m in _METRICS for u in "od" for k, s in (("h", "home"), ("v", "away")))
+_MX = ", ".join(f"round((h.o_{m} + v.d_{m}) - (v.o_{m} + h.d_{m}) + 1e-10, 6) AS mx_{m}" for m in _METRICS)
+_ENV = ", ".join(f"round({a}.o_{m} + {b}.d_{m} + 1e-10, 6) AS env_{m}_{s}" for m in ("price_pp", "return_rate") for a, b, s in (("h", "v", "home"), ("v", "h", "away")))
 
 
 @query("fea_2_unit_ratings", f"WITH {_MEAN_RATINGS} SELECT c.game_id, {_UNITS}, {_MX}, {_ENV} FROM contest c LEFT JOIN wd h ON h.season = c.season AND h.team = c.home_id LEFT JOIN wd v ON v.season = c.season AND v.team = c.away_id")
@@ -166,7 +166,8 @@ def fea_2_units(t):
     every = y.unionByName(_metrics(t).select(*y.columns))
     side = lambda id, into: every.groupBy("season", F.col(id).alias("team"), "metric").agg(F.avg("y").alias(into))
     rated = side("off_id", "o").join(side("def_id", "d"), ["season", "team", "metric"])
-    return rounded(X.unit_ratings(t["contest"], rated, list(_METRICS), ["price_pp", "return_rate"]))
+    out = X.unit_ratings(t["contest"], rated, list(_METRICS), ["price_pp", "return_rate"])
+    return rounded(out.select("game_id", *((F.col(c) + 1e-10).alias(c) for c in out.columns if c != "game_id")))  # halves of the last digit all go up
 
 
 @query("fea_3_form_and_rest", """WITH f AS (SELECT game_id, off_id AS team, avg(margin) OVER (PARTITION BY off_id, season ORDER BY kickoff, game_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS form3,
