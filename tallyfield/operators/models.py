@@ -205,10 +205,12 @@ def margin_weights(rows: DataFrame, members: list[str], target: str = "margin")
     s = rows.agg(*(F.sum(F.col(a) * F.col(b)).alias(f"{a}*{b}") for a, b in pairs), *(F.sum(F.col(a) * F.col(target)).alias(f"{a}*y") for a in members)).first().asDict()
     g = np.array([[s[f"{a}*{b}"] if f"{a}*{b}" in s else s[f"{b}*{a}"] for b in members] for a in members])
     c = np.array([s[f"{a}*y"] for a in members])
+    scale = max(float(np.abs(g).max()), 1e-300)  # sums grow with the rows; beside them the condition that weights add to 1 would count as nothing
+    g, c = g / scale, c / scale
     best = None
     for size in range(1, len(members) + 1):
         for at in map(list, combinations(range(len(members)), size)):
-            kkt = np.block([[g[np.ix_(at, at)] + 1e-9 * np.eye(size), np.ones((size, 1))], [np.ones((1, size)), np.zeros((1, 1))]])
+            kkt = np.block([[g[np.ix_(at, at)] + 1e-9 / scale * np.eye(size), np.ones((size, 1))], [np.ones((1, size)), np.zeros((1, 1))]])
             w = np.linalg.lstsq(kkt, np.append(c[at], 1), rcond=None)[0][:size]
             if (w >= -1e-12).all() and (best is None or w @ g[np.ix_(at, at)] @ w - 2 * c[at] @ w < best[0]):
                 best = (w @ g[np.ix_(at, at)] @ w - 2 * c[at] @ w, dict(zip((members[i] for i in at), w.clip(0))))
