@@ -19,8 +19,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group joined by a similarity of ``near_copies.SIMILAR`` or more."""
-    return near_copies.keep_first(docs)
+    """One document of each group joined by op7's SimHash links and by a similarity of ``near_copies.SIMILAR`` or more."""
+    return near_copies.keep_first_of_both(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

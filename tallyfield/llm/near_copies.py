@@ -28,6 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import simhash
 from .groups import grouped, keep_heads, row_keys, units
 from .store import SMALL_TABLE, bounded_batches, join_hot, land
 
@@ -180,3 +181,19 @@ def near_groups(docs: DataFrame, text: str = "text", small: int = SMALL, part: i
 def keep_first(docs: DataFrame, text: str = "text", small: int = SMALL, part: int = PART) -> DataFrame:
     """``docs`` with one row of each group, that of the smallest id."""
     return keep_heads(docs, *_known(docs, text, small, part), text)
+
+
+def keep_first_of_both(docs: DataFrame, text: str = "text", bits: int = simhash.BITS) -> DataFrame:
+    """``docs`` with one row of each group that SimHash links, of fingerprints, and the similarity of sets join together.
+
+    The index of fingerprints, op7's, makes the groups; a set links the groups of its fingerprints, and similar sets link theirs."""
+    prints = land(simhash.fingerprints(docs, text), "fingerprints")
+    one = units(prints)
+    near = simhash.links(one.select(F.col("unit").alias("fp")), bits)
+    marked, sets = _known(docs, text, SMALL, PART)
+    heads = land(sets.select("unit", "n", F.struct("head.k1", "head.k2").alias("set")), "set-heads")
+    of_row = join_hot(marked.select("k1", "k2", "unit"), heads, "unit").select("k1", "k2", "set").distinct()
+    met = land(prints.select("k1", "k2", F.col("unit").alias("fp")).distinct().join(of_row, ["k1", "k2"]).select("set", "fp").distinct(), "met")
+    least = land(met.groupBy("set").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1"), "set-prints")
+    joined = join_hot(met, least, "set").select("a", F.col("fp").alias("b")).where("a <> b")
+    return keep_heads(docs, prints, grouped(one, near.unionByName(joined)), text)
