@@ -94,3 +94,14 @@ def test_more_regularised_means_a_greater_penalty():
     config = M.Config(("a",), members={"gbm": {}, "gbm_margin": {"penalty": 1.0}, "logistic": {}})
     name, new = L.moved(config, 5)
     assert name == "gbm_leaf_up_penalty_up" and new.members == {"gbm": {"leaf": 80, "penalty": 15.0}, "gbm_margin": {"leaf": 80, "penalty": 3.0}, "logistic": {}}
+
+
+def test_a_pass_reads_what_its_tree_sees_and_few_tasks(spark, data, monkeypatch):
+    """Each tree finds its rows and gradients once; passes read these, in no more tasks than there are cores."""
+    passes, keep = [], B.added_up
+    monkeypatch.setattr(B, "added_up", lambda seen, *rest: passes.append((seen.id(), seen.getNumPartitions(), len(seen.first()))) or keep(seen, *rest))
+    monkeypatch.setattr(B, "TASK_ROWS", 10)
+    s = B.Settings(rounds=3, leaves=6, leaf=20)
+    B.boost(M.assembled(frame(spark, data), list("abcd"), "_x"), "home_win", 4, True, s)
+    assert len({id for id, *_ in passes}) == 3 < len(passes)
+    assert all(tasks <= spark.sparkContext.defaultParallelism and cells == 3 for _, tasks, cells in passes)
