@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .store import bounded_batches, set_aside, table
 
 WIDTH = 1 << 18
-MAX_ROWS = 10_000
+MAX_ROWS, BLOCK = 10_000, 1 << 17
 #: A text is selected if its chance of the highest grade reaches this.
 MINIMUM = 0.8
 ADDED = (T.StructField("expected_grade", T.DoubleType()), T.StructField("tail", T.DoubleType()), T.StructField("selected", T.BooleanType()))
@@ -126,11 +126,22 @@ def fit_rows(rows: list[np.ndarray], grades: np.ndarray, grade_count: int, round
 
 def objective(rows: list[np.ndarray], grades: np.ndarray, grade_count: int, ridge: float, least: int):
     """The start, the loss with its gradient, and a function that parts parameters into the weights and thresholds. Only columns that are used have parameters."""
-    size = np.array([len(r) for r in rows])
-    index = np.concatenate(rows)
-    seen = np.bincount(index, minlength=WIDTH) >= least
-    owner = np.repeat(np.arange(len(rows)), size)[seen[index]]
-    used, index = np.unique(index[seen[index]], return_inverse=True)
+    seen = np.zeros(WIDTH, dtype=np.int64)
+    for r in rows:
+        np.add.at(seen, r, 1)
+    used = np.flatnonzero(seen >= least)
+    place = np.full(WIDTH, -1, dtype=np.int32)
+    place[used] = np.arange(len(used))
+    # rows in blocks of about BLOCK features: the place and the row of each feature that is used; what a step makes beside these is as large as one block
+    blocks, first = [], 0
+    while first < len(rows):
+        last, count = first, 0
+        while last < len(rows) and count < BLOCK:
+            count, last = count + len(rows[last]), last + 1
+        at = [place[r] for r in rows[first:last]]
+        owner, index = np.repeat(np.arange(last - first, dtype=np.int32), [len(r) for r in at]), np.concatenate(at)
+        blocks.append((first, last, owner[index >= 0], index[index >= 0]))
+        first = last
     n = len(used)
     cuts = grade_count - 1
     share = np.array([(grades <= g).mean() for g in range(cuts)]).clip(1e-3, 1 - 1e-3)
@@ -147,14 +158,16 @@ def objective(rows: list[np.ndarray], grades: np.ndarray, grade_count: int, ridg
 
     def loss(p):
         w, theta = p[:n], thresholds(p)
-        score = np.bincount(owner, weights=w[index], minlength=len(rows))
+        score = np.concatenate([np.bincount(owner, weights=w[index], minlength=last - first) for first, last, owner, index in blocks])
         f = 1 / (1 + np.exp(-np.clip(theta[None] - score[:, None], -500, 500)))
         f = np.hstack([np.zeros((len(rows), 1)), f, np.ones((len(rows), 1))])
         d = f * (1 - f)
         prob = np.maximum(f[row, grades + 1] - f[row, grades], 1e-12)
         up, down = d[row, grades + 1] / prob / len(rows), d[row, grades] / prob / len(rows)
         by_theta = np.array([down[grades == g + 1].sum() - up[grades == g].sum() for g in range(cuts)])
-        by_weight = np.bincount(index, weights=(up - down)[owner], minlength=n) + ridge * w
+        by_weight, pull = ridge * w, up - down
+        for first, last, owner, index in blocks:
+            by_weight += np.bincount(index, weights=pull[first:last][owner], minlength=n)
         steps = np.exp(p[n + 1 :]) * np.cumsum(by_theta[::-1])[::-1][1:]
         return -np.log(prob).mean() + ridge / 2 * (w @ w), np.concatenate([by_weight, [by_theta.sum()], steps])
 
@@ -182,7 +195,8 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: Column, max_rows: int = MAX_
     if len(np.unique(grades)) < 2:
         top = int(grades.max(initial=0))
         return Model(np.zeros(WIDTH, dtype=np.float32), np.full(top, -1e3))
-    rows = [np.frombuffer(b, dtype=np.int32).astype(np.int64) for b in got.column("features").to_pylist()]
+    rows = [np.frombuffer(b, dtype=np.int32) for b in got.column("features").to_pylist()]
+    del got
     order = sorted(range(len(rows)), key=lambda i: (int(grades[i]), rows[i].tobytes()))  # the order of arrival doesn't matter
     return fit_rows([rows[i] for i in order], grades[order], int(grades.max()) + 1)
 
