@@ -98,3 +98,14 @@ def test_repeated_reads_are_of_a_table_made_once(spark, monkeypatch):
     except ZeroDivisionError:
         pass
     assert stack == [False]
+
+
+def test_rating_state_takes_few_contests_at_a_time(spark, monkeypatch):
+    """Three to a frame, over the years that land one after the other: as the batch form, in one order."""
+    from tallyfield.plans.catalog import QUERIES
+    from tallyfield.streaming import jobs as J
+
+    monkeypatch.setattr(J, "ELO_ROWS", 3)
+    got = {r.game_id: (r.elo_home, r.elo_away, r.gain) for r in QUERIES["str_5_rating_state"](spark, "/root/testdata/sf0.001").collect()}
+    want = {r.game_id: (r.elo_home, r.elo_away, r.gain) for r in QUERIES["rat_1_elo"](spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
