@@ -58,3 +58,21 @@ def test_posting_lists_stay_short(spark):
     asked = known.where("name like '%7'").selectExpr("'xtate' || substr(name, 6) as asked")
     rows = similar_names(asked, known, 0.95)
     assert {(r.asked[5:], r.name[5:]) for r in rows.collect()} == {(r.asked[5:], r.asked[5:]) for r in asked.collect()}
+
+
+def test_numbered_names_that_share_their_pairs_of_digits_rarely_meet(spark):
+    """Numbers use few different pairs of characters; only names that nearly match meet, most not more often than they have forms in common."""
+    from tallyfield.operators.resolve import _by_forms, _formed
+
+    known = spark.range(300).selectExpr("'ring ' || cast(10000 + id * 7919 % 90000 as string) as s").distinct().selectExpr("s", "length(s) as n")
+    asked = spark.range(300).selectExpr("'ring ' || cast(100000 + id * 104729 % 900000 as string) as s").distinct().selectExpr("s", "length(s) as n")
+    met = _by_forms(asked, known, 0.75, _formed(0.75)).count()
+    pairs = {(r.asked, r.name) for r in similar_names(asked.selectExpr("s as asked"), known.selectExpr("s as name")).collect()}
+    assert pairs == {(a, k) for (a,) in asked.select("s").collect() for (k,) in known.select("s").collect() if edits_within(a, k, 2)}
+    assert len(pairs) <= met < 300 * 300 / 10
+
+
+def edits_within(a, b, most):
+    from collections import Counter
+
+    return (Counter(a) - Counter(b)).total() <= most and edits(a, b) <= most
