@@ -117,7 +117,6 @@ def divisions(contests: DataFrame, main: int = 80, least: int = 4) -> DataFrame:
 
 def division_of(rows: DataFrame, known: DataFrame, back: int = 2, default: str = "OTHER") -> DataFrame:
     """``rows`` (season, team) with the division of that season or one of the ``back`` before."""
-    for k in range(back + 1):
-        d = known.select((F.col("season") + k).alias("season"), "team", F.col("division").alias(f"_d{k}"))
-        rows = rows.join(d, ["season", "team"], "left")
-    return rows.withColumn("division", F.coalesce(*(F.col(f"_d{k}") for k in range(back + 1)), F.lit(default))).drop(*(f"_d{k}" for k in range(back + 1)))
+    every = known.select("team", "division", F.inline(F.array(*(F.struct((F.col("season") + k).alias("season"), F.lit(k).alias("_k")) for k in range(back + 1)))))
+    latest = every.groupBy("season", "team").agg(F.min_by("division", "_k").alias("_d"))  # by season and side, so the rows are joined once
+    return rows.join(latest, ["season", "team"], "left").withColumn("division", F.coalesce("_d", F.lit(default))).drop("_d")

@@ -25,6 +25,7 @@ def _grid(t, points):
 
 def _pooled(t):
     """Contests with their pools, which are the connected groups of sides, and the divisions of both sides."""
+    t.keep("contest")
     known = A.divisions(t["contest"])
     c = R.pools(t["contest_avail"])
     for side in ("home", "away"):

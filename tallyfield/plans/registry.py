@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import stored
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 #: In order of dependence. Contests are the first two suppliers of an order; points are quantities.
@@ -57,21 +59,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def _used(sql: str) -> list[str]:
+def _used(sql: str, kept=()) -> list[str]:
     need: set[str] = set()
     todo = [sql]
     while todo:
         text = todo.pop()
         for name in VIEWS:
-            if name not in need and re.search(rf"\b{name}\b", text):
+            if name not in need and name not in kept and re.search(rf"\b{name}\b", text):
                 need.add(name)
                 todo.append(VIEWS[name])
     return [v for v in VIEWS if v in need]
 
 
-def with_views(sql: str) -> str:
-    """``sql`` behind the views that it names."""
-    ctes = [f"{v} AS ({VIEWS[v]})" for v in _used(sql)]
+def with_views(sql: str, kept=()) -> str:
+    """``sql`` behind the views that it names; those of ``kept`` are tables."""
+    ctes = [f"{v} AS ({VIEWS[v]})" for v in _used(sql, kept)]
     body = sql.strip()
     if not ctes:
         return body
@@ -86,18 +88,27 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.kept: dict[str, DataFrame] = {}
+
+    def keep(self, name: str) -> None:
+        """From now on the view is read from files, and so are the views over it; a query that reads it several times makes it once."""
+        if name not in self.kept:
+            self.kept[name] = stored(self.sql(f"SELECT * FROM {name}", {"lineitem": "l_orderkey"}), name)  # lines move once, to those of their order
 
     def __getitem__(self, name: str) -> DataFrame:
+        if name in self.kept:
+            return self.kept[name]
         if name not in VIEWS:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self.sql(f"SELECT * FROM {name}")
 
-    def sql(self, text: str) -> DataFrame:
-        text = with_views(text)
-        used = [t for t in TABLES if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", text)]
+    def sql(self, text: str, by: dict[str, str] | None = None) -> DataFrame:
+        """What ``text`` gives, with tables dealt out ``by`` a column first."""
+        text = with_views(text, self.kept)
+        used = [t for t in (*TABLES, *self.kept) if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", text)]
         for t in used:
             text = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", text)
-        return self.spark.sql(text, **{t: self[t] for t in used})
+        return self.spark.sql(text, **{t: self[t].repartition(by[t]) if by and t in by else self[t] for t in used})
 
 
 def query(name: str, sql: str | None = None):

@@ -36,3 +36,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` from files in the shared folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` from Parquet files in the shared folder, for what is read often: a reader takes the columns that it needs."""
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
