@@ -48,8 +48,9 @@ def rat_2(t):
 @query("rat_3_elo_grid")
 def rat_3(t):
     points = [(k, h, r) for k in (24.0, 36.0, 48.0) for h in (30.0, 45.0) for r in (0.25, 0.4)]
-    e = R.elo(_pooled(t), _grid(t, points)).join(t["contest"].select("game_id", "neutral", (F.col("home_score") > F.col("away_score")).cast("int").alias("y")), "game_id").where("season >= 1997")
-    p = S.expit((F.col("elo_home") + F.when(F.col("neutral") == 1, 0).otherwise(F.col("home")) - F.col("elo_away")) / 400 * F.log(F.lit(10.0)))
+    c = _pooled(t).withColumns({"flat": F.col("neutral"), "y": (F.col("home_score") > F.col("away_score")).cast("int")})
+    e = R.elo(c, _grid(t, points), carry=("flat", "y")).where("season >= 1997")
+    p = S.expit((F.col("elo_home") + F.when(F.col("flat") == 1, 0).otherwise(F.col("home")) - F.col("elo_away")) / 400 * F.log(F.lit(10.0)))
     by = e.groupBy("k", "home", "revert").agg(F.avg(S.log_loss(p, F.col("y"))).alias("ll"))
     return rounded(by.agg(F.min_by(F.struct("k", "home", "revert"), "ll").alias("best"), F.min("ll").alias("ll")).select("best.*", "ll"))
 
