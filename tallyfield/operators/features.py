@@ -171,7 +171,19 @@ def unit_ratings(contests: DataFrame, ratings: DataFrame, metrics: list[str], en
     """game_id and, of each metric in ``ratings`` (season, team, metric, o, d), the ratings of both sides' units, the matchup of their differences, and for
     ``environment`` what each side's offence meets: its own rating and the other's defence. A side without ratings has nulls."""
     wide = ratings.groupBy("season", "team").pivot("metric", metrics).agg(F.first("o").alias("o"), F.first("d").alias("d"))
-    wide = wide.select("season", "team", *(F.col(f"{m}_{u}").alias(f"{u}_{m}") for m in metrics for u in "od"))
+    return units(contests, wide.select("season", "team", *(F.col(f"{m}_{u}").alias(f"{u}_{m}") for m in metrics for u in "od")), metrics, environment)
+
+
+def mean_units(rows: DataFrame, metrics: list[str]) -> DataFrame:
+    """season, team and for each metric o_<metric> and d_<metric>: its means where the side is off_id and where it is def_id, both null unless there are both. ``rows`` have
+    a column for each metric, so that a row is read once, for both of its sides and all metrics."""
+    sides = F.inline(F.array(F.struct(F.col("off_id").alias("team"), F.lit("o").alias("_u")), F.struct(F.col("def_id").alias("team"), F.lit("d").alias("_u"))))
+    means = rows.select("season", *metrics, sides).groupBy("season", "team").agg(*(F.avg(F.when(F.col("_u") == u, F.col(m))).alias(f"{u}_{m}") for m in metrics for u in "od"))
+    return means.select("season", "team", *(F.when(F.col(f"{v}_{m}").isNotNull(), F.col(f"{u}_{m}")).alias(f"{u}_{m}") for m in metrics for u, v in ("od", "do")))
+
+
+def units(contests: DataFrame, wide: DataFrame, metrics: list[str], environment: list[str]) -> DataFrame:
+    """The same from a row for each (season, team) with o_<metric> and d_<metric>."""
     both = both_sides(contests, wide, ["season"], [f"{u}_{m}" for m in metrics for u in "od"])
     units = [f"{u}_{m}_{s}" for m in metrics for u in "od" for s in ("home", "away")]
     against = [(F.col(f"o_{m}_{a}") + F.col(f"d_{m}_{b}")).alias(f"env_{m}_{a}") for m in environment for a, b in (("home", "away"), ("away", "home"))]

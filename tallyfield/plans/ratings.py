@@ -164,11 +164,10 @@ _ENV = ", ".join(f"round({a}.o_{m} + {b}.d_{m} + 1e-10, 6) AS env_{m}_{s}" for m
 @query("fea_2_unit_ratings", f"WITH {_MEAN_RATINGS} SELECT c.game_id, {_UNITS}, {_MX}, {_ENV} FROM contest c LEFT JOIN wd h ON h.season = c.season AND h.team = c.home_id LEFT JOIN wd v ON v.season = c.season AND v.team = c.away_id")
 def fea_2_units(t):
     """Units of both sides by the season's means of all metrics, their matchups, and the environment of two metrics."""
-    y = t["obs"].select("season", "off_id", "def_id", F.lit("points").alias("metric"), "y")
-    every = y.unionByName(_metrics(t).select(*y.columns))
-    side = lambda id, into: every.groupBy("season", F.col(id).alias("team"), "metric").agg(F.avg("y").alias(into))
-    rated = side("off_id", "o").join(side("def_id", "d"), ["season", "team", "metric"])
-    out = X.unit_ratings(t["contest"], rated, list(_METRICS), ["price_pp", "return_rate"])
+    t.keep("contest")
+    stats = t["entity_stats"].select("game_id", F.col("team_id").alias("off_id"), *(m for m in _METRICS if m != "points"))
+    every = t["obs"].select("game_id", "season", "off_id", "def_id", F.col("y").alias("points")).join(stats, ["game_id", "off_id"], "left")
+    out = X.units(t["contest"], X.mean_units(every, list(_METRICS)), list(_METRICS), ["price_pp", "return_rate"])
     return rounded(out.select("game_id", *((F.col(c) + 1e-10).alias(c) for c in out.columns if c != "game_id")))  # halves of the last digit all go up
 
 
