@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 
 
 def newest(rows: DataFrame, share: float, most: int | None, least: int | None = None, at: str = "kickoff", id: str = "game_id") -> DataFrame:
-    """The newest rows: a share of all, at most or at least so many. The day of the cut is found by counts of days, and only its rows are sorted."""
+    """The newest rows: a share of all, at most or at least so many. ``id`` tells rows apart."""
+    return split_newest(rows, share, most, least, at, id)[1]
+
+
+def split_newest(rows: DataFrame, share: float, most: int | None, least: int | None = None, at: str = "kickoff", id: str = "game_id") -> tuple[DataFrame, DataFrame]:
+    """The older rows and the newest ones, which begin with one row, so that both are filters. The day of the cut is found by counts of days, and only its rows are sorted."""
     n = rows.count()
     k = int(n * share)
     k = min(k, most) if most is not None else k
@@ -18,9 +23,16 @@ def newest(rows: DataFrame, share: float, most: int | None, least: int | None =
     upto = counts.withColumn("_upto", F.sum("_n").over(W.orderBy(F.desc("_day"))))
     cut = upto.where(F.col("_upto") >= k).orderBy(F.desc("_day")).select("_day", (F.col("_upto") - F.col("_n")).alias("_before")).first()
     if k <= 0 or cut is None:
-        return rows.limit(0) if k <= 0 else rows
-    last = rows.where(day == F.lit(cut["_day"])).orderBy(F.desc(at), F.desc(id)).limit(k - cut["_before"])
-    return rows.where(day > F.lit(cut["_day"])).unionByName(last)
+        none = rows.limit(0)
+        return (rows, none) if k <= 0 else (none, rows)
+    last = rows.where(day.eqNullSafe(F.lit(cut["_day"]))).select(F.col(at).alias("_at"), F.col(id).alias("_id")).orderBy(F.desc("_at"), F.desc("_id")).limit(k - cut["_before"])
+    first = last.orderBy("_at", "_id").select(F.col("_at").cast("string"), "_id").first()
+    if first["_at"] is None:  # rows without a time are the oldest
+        new = F.col(at).isNotNull() | (F.col(id) >= F.lit(first["_id"]))
+    else:
+        start = F.lit(first["_at"]).cast(rows.schema[at].dataType)
+        new = F.coalesce((F.col(at) > start) | ((F.col(at) == start) & (F.col(id) >= F.lit(first["_id"]))), F.lit(False))
+    return rows.where(~new), rows.where(new)
 
 
 def folds(rows: DataFrame, n: int, share: float = 0.45, most: int = 3000, at: str = "kickoff", id: str = "game_id") -> DataFrame:

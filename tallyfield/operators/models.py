@@ -284,11 +284,10 @@ def with_logits(rows: DataFrame, ps: list[str]) -> DataFrame:
 
 def fit_ensemble(config: Config, rows: DataFrame, at: str = "kickoff", id: str = "game_id") -> Ensemble:
     """Members on the older rows, their combination on the newest fifth, then members again on all."""
-    from .folds import newest, recency
+    from .folds import recency, split_newest
 
     rows = recency(rows, config.half_life_days, at) if config.half_life_days else _weighted(rows)
-    hold = newest(rows, 0.2, None, 200, at, id).persist()
-    old = rows.join(hold.select(id), id, "left_anti").persist()  # each member reads it several times
+    old, hold = (part.persist() for part in split_newest(rows, 0.2, None, 200, at, id))  # each member reads them several times
     build = lambda df: tuple(MEMBERS[k](df, config.features, name=k, **v) if k != "elo" else elo_member(df, name=k) for k, v in config.members.items())
     first = build(old)
     old.unpersist()
