@@ -335,15 +335,16 @@ def walk_forward(config: Config, rows: DataFrame, policy: Policy = Policy(), at:
 
 def permutation_importance(model: Ensemble, rows: DataFrame, features: list[str], repeats: int = 3, id: str = "game_id") -> DataFrame:
     """Rise of the log loss when a feature's values are dealt out anew. All features and repeats are one table, scored at once. The deal is
-    within random parts of about 5,000 rows, by two numberings of a part, in order and by a seeded hash; ids are distinct."""
+    within random parts of about 5,000 rows, which come together as a list each: in the order of ids, a row gets the value that has its place in the
+    order of a seeded hash. So rows move once; ids are distinct."""
     parts = max(1, rows.count() // 5000)
     cases = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat")) for f in features for r in range(repeats))))
     n = rows.select("*", cases.alias("_c")).select("*", "_c.feature", "_c.repeat").drop("_c").withColumn("_b", F.pmod(F.xxhash64(id, "feature", "repeat"), F.lit(parts)))
-    part = W.partitionBy("feature", "repeat", "_b")
-    n = n.withColumn("_i", F.row_number().over(part.orderBy(id))).withColumn("_j", F.row_number().over(part.orderBy(F.xxhash64(F.lit(1), id, "feature", "repeat"), id)))
-    other = n.select("feature", "repeat", "_b", F.col("_j").alias("_i"), *(F.col(f).alias(f"_o_{f}") for f in features))
-    long = n.join(other, ["feature", "repeat", "_b", "_i"])
-    long = long.select(*(F.when(F.col("feature") == c, F.col(f"_o_{c}")).otherwise(F.col(c)).alias(c) if c in features else c for c in rows.columns), "feature", "repeat")
+    read = [c for c in rows.columns if c in {id, "home_win", "weight", *features, *(c for m in (*model.members, model.total, model.stacker) if m for c in m.features)}]  # what is scored
+    row, dealt = F.struct(id, *(c for c in read if c != id)), F.struct(F.xxhash64(F.lit(1), id, "feature", "repeat").alias("h"), F.col(id).alias("id"), *(F.col(f).alias(f"_o_{f}") for f in features))
+    lists = n.groupBy("feature", "repeat", "_b").agg(F.array_sort(F.collect_list(row)).alias("_row"), F.array_sort(F.collect_list(dealt)).alias("_new"))
+    long = lists.select("feature", "repeat", F.explode(F.arrays_zip("_row", "_new")).alias("_z")).select("feature", "repeat", "_z._row.*", *(F.col(f"_z._new._o_{f}") for f in features))
+    long = long.select(*(F.when(F.col("feature") == c, F.col(f"_o_{c}")).otherwise(F.col(c)).alias(c) if c in features else c for c in read), "feature", "repeat")
     loss = S.log_loss(F.col("p_home"), F.col("home_win"))
     base = model.score(rows).agg(F.avg(loss)).first()[0]
     by = model.score(long).groupBy("feature", "repeat").agg((F.avg(loss) - F.lit(base)).alias("d"))
