@@ -85,6 +85,9 @@ def build(targets: DataFrame, obs: DataFrame, ratings: DataFrame) -> DataFrame:
     two rows. A row of the window carries the three newest facts only, by when they were played, however late each became available."""
     from .availability import running_asof
 
+    asked = [r[0] for r in targets.select("season").distinct().collect()]  # a few; facts of other seasons are seen by none
+    of_asked = F.coalesce(F.col("season").isin([s for s in asked if s is not None]), F.lit(None in asked))
+    obs, ratings = obs.where(of_asked), ratings.where(of_asked)
     late = targets.where(F.col("cutoff") > F.col("kickoff"))
     if not late.isEmpty():
         raise ValueError("a cutoff lies after its contest begins")

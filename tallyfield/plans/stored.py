@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -23,8 +25,9 @@ HISTORY = ["n_home", "n_away", "form3_home", "form3_away", "form_diff", "rest_ho
 
 
 def builder(obs):
-    """The point-in-time build from these facts."""
-    return lambda targets: X.build(checkpointed(targets), obs, _ratings_asof(obs))
+    """The point-in-time build from these facts. Their ratings are solved at its first use and kept for others."""
+    ratings = cache(lambda: checkpointed(_ratings_asof(obs)))
+    return lambda targets: X.build(checkpointed(targets), obs, ratings())
 
 
 def _history_sql(only: str = "true") -> str:
@@ -150,14 +153,15 @@ def fea_6_findings(t):
 @query("ml_25_prediction_log")
 def ml_25_log(t):
     """The newest contests as a slate: predicted live at two times and as a back-test, each twice. Repeats of the same inputs add nothing."""
-    obs = checkpointed(t["obs"])
+    t.keep("contest")
+    obs = stored(t["obs"], "obs")
     every = checkpointed(_targets(t).drop("cutoff"))
     features = RATED + HISTORY
     start = every.selectExpr("percentile_approx(unix_seconds(cast(kickoff AS timestamp)), 0.8) AS s").first()["s"]
     now = F.timestamp_seconds(F.lit(start)).cast("timestamp_ntz")
     build = builder(obs)
     outcomes = X.with_targets(build(every.where(F.col("kickoff") < now).withColumn("cutoff", F.col("kickoff"))), t["contest"]).join(every.select("game_id", "kickoff"), "game_id")
-    model = M.fit_ensemble(M.Config(tuple(features)), checkpointed(outcomes.where("margin <> 0")))
+    model = M.fit_ensemble(M.Config(tuple(features)), stored(outcomes.where("margin <> 0"), "outcomes"))
     slate = every.where(F.col("kickoff") >= now)
     log = None
     for at, backtest in ((now, False), (now, False), (now + A.minutes(60 * 24 * 30), False), (now, True), (now, True)):
