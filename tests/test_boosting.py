@@ -105,3 +105,18 @@ def test_a_pass_reads_what_its_tree_sees_and_few_tasks(spark, data, monkeypatch)
     B.boost(M.assembled(frame(spark, data), list("abcd"), "_x"), "home_win", 4, True, s)
     assert len({id for id, *_ in passes}) == 3 < len(passes)
     assert all(tasks <= spark.sparkContext.defaultParallelism and cells == 3 for _, tasks, cells in passes)
+
+
+@pytest.mark.parametrize("chance", [True, False])
+def test_one_task_grows_the_trees_of_many(spark, data, chance, monkeypatch):
+    """A table that a task can hold is boosted by one job, and gives the scores that passes of many tasks do."""
+    x, s = data[0], B.Settings(rounds=12, step=0.3, leaves=8, leaf=10, features=0.75)
+    base, label, passes, keep = M.assembled(frame(spark, data), list("abcd"), "_x"), "home_win" if chance else "margin", [], B.added_up
+    monkeypatch.setattr(B, "added_up", lambda *args: passes.append(1) or keep(*args))
+    one = B.boost(base, label, 4, chance, s)
+    assert not passes
+    monkeypatch.setattr(B, "TASK_ROWS", 10)
+    many = B.boost(base.repartition(3), label, 4, chance, s)  # numbered otherwise, so other rows are drawn
+    same = B.boost(base, label, 4, chance, s)
+    assert passes and len(one.trees) == len(many.trees) == 12
+    assert one.scores(x) == pytest.approx(same.scores(x), abs=1e-9) and one.cuts == same.cuts
