@@ -104,13 +104,14 @@ def confirm(pairs: DataFrame, policy: Policy, reps: int = 2000) -> dict:
 
 def learn(
     config: Config, rows: DataFrame, findings: Callable[[DataFrame], DataFrame], new_contests: int, run: int = 0, policy: Policy = Policy(),
-    context: dict[str, str] | None = None, registry: str | None = None, reps: int = 2000,
+    context: dict[str, str] | None = None, registry: str | None = None, reps: int = 2000, known: dict | None = None,
 ) -> DataFrame:
     """One run record for each model tried: its log loss on the early folds, and for the best candidate that beats the champion there its
     test on the last ``policy.confirm_folds``, which selection hasn't seen. ``findings`` makes (kind, subject, flagged) from the champion's
-    out-of-sample predictions. With a ``registry``, a structural change or a refit is fitted on all rows and becomes the champion."""
-    spark = rows.sparkSession
-    walk = lambda c: checkpointed(walk_forward(c, rows, policy))
+    out-of-sample predictions. With a ``registry``, a structural change or a refit is fitted on all rows and becomes the champion. A fold
+    fits once what candidates have in common; ``known`` keeps it by the start of the fold."""
+    spark, known = rows.sparkSession, {} if known is None else known
+    walk = lambda c: checkpointed(walk_forward(c, rows, policy, known=known))
     own = walk(config)
     tried = candidates(config, findings(own), run, policy, rows.columns, context or {})
     out = {"champion": own, **{name: walk(c) for name, c in tried.items()}}

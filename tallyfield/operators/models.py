@@ -10,6 +10,7 @@ from itertools import combinations
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -22,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.shared import checkpointed
 from .boosting import BoostedTrees, Settings, boost
 
 
@@ -183,11 +185,20 @@ def contributions(member: Fitted, rows: DataFrame, id: str) -> DataFrame:
     return out.select(id, F.explode(F.map_from_arrays(F.array(*map(F.lit, member.features)), parts)).alias("feature", "contribution"))
 
 
+#: So many rows are weighed by one task, which holds a number for each row and member; more take an aggregate for each step.
+EM_ROWS = 4_000_000
+
+
 def mixture_weights(rows: DataFrame, members: list[str], y: str = "home_win", rounds: int = 25) -> dict[str, float]:
-    """Convex weights of probabilities that minimise log loss, by EM; each step is one aggregate of as many sums as members."""
+    """Convex weights of probabilities that minimise log loss, by EM; a step needs as many sums as members. Steps are short jobs, so those
+    over rows that a task can hold are one."""
     like = {m: F.when(F.col(y) == 1, F.col(m)).otherwise(1 - F.col(m)) for m in members}
     base = rows.select(*(S.clip(c, 1e-6, 1).alias(m) for m, c in like.items())).persist()
     w = dict.fromkeys(members, 1 / len(members))
+    if base.count() <= EM_ROWS:
+        w = _weighed_in_one(base, w, rounds)
+        base.unpersist()
+        return w
     for _ in range(rounds):
         mix = sum((F.lit(w[m]) * F.col(m) for m in members), F.lit(0.0))
         got = base.agg(*(F.avg(F.lit(w[m]) * F.col(m) / mix).alias(m) for m in members)).first()
@@ -198,6 +209,23 @@ def mixture_weights(rows: DataFrame, members: list[str], y: str = "home_win", ro
     return w
 
 
+def _weighed_in_one(base: DataFrame, w: dict[str, float], rounds: int) -> dict[str, float]:
+    """The steps of EM in one task. A row without one of the values counts for none of the weights."""
+    start = np.array([*w.values()])
+
+    def weigh(batches):
+        held = [np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) for batch in batches if batch.num_rows]
+        p, at = np.concatenate([np.zeros((len(start), 0)), *held], axis=1), start
+        p = p[:, ~np.isnan(p).any(axis=0)]
+        for _ in range(rounds if p.shape[1] else 0):
+            part = at[:, None] * p
+            at = (part / part.sum(axis=0)).mean(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array([at.tolist()], pa.list_(pa.float64()))], names=["w"])
+
+    got = base.coalesce(1).mapInArrow(weigh, "w array<double>").collect()
+    return dict(zip(w, got[0]["w"])) if got else w
+
+
 def margin_weights(rows: DataFrame, members: list[str], target: str = "margin") -> dict[str, float]:
     """Convex weights of margins that minimise the squared error: one aggregate of products, then the best of the small
     problems over all subsets of members."""
@@ -282,48 +310,65 @@ def with_logits(rows: DataFrame, ps: list[str]) -> DataFrame:
     return rows.select("*", *(S.logit(F.col(p)).alias(f"l_{p}") for p in ps))
 
 
-def fit_ensemble(config: Config, rows: DataFrame, at: str = "kickoff", id: str = "game_id") -> Ensemble:
-    """Members on the older rows, their combination on the newest fifth, then members again on all."""
+def fit_ensemble(config: Config, rows: DataFrame, at: str = "kickoff", id: str = "game_id", known: dict | None = None) -> Ensemble:
+    """Members on the older rows, their combination on the newest fifth, then members again on all. ``known`` keeps what was fitted on these rows; a
+    configuration that comes with it later fits only what it doesn't have in common with those before."""
     from .folds import recency, split_newest
 
+    known = {} if known is None else known
+
+    def once(make, *key):
+        if key not in known:
+            known[key] = make()
+        return known[key]
+
     rows = recency(rows, config.half_life_days, at) if config.half_life_days else _weighted(rows)
-    old, hold = (part.persist() for part in split_newest(rows, 0.2, None, 200, at, id))  # each member reads them several times
-    build = lambda df: tuple(MEMBERS[k](df, config.features, name=k, **v) if k != "elo" else elo_member(df, name=k) for k, v in config.members.items())
-    first = build(old)
+    weighted = config.half_life_days or None
+    old, hold = (part.persist() for part in once(lambda: split_newest(rows, 0.2, None, 200, at, id), "parts", weighted))  # each member reads them several times
+    names = tuple((k, json.dumps(v, sort_keys=True), () if k == "elo" else config.features) for k, v in config.members.items())
+    fit = lambda df, k, v: MEMBERS[k](df, config.features, name=k, **v) if k != "elo" else elo_member(df, name=k)
+    build = lambda df, part: tuple(once(partial(fit, df, k, v), part, weighted, name) for name, (k, v) in zip(names, config.members.items()))
+    first = build(old, "old")
     old.unpersist()
     scored = hold
     for m in first:
         scored = m.score(scored)
     ps, ms = [f"p_{m.name}" for m in first if f"p_{m.name}" in scored.columns], [f"m_{m.name}" for m in first if m.has_margin]
     scored = scored.persist()
+
+    def weights():
+        m_weights = margin_weights(scored, ms) if ms else {}
+        margin = sum((F.lit(m_weights[m]) * F.col(m) for m in ms), F.lit(0.0))
+        return mixture_weights(scored, ps), m_weights, max(scored.agg(F.stddev_pop(F.col("margin") - margin)).first()[0] or 1.0, 1e-6)
+
     try:
-        p_weights, m_weights = mixture_weights(scored, ps), margin_weights(scored, ms) if ms else {}
+        p_weights, m_weights, sigma = once(weights, "weights", weighted, names)
         stacker = None
         if config.ensemble == "stack":
             context = tuple(f"l_{p}" for p in ps) + tuple(config.stack_context)
-            stacker = logistic(with_logits(scored, ps).drop("weight"), context, "stack", C=1.0)
+            stacker = once(lambda: logistic(with_logits(scored, ps).drop("weight"), context, "stack", C=1.0), "stack", weighted, names, context)
             raw = stacker.score(with_logits(scored, ps)).withColumnRenamed("p_stack", "p_raw")
         else:
             raw = scored.withColumn("p_raw", sum((F.lit(p_weights[p]) * F.col(p) for p in ps), F.lit(0.0)))
         calibrator = calibrate(raw, config.calibration)
-        margin = sum((F.lit(m_weights[m]) * F.col(m) for m in ms), F.lit(0.0))
-        sigma = max(scored.agg(F.stddev_pop(F.col("margin") - margin)).first()[0] or 1.0, 1e-6)
     finally:
         scored.unpersist()
         hold.unpersist()
-    return Ensemble(build(rows), p_weights, m_weights, margin_ridge(rows.drop("weight"), config.features, "total", target="total"), stacker, calibrator, sigma)
+    total = once(lambda: margin_ridge(rows.drop("weight"), config.features, "total", target="total"), "total", config.features)
+    return Ensemble(build(rows, "all"), p_weights, m_weights, total, stacker, calibrator, sigma)
 
 
-def walk_forward(config: Config, rows: DataFrame, policy: Policy = Policy(), at: str = "kickoff", avail: str = "avail", id: str = "game_id", parallelism: int = 4) -> DataFrame:
+def walk_forward(config: Config, rows: DataFrame, policy: Policy = Policy(), at: str = "kickoff", avail: str = "avail", id: str = "game_id", parallelism: int = 4, known: dict | None = None) -> DataFrame:
     """Out-of-sample predictions of each fold, from models fitted on what was available when it starts. Folds don't depend on each other:
-    the driver submits the jobs of ``parallelism`` of them at a time."""
+    the driver submits the jobs of ``parallelism`` of them at a time. ``known`` keeps, by the start of a fold, what was fitted for it."""
     from .folds import folds
 
-    blocks = folds(rows, policy.n_folds, most=policy.eval_window, at=at, id=id)
+    known = {} if known is None else known
+    blocks = checkpointed(folds(rows, policy.n_folds, most=policy.eval_window, at=at, id=id))  # few rows, read for each fold
     starts = sorted((r["fold"], r["start"]) for r in blocks.groupBy("fold").agg(F.min(at).alias("start")).collect())
 
     def one(fold, start) -> DataFrame:
-        model = fit_ensemble(config, rows.where(F.col(avail) <= F.lit(start)), at, id)
+        model = fit_ensemble(config, rows.where(F.col(avail) <= F.lit(start)), at, id, known.setdefault(start, {}))
         return model.score(blocks.where(F.col("fold") == fold))
 
     parts = together(rows, [partial(one, *case) for case in starts], parallelism)
